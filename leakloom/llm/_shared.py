@@ -69,20 +69,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def global_offsets(df: DataFrame, order: Sequence[str], value: str, into: str) -> DataFrame:
-    """Add the running total of ``value`` over all earlier rows, in the order given.
+def global_offsets(df: DataFrame, order: Sequence, totals: dict[str, str]) -> DataFrame:
+    """Add running totals over all earlier rows in the order given; ``totals``: new column to summed column.
 
     Rows are dealt out by range and written to the checkpoint folder with the number of their
     range, so that a retried task can't deal them otherwise; the totals of the ranges (a row
-    each) are accumulated over and joined back. No task sees more than a range. Equal keys
-    stay in one range, so rows that tie must be few or differ in a later key.
+    each) are accumulated and joined back. No task sees more than a range. Rows with equal keys
+    come in one range, so ties must be few or differ in a later key.
     """
-    part, before = fresh("range"), fresh("before")
+    part = fresh("range")
+    before = {into: fresh("before") for into in totals}
     dealt = checkpointed(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
-    totals = dealt.groupBy(part).agg(F.sum(value).alias(before))
-    ahead = totals.select(part, F.coalesce(F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias(before))
-    running = F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn(into, running).join(F.broadcast(ahead), part).withColumn(into, (F.col(into) + F.col(before)).cast("long")).drop(part, before)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy(part).agg(*(F.sum(value).alias(before[into]) for into, value in totals.items()))
+    ranges = ranges.select(part, *(F.coalesce(F.sum(b).over(earlier), F.lit(0)).alias(b) for b in before.values()))
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    running = dealt.withColumns({into: F.coalesce(F.sum(value).over(within), F.lit(0)) for into, value in totals.items()})
+    return running.join(F.broadcast(ranges), part).withColumns({into: F.col(into) + F.col(b) for into, b in before.items()}).drop(part, *before.values())
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
