@@ -52,20 +52,22 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, is one set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, one of our own."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():  # noqa: SLF001
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoints")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()  # noqa: SLF001
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
