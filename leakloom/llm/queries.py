@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakloom.llm import byte_bpe, minhash_dedup, mixing, pii_crf, quality_rules, token_store
+from leakloom.llm import byte_bpe, minhash_dedup, mixing, multi_index, pii_crf, quality_rules, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (minhash_dedup.op1_probminhash_dedup, mixing.op2_hypergeometric_mix, byte_bpe.op4_prefix_bpe, pii_crf.op5_skip_chain_pii, token_store.op7_content_addressed, quality_rules.op9_distribution_rules)}
+    return {f.__name__: f for f in (minhash_dedup.op1_probminhash_dedup, mixing.op2_hypergeometric_mix, byte_bpe.op4_prefix_bpe, pii_crf.op5_skip_chain_pii, token_store.op7_content_addressed, multi_index.op8_inverted_multi_index, quality_rules.op9_distribution_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
