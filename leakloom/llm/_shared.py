@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -71,6 +72,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of frames that are no longer referred to.
+
+    It does so when the driver's JVM collects garbage, which by itself may be half an hour away.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+
+
 def global_offsets(df: DataFrame, order: Sequence, totals: dict[str, str]) -> DataFrame:
     """Add running totals over all earlier rows in the order given; ``totals``: new column to summed column.
 
