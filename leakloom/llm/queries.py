@@ -6,11 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakloom.llm import byte_bpe, minhash_dedup, mixing, multi_index, pii_crf, quality_rules, token_store
+from leakloom.llm import byte_bpe, cotraining, html_extract, minhash_dedup, mixing, multi_index, pii_crf, quality_rules, token_store, url_equivalence
+
+_QUERIES = (
+    minhash_dedup.op1_probminhash_dedup,
+    mixing.op2_hypergeometric_mix,
+    html_extract.op3_tree_model_html,
+    byte_bpe.op4_prefix_bpe,
+    pii_crf.op5_skip_chain_pii,
+    cotraining.op6_cotrained_quality,
+    token_store.op7_content_addressed,
+    multi_index.op8_inverted_multi_index,
+    quality_rules.op9_distribution_rules,
+    url_equivalence.op10_redirect_equivalence,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (minhash_dedup.op1_probminhash_dedup, mixing.op2_hypergeometric_mix, byte_bpe.op4_prefix_bpe, pii_crf.op5_skip_chain_pii, token_store.op7_content_addressed, multi_index.op8_inverted_multi_index, quality_rules.op9_distribution_rules)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
