@@ -1,0 +1,143 @@
+"""Findings: de-duplication, filters, personal-data density, gates and roll-ups."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from leakloom.functions.findings import STRUCTURED, severity_name
+
+#: What marks a value as a placeholder.
+PLACEHOLDER_PARTS = ("example", "placeholder", "changeme", "your_", "your-", "xxxx", "dummy", "sample", "<", "{{", "${")
+PLACEHOLDER_WORDS = ("example", "placeholder", "changeme", "change", "dummy", "sample", "fake", "test", "redacted", "insert", "todo", "your")
+PLACEHOLDER_EXACT = ("AK" "IAIOSFODNN7EXAMPLE", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "password", "secret", "changeme")
+
+
+def dedup(findings: DataFrame, location: str = "location", order: str = "seq") -> DataFrame:
+    """The first of each (detector, raw, location, line); then drop those without a verifier that come after one with."""
+    first = Window.partitionBy("detector", "raw", location, "line").orderBy(order)
+    once = findings.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    earlier = Window.partitionBy("raw", location, "line").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    beaten = F.coalesce(F.max(F.col("verifier_backed").cast("int")).over(earlier), F.lit(0)) == 1
+    return once.withColumn("_b", beaten).filter("verifier_backed or not _b").drop("_b")
+
+
+def cross_commit(findings: DataFrame, order: str = "commit_seq") -> DataFrame:
+    """Findings of version histories once per (value, file), the first, with how often they occur; others pass."""
+    key = Window.partitionBy(F.sha2("raw", 256), "path")
+    git = findings.filter("source_type = 'git'").withColumn("_n", F.row_number().over(key.orderBy(order))).withColumn("occurrence_count", F.count("*").over(key)).filter("_n = 1").drop("_n")
+    return git.unionByName(findings.filter("source_type <> 'git'").withColumn("occurrence_count", F.lit(1).cast("long")))
+
+
+def is_placeholder(raw: str = "raw") -> Column:
+    """Template marks, eight or more X or ten or more 0 in a row, known examples, or marker words as over half of the letters and digits."""
+    c, low = F.col(raw), F.lower(raw)
+    part = F.lit(False)
+    for p in PLACEHOLDER_PARTS:
+        part = part | low.contains(p)
+    letters = F.char_length(F.regexp_replace(low, "[^a-z0-9]", ""))
+    words = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w.isin(*PLACEHOLDER_WORDS))
+    marked = F.aggregate(words, F.lit(0), lambda a, w: a + F.char_length(w))
+    return part | low.rlike("x{8,}|0{10,}") | c.isin(*PLACEHOLDER_EXACT) | (2 * marked > letters)
+
+
+def glob_regex(glob: str) -> str:
+    """Anchored pattern of a glob; ``**`` is any number of whole segments; patterns without one also fit base names."""
+    import re
+
+    out = ""
+    for part in re.split(r"(\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]]*\])", glob):
+        out += {"**/": "(?:[^/]+/)*", "/**": "(?:/.*)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, part if part.startswith("[") else re.escape(part))
+    return f"^(?:.*/)?{out}$" if "**" in glob or "/" not in glob else f"^{out}$"
+
+
+def allow_condition(entries: Sequence[dict], detector="detector", raw="raw", path="path") -> Column:
+    """Index of the first allowlist entry that fits, else null; an entry fits if all its fields do."""
+    from leakloom.functions.regex import to_java
+
+    out = F.lit(None).cast("int")
+    for i in range(len(entries) - 1, -1, -1):
+        e, fits = entries[i], F.lit(True)
+        if unknown := set(e) - {"reason", "detector", "raw", "raw_regex", "path"}:
+            raise ValueError(f"unknown fields {sorted(unknown)}")
+        if not set(e) - {"reason"}:
+            raise ValueError("an entry needs a detector, raw, raw_regex or path")
+        if "detector" in e:
+            fits = fits & (F.lower(F.col(detector)) == e["detector"].lower())
+        if "raw" in e:
+            fits = fits & (F.col(raw) == e["raw"])
+        if "raw_regex" in e:
+            fits = fits & F.col(raw).rlike(to_java(e["raw_regex"]))
+        if "path" in e:
+            fits = fits & F.col(path).rlike(glob_regex(e["path"]))
+        out = F.when(fits, F.lit(i)).otherwise(out)
+    return out
+
+
+def suppress(findings: DataFrame, allow: Sequence[dict] = (), show: bool = False) -> DataFrame:
+    """Drop placeholders and allowlisted findings, or with ``show`` keep them with suppressed_by."""
+    by = F.when(is_placeholder(), "placeholder")
+    if allow:
+        by = by.when(allow_condition(allow).isNotNull(), "allowlist")
+    marked = findings.withColumn("suppressed_by", by)
+    return marked if show else marked.filter("suppressed_by is null")
+
+
+def verdict_filter(findings: DataFrame, only_verified=False, drop_indeterminate=False, only_provider_confirmed=False, blast_radius_only=False, min_assurance=0) -> DataFrame:
+    """Keep findings by verdict, assurance and blast radius."""
+    out = findings
+    if blast_radius_only:
+        out = out.filter("blast_radius")
+    if only_provider_confirmed:
+        out = out.filter("verdict = 'verified' and assurance = 3")
+    if only_verified:
+        out = out.filter("verdict = 'verified'" if drop_indeterminate else "verdict in ('verified', 'indeterminate')")
+    return out.filter(F.col("assurance") >= min_assurance) if min_assurance else out
+
+
+def pii_density(findings: DataFrame, kept: int = 3, structured: int = 2, parent: int = 5) -> DataFrame:
+    """Raise findings in containers or parents dense with personal data; adds pii_scope and pii_count, never lowers.
+
+    Counts are window aggregates over container and parent, so nothing is joined back.
+    """
+    box, up = F.count("*").over(Window.partitionBy("container")), F.count("*").over(Window.partitionBy("parent"))
+    table = F.col("ext").isin(*STRUCTURED)
+    in_box = F.col("_box") >= F.when(table, structured).otherwise(kept)
+    in_parent = ~in_box & (F.col("_up") >= parent)
+    raised = (
+        F.when(in_box & ((table & (F.col("_box") >= 5)) | (F.col("_box") >= 10)), 5).when(in_box, 4)
+        .when(in_parent & ((table & (F.col("_up") >= 10)) | (F.col("_up") >= 20)), 5).when(in_parent, 4).otherwise(0)
+    )
+    out = findings.withColumn("_box", box).withColumn("_up", up)
+    out = out.withColumn("pii_scope", F.when(in_box, "container").when(in_parent, "parent")).withColumn("pii_count", F.when(in_box, F.col("_box")).when(in_parent, F.col("_up")))
+    out = out.withColumn("severity_rank", F.greatest(F.col("severity_rank"), raised).cast("int")).withColumn("severity", severity_name("severity_rank"))
+    return out.drop("_box", "_up")
+
+
+def gate(findings: DataFrame, fail_on: str = "any") -> DataFrame:
+    """One row: findings, failing, exit_code (1 if any finding is at or above the threshold)."""
+    floor = {"any": 0, "info": 0, "low": 2, "medium": 3, "high": 4, "critical": 5}[fail_on]
+    failing = F.coalesce(F.sum((F.col("severity_rank") >= floor).cast("long")), F.lit(0))
+    return findings.agg(F.count("*").alias("findings"), failing.alias("failing")).withColumn("exit_code", F.when(F.col("failing") > 0, 1).otherwise(0))
+
+
+def coverage_gate(coverage: DataFrame, fail_on: str = "gap") -> DataFrame:
+    """One row: gaps, skips, exit_code 2 if there are gaps, or with ``any`` anything."""
+    n = lambda s: F.coalesce(F.sum((F.col("severity") == s).cast("long")), F.lit(0))
+    out = coverage.agg(n("gap").alias("gaps"), n("policy-skip").alias("skips"))
+    return out.withColumn("exit_code", F.when((F.col("gaps") > 0) | (F.lit(fail_on == "any") & (F.col("skips") > 0)), 2).otherwise(0))
+
+
+def coverage_rollup(coverage: DataFrame, examples: int = 32) -> DataFrame:
+    """Totals by kind and severity with the first examples of each."""
+    rank = F.row_number().over(Window.partitionBy("kind", "severity").orderBy("source", "error"))
+    kept = F.when(F.col("_n") <= examples, F.struct("source", "error"))
+    return coverage.withColumn("_n", rank).groupBy("kind", "severity").agg(F.count("*").alias("failures"), F.array_sort(F.collect_list(kept)).alias("examples"))
+
+
+def stats(chunks: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: chunks, bytes, findings."""
+    c = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"))
+    return c.withColumn("_k", F.lit(1)).join(findings.agg(F.count("*").alias("findings")).withColumn("_k", F.lit(1)), "_k").drop("_k")

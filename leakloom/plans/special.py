@@ -1,0 +1,33 @@
+"""Detectors that the inventory describes in words, or whose patterns it cuts short."""
+
+from __future__ import annotations
+
+from leakloom.plans.rules import Rule
+
+_ASSIGN = r"\s*(?:=>|[:=])\s*"
+_QUOTED = r"""["']([^"'\s<>{}$%]{6,128})["']"""
+
+RULES = (
+    Rule("DjangoConfigSecret", ("secret_key", "password"), rf"(?im)^\s*(?:SECRET_KEY\s*=|['\"]PASSWORD['\"]\s*:)\s*{_QUOTED}", 1, severity=4),
+    Rule("GitCredentialsURL", ("://",), r"(?m)^[ \t]*([a-z][a-z0-9+.\-]*://[^\s:/]+:[^\s/]+@[^\s/@]+/?)[ \t]*$", 1, severity=4),
+    Rule("JSLoginCallSecret", ("login(",), rf"(?i)\.login\(\s*['\"][^'\"\n]{{1,64}}['\"]\s*,\s*{_QUOTED}", 1, severity=4),
+    Rule("JSONConfigSecret", ("password", "secret", "passphrase"), rf"(?i)\"(?:password|passphrase|secret|privateKey)\"\s*:\s*{_QUOTED}", 1, severity=4),
+    Rule("PHPConfigSecret", ("define(", "password", "secret"), rf"(?i)(?:define\(\s*['\"][A-Z_]*(?:PASSWORD|SECRET|_KEY|_SALT)['\"]\s*,|\$[a-z_]*(?:password|secret)\s*=)\s*{_QUOTED}", 1, severity=4),
+    Rule("RailsSecretKeyBase", ("secret_key_base",), r"(?m)^\s*secret_key_base:\s*['\"]?([0-9a-f]{64,128})\b", 1, severity=4),
+    Rule("RailsMasterKey", ("",), r"^\s*([0-9a-f]{32})\s*$", 1, full_chunk=True, severity=4),
+    Rule("Netrc", ("machine", "password"), r"(?i)\b(?:machine[ \t]+\S+|default\b)[\r\n \t]+login[ \t]+\S+[\r\n \t]+password[ \t]+(\S+)", 1),
+    Rule("Esmtprc", ("password",), r"(?m)^[ \t]*password[ \t]+(?:\"[^\"\r\n]*\"|\S+)[ \t]*$", 0),
+    Rule("FileZillaXML", ("<pass",), r"(?i)<Pass(?:\s+encoding=\"[^\"]*\")?\s*>([^<]{1,256})</Pass>", 1),
+    Rule("GCPServiceAccount", ("service_account",), r"\"private_key_id\"\s*:\s*\"([0-9a-f]{40})\"", 1, severity=5),
+    Rule("AzureStorageKey", ("accountkey=",), r"(?i)AccountKey\s*=\s*([A-Za-z0-9+/]{86}==)", 1, severity=5),
+    Rule("Jenkins", ("jenkins",), rf"(?i)jenkins[\-_]?(?:user[\-_]?)?(?:api[\-_]?)?token{_ASSIGN}[\"']?([0-9a-f]{{32,34}})\b", 1),
+    Rule("GitLabPipeline", ("pipeline_trigger", "trigger_token"), r"(?i)(?:pipeline_trigger|trigger_token)\w*\s*[:=]\s*[\"']?([0-9a-f]{40})\b", 1),
+    Rule("PostmarkAccount", ("postmark",), rf"(?i)postmark[\-._]?account[\-._]?(?:api[\-._]?token|token|key|secret){_ASSIGN}[\"']?([0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})", 1),
+    Rule("Replit", ("replit",), rf"(?i)replit[\-._]?(?:api[\-._]?key|api[\-._]?token|deploy[\-._]?token|token|secret|key){_ASSIGN}[\"']?([A-Za-z0-9]{{32,80}})", 1),
+    Rule("TektonHub", ("tekton", "hub_token"), rf"(?i)(?:tekton_hub_(?:api_)?token|tekton_token|hub_token)[\"']?{_ASSIGN}[\"']?([A-Za-z0-9_\-.]{{20,400}})", 1),
+    Rule("UnixCryptHash", ("$1$", "$2", "$5$", "$6$"), r"(?m)^[A-Za-z0-9_][A-Za-z0-9_.\-]{0,31}:(\$(?:2[aby]\$[0-9]{2}\$[A-Za-z0-9./]{53}|[156]\$[^:$\s]{1,32}\$[A-Za-z0-9./]{22,86})):?", 1),
+    Rule("OracleNetSuite", ("netsuite",), rf"(?i)netsuite[\-_]?token[\-_]?secret{_ASSIGN}\"?([0-9a-f]{{64}})", 1, rf"(?i)netsuite[\-_]?token[\-_]?id{_ASSIGN}\"?([0-9a-f]{{64}})", 1, 2048),
+    Rule("Qualys", ("qualys",), rf"(?i)qualys[\-_]pass(?:word)?{_ASSIGN}\"?([^\s\"]{{6,64}})", 1, rf"(?i)qualys[\-_]user(?:name)?{_ASSIGN}\"?([A-Za-z0-9_\-]{{4,64}})", 1, 2048),
+    Rule("APNs", ("apns", "apple_push"), r"-----BEGIN PRIVATE KEY-----[\s\S]{64,4096}?-----END PRIVATE KEY-----", 0, context=("apns", "apple_push", "push.apple.com"), radius=256),
+    Rule("AppStoreConnect", ("app_store_connect", "appstoreconnect", ".p8"), r"-----BEGIN PRIVATE KEY-----[\s\S]{64,4096}?-----END PRIVATE KEY-----", 0, context=("app_store", "appstoreconnect", ".p8", "appleid"), radius=256),
+)
