@@ -47,7 +47,7 @@ def entries(data: bytes, at: str = "", depth: int = 0, left: list[int] | None =
         return
     try:
         for name, size, open_ in _members(data, what):
-            path = f"{at}/{name}" if at else name
+            path = f"{at}/{name}" if at and name else at or name
             if name and not safe(name):
                 yield path, None, "unsafe name"
             elif size is not None and size > ENTRY:
