@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ from leakloom.functions.text import col
 SEVERITIES = ("info", "info", "low", "medium", "high", "critical")
 ASSURANCES = ("unknown", "heuristic", "response-confirmed", "provider-confirmed")
 #: File types whose rows are records.
-STRUCTURED = ("csv", "tsv", "json", "jsonl", "ndjson", "parquet", "avro", "orc", "sql", "db", "sqlite", "xls", "xlsx", "xml", "yaml")
+STRUCTURED = ("csv", "tsv", "sql", "json", "jsonl", "ndjson", "parquet", "avro", "xlsx", "xls", "ods", "sqlite", "db", "dump", "bak")
 #: Detectors whose unverified findings are of medium severity.
-MEDIUM = ("GenericHighEntropy", "JWT", "PrivateKey", "Anonymize", "OpenAIPF", "BasicAuth")
+MEDIUM = ("GenericHighEntropy", "JWT", "PrivateKeyPEM", "PIIEmail", "PIIUSSSN", "PIICreditCard", "PIIIBAN", "PIIAnonymize", "PIIOpenAIPF")
 
 
 def severity_name(rank) -> Column:
@@ -63,18 +65,56 @@ def fingerprints(detector, raw, uri, line) -> Column:
     return F.struct(F.sha2(F.concat(col(detector), F.lit(":"), col(raw)), 256).alias("secret"), F.concat(F.sha2(col(uri), 256), F.lit(":"), col(line)).alias("location"))
 
 
-def container_key(source_type, meta) -> Column:
-    """(container, parent, ext) by source: where personal data is counted."""
+#: What is one container, its parent, and the field that has a path, by source; {a} is a field, {a/} its folder.
+PLACES = {
+    "filesystem": ("{path}", "{path/}", "path"),
+    "git": ("{repository}@{commit}:{file}", "{repository}:{file/}", "file"),
+    "github": ("{repository}@{commit}:{file}", "{repository}:{file/}", "file"),
+    "gitlab": ("{group}/{project}@{sha}:{path}", "{group}/{project}:{path/}", "path"),
+    "s3": ("s3://{bucket}/{key}", "s3://{bucket}/{key/}", "key"),
+    "gcs": ("gs://{bucket}/{object}", "gs://{bucket}/{object/}", "object"),
+    "slack": ("{channel}@{timestamp}", "{channel}", None),
+    "confluence": ("{space_key}/{page_id}", "{space_key}", None),
+    "jira": ("{project}/{issue_key}:{part}", "{project}", None),
+    "notion": ("{page_id}:{part}", "{database}", None),
+    "bitbucket": ("{workspace}/{repo}@{commit}:{path}", "{workspace}/{repo}:{path/}", "path"),
+    "forge": ("{provider}/{repository}@{commit}:{file}", "{provider}/{repository}:{file/}", "file"),
+    "stdin": ("stdin:{label}", "stdin", None),
+}
+#: Sources whose folders are key prefixes, empty rather than a dot at the top.
+PREFIXED = ("s3", "gcs")
+
+
+def _filled(template: str, meta: Column, top: str) -> Column:
+    parts = []
+    for literal, name in re.findall(r"([^{]*)(?:\{([^}]*)\})?", template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            value = F.coalesce(F.try_element_at(meta, F.lit(name.rstrip("/"))), F.lit(""))
+            if name.endswith("/"):
+                folder = F.regexp_extract(value, r"(?s)^(.*)/[^/]*$", 1)
+                value = F.when(~value.contains("/"), top).when((folder == "") & (F.lit(top) == "."), "/").otherwise(folder)
+            parts.append(value)
+    return F.concat(*parts)
+
+
+def container_key(source_type, meta, source_name=None) -> Column:
+    """(container, parent, ext) by source and its metadata: where personal data is counted. Other sources are one container by name."""
     t, m = col(source_type), col(meta)
-    get = lambda k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
-    path = F.coalesce(F.try_element_at(m, F.lit("path")), F.try_element_at(m, F.lit("key")), F.lit(""))
-    folder = F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
-    container = (
-        F.when(t.isin("s3", "gcs"), F.concat(get("bucket"), F.lit("/"), path)).when(t == "git", F.concat(get("repository"), F.lit(":"), path))
-        .when(t == "sqldump", F.concat(path, F.lit("#"), get("table"))).when(t.isin("slack", "chat"), F.concat(get("channel"), F.lit("@"), get("ts"))).otherwise(path)
-    )
-    parent = F.when(t.isin("s3", "gcs"), F.concat(get("bucket"), F.lit("/"), folder)).when(t == "git", F.concat(get("repository"), F.lit(":"), folder)).when(t == "sqldump", path).when(t.isin("slack", "chat"), get("channel")).otherwise(folder)
-    return F.struct(container.alias("container"), parent.alias("parent"), F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
+    name = F.lit("") if source_name is None else col(source_name)
+    container, parent, path = name, F.lit(""), F.lit("")
+    for source, (inside, above, field) in PLACES.items():
+        top = "" if source in PREFIXED else "."
+        container = F.when(t == source, _filled(inside, m, top)).otherwise(container)
+        up = _filled(above, m, top)
+        if source == "notion":
+            up = F.when(up == "", _filled("{page_id}", m, top)).otherwise(up)
+        parent = F.when(t == source, up).otherwise(parent)
+        if field:
+            path = F.when(t == source, F.coalesce(F.try_element_at(m, F.lit(field)), F.lit(""))).otherwise(path)
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    return F.struct(container.alias("container"), parent.alias("parent"), ext.alias("ext"))
 
 
 def location_key(source_type, path, line) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What stands for a hidden value, the first that doesn't contain it.
+MARKERS = ("***", "...", "(redacted)", "[hidden]")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,16 +67,21 @@ def near(c, start, end, radius: int, pattern: str) -> Column:
 
 
 def redacted(c, keep: int = 6) -> Column:
-    """The first characters and dots; short values are hidden altogether."""
+    """The first characters and dots; short values are hidden altogether. What is shown never holds the value."""
     s = col(c)
-    return F.when(F.char_length(s) > keep, F.concat(F.left(s, F.lit(keep)), F.lit("..."))).otherwise(F.lit("[redacted]"))
+    hidden = F.lit(MARKERS[-1])
+    for marker in MARKERS[-2::-1]:
+        hidden = F.when(~F.lit(marker).contains(s), marker).otherwise(hidden)
+    return F.when(F.char_length(s) == 0, "").when(F.char_length(s) > keep, F.concat(F.left(s, F.lit(keep)), F.lit("..."))).otherwise(hidden)
 
 
 def pii_redacted(kind, c) -> Column:
-    """E-mail addresses keep their first character and domain, others their first and last character."""
+    """E-mail addresses keep their first character and domain, others their first and last; under three characters stay."""
     s = col(c)
-    mail = F.concat(F.left(s, F.lit(1)), F.lit("***@"), F.substring_index(s, "@", -1))
-    return F.when(col(kind) == "email", mail).when(F.char_length(s) < 3, "***").otherwise(F.concat(F.left(s, F.lit(1)), F.lit("***"), F.right(s, F.lit(1))))
+    at = F.instr(s, "@")
+    mail = F.concat(F.left(s, F.lit(1)), F.lit("***"), F.substring(s, at, F.char_length(s)))
+    ends = F.concat(F.left(s, F.lit(1)), F.lit("***"), F.right(s, F.lit(1)))
+    return F.when(F.char_length(s) < 3, s).when((col(kind) == "EMAIL_ADDRESS") & (at > 2), mail).otherwise(ends)
 
 
 def secret_hash(c) -> Column:

@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leakloom.functions.regex import to_java
 from leakloom.functions.text import col, entropy
 
 #: What is replaced, in order.
 STEPS = (
-    (r"\+0x[0-9a-f]+", "+0xADDR"),
-    (r"\b[a-z][a-z0-9+.\-]*://[^\s\"'<>]+", "[URL]"),
-    (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", "[EMAIL]"),
-    (r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])", "[IP]"),
-    (r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])", "[IP]"),
-    (r"(?<![A-Za-z0-9_/])(?:/[A-Za-z0-9._\-]+){2,}", "[PATH]"),
-    (r"(?<![A-Za-z0-9])[A-Za-z]:\\[^\s\"'<>|]+", "[PATH]"),
+    (r" \+0x[0-9a-fA-F]+", ""),
+    (r"0x[0-9a-fA-F]+", "0x?"),
+    (r"goroutine [0-9]+ \[", "goroutine ["),
+    (r"in goroutine [0-9]+", "in goroutine N"),
+    (r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s\"'<>()\[\]]+", "[URL]"),
+    (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[EMAIL]"),
+    (r"\b(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}\b|\b(?:[0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{0,4}::(?:[0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4}\b", "[IP]"),
+    (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP]"),
+    (r"(^|[\s\"'=:(])/[^/\s\"':()][^\s\"':()]*", "$1[PATH]"),
+    (r"\b[A-Za-z]:\\[^\s\"':()]+", "[PATH]"),
 )
-TOKEN, TOKEN_ENTROPY = r"[A-Za-z0-9_\-]{20,}", 3.5
+TOKEN, TOKEN_ENTROPY = r"[A-Za-z0-9+_=\-]{20,}", 3.5
 
 
 def redact(c) -> Column:
     """URLs, addresses, paths, and tokens of twenty or more characters that are hexadecimal or mixed and varied."""
     out = col(c)
     for pattern, mark in STEPS:
-        out = F.regexp_replace(out, pattern, F.lit(mark))
+        out = F.regexp_replace(out, to_java(pattern), mark)
     pieces = F.regexp_extract_all(out, F.lit(rf"(?s){TOKEN}|(?:(?!{TOKEN}).)+"), F.lit(0))
     telling = lambda p: p.rlike(f"^{TOKEN}$") & (p.rlike("^[0-9a-fA-F]+$") | (p.rlike("[0-9]") & p.rlike("[A-Za-z]") & (entropy(p) >= TOKEN_ENTROPY)))
     return F.array_join(F.transform(pieces, lambda p: F.when(telling(p), F.lit("[TOKEN]")).otherwise(p)), "")

@@ -68,7 +68,7 @@ def _custom_sql() -> str:
         low = f"translate(text, '{X._UPPER}', '{X._LOWER}')"  # noqa: SLF001
         rel = f"(select doc_id, text from documents where {' or '.join(f'contains({low}, {_q(k)})' for k in r.keywords)})"
         gate = f"and {_ENTROPY.format('value')} >= {r.min_entropy}" if r.min_entropy else ""
-        parts.append(f"""select doc_id as chunk_id, '{r.name}' as detector, sha256(value) as secret_hash, case when length(value) > 6 then substr(value, 1, 6) || '...' else '[redacted]' end as redacted, {r.severity} as severity_rank,
+        parts.append(f"""select doc_id as chunk_id, '{r.name}' as detector, sha256(value) as secret_hash, case when length(value) > 6 then substr(value, 1, 6) || '...' when value = '***' then '...' else '***' end as redacted, {r.severity} as severity_rank,
           '{K.SEVERITIES[r.severity]}' as severity, cast(1 + length(substr(full_text, 1, start - 1)) - length(replace(substr(full_text, 1, start - 1), chr(10), '')) as bigint) as line, cast(strlen(substr(full_text, 1, start - 1)) as bigint) as start_byte,
           cast(strlen(substr(full_text, 1, "end" - 1)) as bigint) as end_byte from {_spans_sql(rel, 'doc_id', 'text', r.pattern, 1)} where length(value) > 0 {gate}""")
     return " union all ".join(parts)
@@ -273,14 +273,14 @@ def cross_commit_collapse(spark, sf):
     return pipeline.cross_commit(f)
 
 
-_VALUES = """case p_partkey % 6 when 0 then 'my-example-key' when 1 then 'XXXXXXXXXX' || p_partkey when 2 then md5(p_name) when 3 then 'test-fake-' || p_size when 4 then 'changeme' else upper(substr(md5(p_name), 1, 20)) end"""
+_VALUES = """case p_partkey % 6 when 0 then 'example-placeholder-k' when 1 then 'XXXXXXXXXX' || p_partkey when 2 then md5(p_name) when 3 then 'a-long-redacted-value-' || p_size when 4 then 'changeme' else upper(substr(md5(p_name), 1, 20)) end"""
 
 
 def _placeholder_sql(raw: str) -> str:
     words = ", ".join(map(_q, pipeline.PLACEHOLDER_WORDS))
     parts = " or ".join(f"contains(lower({raw}), {_q(p)})" for p in pipeline.PLACEHOLDER_PARTS)
     marked = f"coalesce(list_sum(list_transform(list_filter(string_split_regex(lower({raw}), '[^a-z0-9]+'), lambda w: w in ({words})), lambda w: length(w))), 0)"
-    return f"({parts} or regexp_matches(lower({raw}), 'x{{8,}}|0{{10,}}') or {raw} in ({', '.join(map(_q, pipeline.PLACEHOLDER_EXACT))}) or 2 * {marked} > length(regexp_replace(lower({raw}), '[^a-z0-9]', '', 'g')))"
+    return f"({parts} or regexp_matches(lower({raw}), '{pipeline.PLACEHOLDER_RUNS}') or lower({raw}) in ({', '.join(map(_q, pipeline.PLACEHOLDER_EXACT))}) or 2 * {marked} > length(regexp_replace(lower({raw}), '[^a-z0-9]', '', 'g')))"
 
 
 @query(f"select p_partkey, raw, {_placeholder_sql('raw')} as placeholder from (select p_partkey, {_VALUES} as raw from part)")
@@ -461,7 +461,7 @@ def source_uri(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.uri_path(F.concat_ws("/", F.lit("dir"), "p_type", "p_brand")).alias("uri"))
 
 
-@query("select o_orderkey, 'b' || o_custkey || '/data/' || o_orderkey || '.csv' as container, 'b' || o_custkey || '/data' as parent, 'csv' as ext from orders")
+@query("select o_orderkey, 's3://b' || o_custkey || '/data/' || o_orderkey || '.csv' as container, 's3://b' || o_custkey || '/data' as parent, 'csv' as ext from orders")
 def container_keys(spark, sf):
     meta = F.create_map(F.lit("bucket"), F.concat(F.lit("b"), "o_custkey"), F.lit("key"), F.concat(F.lit("data/"), "o_orderkey", F.lit(".csv")))
     return table(spark, sf, "orders").select("o_orderkey", K.container_key(F.lit("s3"), meta).alias("k")).select("o_orderkey", "k.*")

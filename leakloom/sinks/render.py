@@ -66,14 +66,19 @@ def write(findings: DataFrame, path: str, kind: str = "json") -> None:
 
 
 #: Labels of recognised entities, and scores of verdicts.
-ENTITIES = {"email": "EMAIL_ADDRESS", "phone": "PHONE_NUMBER", "ip": "IP_ADDRESS", "card": "CREDIT_CARD", "iban": "IBAN_CODE", "name": "PERSON", "address": "LOCATION", "ssn": "US_SSN"}
-SCORES = {"verified": 1.0, "indeterminate": 0.85, "unverified": 0.6}
+ENTITIES = {
+    "AWS": "AWS_ACCESS_KEY", "GitHub": "GITHUB_TOKEN", "GitHubApp": "GITHUB_TOKEN", "GitHubFineGrained": "GITHUB_TOKEN", "GitLab": "GITLAB_TOKEN", "Slack": "SLACK_TOKEN", "SlackUserToken": "SLACK_TOKEN",
+    "OpenAI": "OPENAI_API_KEY", "Anthropic": "ANTHROPIC_API_KEY", "GoogleOAuth": "GCP_OAUTH_TOKEN", "Stripe": "STRIPE_KEY", "SendGrid": "SENDGRID_KEY", "Twilio": "TWILIO_KEY", "PrivateKeyPEM": "PRIVATE_KEY", "JWT": "JWT",
+    "BasicAuth": "PASSWORD", "HardcodedPassword": "PASSWORD", "Postgres": "DATABASE_CREDENTIAL", "MySQL": "DATABASE_CREDENTIAL", "MongoDBAtlas": "DATABASE_CREDENTIAL", "Snowflake": "DATABASE_CREDENTIAL",
+}
+SCORES = {"verified": 1.0, "indeterminate": 0.5, "unverified": 0.3}
 
 
 def entities(findings: DataFrame, label: str = "detector") -> DataFrame:
     """Findings as recogniser results: entity, character span, score."""
     known = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
-    fallback = F.regexp_replace(F.upper(F.regexp_replace(label, "([a-z0-9])([A-Z])", "$1_$2")), "[^A-Z0-9]+", "_")
+    plain = F.left(F.trim(F.regexp_replace(F.upper(label), "[^A-Z0-9]+", "_"), F.lit("_")), F.lit(40))
+    fallback = F.when(plain == "", "SECRET").otherwise(plain)
     score = F.create_map(*(F.lit(x) for pair in SCORES.items() for x in pair))
     verdict = F.col("verdict") if "verdict" in findings.columns else F.lit("unverified")
-    return findings.select(F.coalesce(F.try_element_at(known, F.lower(F.col(label))), fallback).alias("entity"), (F.col("start") - 1).alias("start"), (F.col("end") - 1).alias("end"), F.try_element_at(score, verdict).alias("score"))
+    return findings.select(F.coalesce(F.try_element_at(known, F.col(label)), fallback).alias("entity"), (F.col("start") - 1).alias("start"), (F.col("end") - 1).alias("end"), F.coalesce(F.try_element_at(score, verdict), F.lit(0.5)).alias("score"))

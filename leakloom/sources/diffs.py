@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words that make a comment in a dump worth scanning, lines in a chunk, longest line.
-COMMENT_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "credential", "private", "auth", "key=", "pwd")
+COMMENT_WORDS = ("password", "passwd", "secret", "token", "key", "api_key", "apikey", "auth", "credential", "private", "access_key")
 CHUNK_LINES, MAX_LINE = 50, 4 << 20
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Paths that are skipped by default.
-EXCLUDES = r"(?:^|/)(?:\.git|node_modules|vendor|__pycache__|\.venv|dist|build)(?:/|$)|(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|go\.sum|Cargo\.lock|poetry\.lock)$|\.min\.(?:js|css)$"
+EXCLUDES = (
+    ".git", ".hg", ".svn", "node_modules", "vendor", "target", "dist", "build", "__pycache__", ".venv", ".tox", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock",
+    "go.sum", "Pipfile.lock", "poetry.lock", "composer.lock", "Gemfile.lock", "mix.lock", "Podfile.lock", "*.min.js", "*.min.css", "*.map", "*.bundle.js",
+)
 MAX_FILE, SNIFF = 10 << 20, 512
 _EMPTY_META = "cast(map() as map<string,string>)"
 
@@ -50,7 +54,8 @@ def from_files(spark: SparkSession, roots: Sequence[str], include: Sequence[str]
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots)).filter(F.col("length") <= max_bytes)
     path = F.regexp_replace("path", "^file:/+", "/")
-    keep = ~path.rlike(EXCLUDES)
+    inside = "|".join(re.escape(e).replace(r"\*", "[^/]*") for e in EXCLUDES)
+    keep = ~path.rlike(f"(?:^|/)(?:{inside})(?:/|$)")
     if include:
         keep = keep & F.array_contains(F.array(*(path.rlike(glob_regex(g)) for g in include)), True)
     for g in exclude:

@@ -159,7 +159,7 @@ def test_redaction(spark):
 def test_attributes(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
-    assert get(text.pii_redacted(F.lit("email"), F.lit("joe@x.org"))) == "j***@x.org"
+    assert get(text.pii_redacted(F.lit("EMAIL_ADDRESS"), F.lit("joe@x.org"))) == "j***@x.org"
     assert get(text.entropy(F.lit("aabb"))) == 1.0 and get(text.entropy(F.lit(""))) == 0.0
     assert get(findings.severity_name(F.lit(5))) == "critical" and get(findings.severity_rank(F.lit("High"))) == 4
     assert get(findings.verdict(F.lit(False), F.lit("e"))) == "indeterminate"
