@@ -10,7 +10,7 @@ from leakloom.functions import findings as K
 from leakloom.functions import text as X
 from leakloom.functions import tokens as TK
 from leakloom.functions.regex import to_java
-from leakloom.operators import detect, pipeline, redact, spans
+from leakloom.operators import detect, generic, pipeline, redact, spans, verdicts
 from leakloom.plans import catalog
 from leakloom.plans.rules import load_custom
 from leakloom.plans.special import RULES as SPECIAL
@@ -483,6 +483,75 @@ def entity_spans(spark, sf):
     found = docs.withColumn("s", F.explode(X.match_spans("text", to_java(load_custom(CUSTOM)[2].pattern), 1)))
     return found.select(F.col("doc_id").alias("chunk_id"), F.lit("MailAddress").alias("entity_of"), (F.col("s")["start"] - 1).alias("start"), (F.col("s")["end"] - 1).alias("end"))
 
+_GENERIC = "concat(text, ' api_key=', upper(substr({md}, 1, 10)), substr({sha}, 1, 14), translate(substr({sha}, 20, 14), '0123456789abcdef', 'ghijklmnopqrstuv'), case when doc_id % 7 = 0 then '.js' when doc_id % 11 = 0 then '/a/b' else ' end' end, case when doc_id % 5 = 0 then concat(' sha256-', substr({sha}, 1, 30)) else '' end)"
+
+
+def _generic_sql() -> str:
+    text = _GENERIC.format(md="md5(cast(doc_id as varchar))", sha="sha256(cast(doc_id as varchar))")
+    low = f"translate(full_text, '{X._UPPER}', '{X._LOWER}')"  # noqa: SLF001
+    first = f"greatest(start - {generic.RADIUS}, 1)"
+    near = " or ".join(f"contains(substr({low}, {first}, \"end\" + {generic.RADIUS + len(w)} - {first}), {_q(w)})" for w in generic.KEYWORDS)
+    stripped = f"regexp_replace(value, {_q(generic.ALGORITHMS)}, '', 'g')"
+    after, before = 'substr(full_text, "end", 8)', f"substr(full_text, greatest(start - {generic.CRYPT_BEFORE}, 1), least(start - 1, {generic.CRYPT_BEFORE}))"
+    asset = " or ".join(f"starts_with({after}, {_q(e)})" for e in generic.ASSETS)
+    decoded = "hex(try(from_base64(rpad(translate(value, '-_', '+/'), cast(ceil(length(value) / 4) * 4 as int), '='))))"
+    readable = f"coalesce((not regexp_matches(value, '[-_]') or not regexp_matches(value, '[+/]')) and length(value) % 4 <> 1 and regexp_matches({decoded}, '^(?:[2-6][0-9A-F]|7[0-9A-E]){{8,}}$'), false)"
+    explained = f"""regexp_matches(value, '^[A-Za-z_]*$') or regexp_matches(value, '/.*/') or regexp_matches(lower(value), '^sha(?:256|384|512)-') or (length(value) in ({', '.join(map(str, generic.DIGESTS))}) and regexp_matches(value, '^[0-9A-Fa-f]*$'))
+      or regexp_matches({before}, {_q(generic.CRYPT)}) or (ends_with({before}, '$') and starts_with({after}, '$')) or ({stripped} <> value and regexp_matches({stripped}, '^[A-Za-z_]*$')) or (contains(value, '-') and ({asset})) or regexp_matches(value, {_q(generic.MIME)}) or {readable}"""
+    return f"select doc_id as chunk_id, sha256(value) as secret_hash, start from {_spans_sql(f'(select doc_id, {text} as text from documents)', 'doc_id', 'text', generic.SHAPE)} where {_ENTROPY.format('value')} >= {generic.MIN_ENTROPY} and ({near}) and not ({explained})"
+
+
+@query(_generic_sql())
+def detect_generic_entropy(spark, sf):
+    text = _GENERIC.format(md="md5(cast(doc_id as string))", sha="sha2(cast(doc_id as string), 256)")
+    found = generic.detect_generic(tables.from_documents(table(spark, sf, "documents").withColumn("text", F.expr(text))))
+    return found.select("chunk_id", X.secret_hash("raw").alias("secret_hash"), "start")
+
+
+@query("""select doc_id, cast(i as bigint) as occurrence, cast(1 + list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * 4 as bigint) as position
+  from (select doc_id, s, unnest(range(1, len(s))) as i from (select doc_id, string_split(text, 'tion') as s from documents where length(text) < 1500))""")
+def all_occurrences(spark, sf):
+    f = table(spark, sf, "documents").filter("length(text) < 1500").select("doc_id", "text", F.lit("tion").alias("raw"))
+    return spans.all_occurrences(f).select("doc_id", "occurrence", "position")
+
+
+_VERDICT_TABLE = "select sha256('click' || chr(0) || cast(k as varchar) || chr(0)) as verdict_key, k % 2 = 0 as verified, cast(k % 4 as int) as assurance, case when k % 3 = 0 then 'timeout' end as error from range(0, 20) t(k)"
+
+
+@query(f"select event_id, case when verified then 'verified' when error is not null then 'indeterminate' else 'unverified' end as verdict, coalesce(assurance, 0) as assurance from {_EVENTS} f left join ({_VERDICT_TABLE}) v on v.verdict_key = sha256(f.detector || chr(0) || f.raw || chr(0))")
+def verdict_join(spark, sf):
+    keys = F.sha2(F.concat_ws("\0", F.lit("click"), F.col("id").cast("string"), F.lit("")), 256)
+    known = spark.range(20).select(keys.alias("verdict_key"), (F.col("id") % 2 == 0).alias("verified"), (F.col("id") % 4).cast("int").alias("assurance"), F.when(F.col("id") % 3 == 0, "timeout").alias("error"))
+    f = _event_findings(spark, sf).withColumn("raw_v2", F.lit(None).cast("string"))
+    return verdicts.resolve(f, known).select("event_id", "verdict", "assurance")
+
+
+@query(f"select count(*) as candidates from (select distinct detector, raw from {_EVENTS}) where not (detector = 'click' and cast(raw as int) < 20)")
+def verdict_candidates(spark, sf):
+    keys = F.sha2(F.concat_ws("\0", F.lit("click"), F.col("id").cast("string"), F.lit("")), 256)
+    f = _event_findings(spark, sf).withColumn("raw_v2", F.lit(None).cast("string"))
+    return verdicts.candidates(f, spark.range(20).select(keys.alias("verdict_key"))).agg(F.count("*").alias("candidates"))
+
+
+@query("select cast(o_orderkey as varchar) as resource_key, case when o_orderkey % 10 = 3 then 'new' else 'old' end as fingerprint from orders where o_orderkey % 2 = 1 or o_orderkey % 10 = 4")
+def state_advance(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("resource_key"), "o_orderkey")
+    state = o.filter("o_orderkey % 2 = 1").select("resource_key", F.lit("old").alias("fingerprint"))
+    seen = o.filter("o_orderkey % 10 in (3, 4)").select("resource_key", F.when(F.col("o_orderkey") % 10 == 3, "new").otherwise("old").alias("fingerprint"))
+    return incremental.next_state(state, seen)
+
+
+@query("select upper(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g')) as entity, count(*) as n, cast(0.3 as double) as score from part group by 1")
+def recogniser_entities(spark, sf):
+    f = table(spark, sf, "part").select(F.col("p_type").alias("detector"), F.lit(1).alias("start"), F.lit(5).alias("end"))
+    return render.entities(f).groupBy("entity").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+
+
+@query("select '{\"schema_version\":1,\"trail_id\":\"' || substr(sha256(p_type || '|' || sha256(p_name) || '|2024-01-01T00:00:00Z'), 1, 16) || '\",\"detector\":\"' || p_type || '\",\"secret_hash\":\"' || sha256(p_name) || '\",\"redacted\":\"' || substr(p_name, 1, 6) || '...\",\"at\":\"2024-01-01T00:00:00Z\"}' as line from part where length(p_name) > 6")
+def audit_trail(spark, sf):
+    f = table(spark, sf, "part").filter("length(p_name) > 6").select(F.col("p_type").alias("detector"), X.secret_hash("p_name").alias("secret_hash"), X.redacted("p_name").alias("redacted"))
+    return render.audit(f, "2024-01-01T00:00:00Z")
+
 
 def queries():
     return dict(_QUERIES)
