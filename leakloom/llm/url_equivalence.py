@@ -98,3 +98,36 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> Data
 def op10_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = S.table(spark, sf_dir, "pages")
     return judge(pages.select("page_id", "url"), edges_of(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql(rules=RULES) -> str:
+    """The query in DuckDB's SQL; aliases are a recursive closure over the links, of which there are few here."""
+    lower = f"translate(coalesce(regexp_extract({{0}}, '{_URL}', 1), ''), '{_UPPER}', '{_LOWER}')"
+    path = f"coalesce(regexp_extract({{0}}, '{_URL}', 2), '')"
+
+    def ruled(host: str, where: str, what: int) -> str:
+        cases = [f"when ({host} = '{h}' or ends_with({host}, '.{h}')) and starts_with({where}, '{p}') then '{(h + p, v)[what]}'" for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
+        return f"case {' '.join(cases)} end"
+
+    def key(url: str) -> str:
+        query = f"array_to_string(list_filter(string_split(regexp_extract({url}, '(?s)^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(?:utm_[a-z]+|gclid|fbclid)(?:=|$)')), '&')"
+        host = f"regexp_replace({lower.format(url)}, ':(?:80|443)$', '')"
+        return f"case when {host} <> '' then concat({host}, regexp_replace({path.format(url)}, '/+$', ''), case when {query} <> '' then '?' || {query} else '' end) end"
+
+    quote = "[\"'']?"
+    link = f"regexp_extract(html, '(?is)<link\\b[^<>]*\\brel\\s*=\\s*{quote}canonical\\b[^<>]*>', 0)"
+    meta = f"regexp_extract(html, '(?is)<meta\\b[^<>]*\\bhttp-equiv\\s*=\\s*{quote}refresh\\b[^<>]*>', 0)"
+    href = f"regexp_extract({link}, '(?is)\\bhref\\s*=\\s*{quote}\\s*([^\\s\"''<>]+)', 1)"
+    sent = f"regexp_extract({meta}, '(?is)\\burl\\s*=\\s*{quote}\\s*([^\\s\"''<>]+)', 1)"
+    absolute = "case when contains(t, '://') then t when starts_with(t, '//') then 'http:' || t when starts_with(t, '/') then 'http://' || host || t when starts_with(t, '?') then 'http://' || host || path || t when t <> '' then 'http://' || host || regexp_extract(path, '(?s)^(.*/)?', 0) || t end"
+    return f"""with recursive p as (select page_id, url, {lower.format('url')} as host, {path.format('url')} as path, {key('url')} as k, [{href}, {sent}] as found from pages),
+      e as (select distinct k as a, url as ua, {absolute} as ub from (select k, url, host, path, replace(unnest(found), '&amp;', '&') as t from p)),
+      l as (select a, b, ua, ub from (select a, {key('ub')} as b, ua, ub from e where ub is not null) where a is not null and b is not null),
+      pairs as (select a, b from l union select b, a from l),
+      closed as (select a, b from pairs union select closed.a, pairs.b from closed join pairs on closed.b = pairs.a),
+      told as (select k, {ruled('host', 'path', 1)} as v from p union all select a, {ruled(lower.format('ua'), path.format('ua'), 1)} from l union all select b, {ruled(lower.format('ub'), path.format('ub'), 1)} from l),
+      stop as (select k from told where v = 'block' and k is not null union select closed.a from closed join told on told.k = closed.b where v = 'block')
+      select page_id, host, path, {ruled('host', 'path', 0)} as rule, coalesce({ruled('host', 'path', 1)}, case when k in (select k from stop) then 'block' else 'allow' end) as verdict from p"""
+
+
+SQL = _sql()

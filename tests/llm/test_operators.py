@@ -465,3 +465,14 @@ def test_global_offsets(spark):
     for x in got:
         assert x["before"] == total
         total += x["n"]
+
+
+def test_url_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "http://A.example.org/es/1", "x"), (2, "http://x.net/1", '<link href="https://a.example.org/es/1#q" rel="canonical">'), (3, "http://y.net/?a=1&utm_source=f", "<META HTTP-EQUIV=refresh content='0; url=http://x.net/1'>"), (4, None, None), (5, "nourl", "<link rel=canonical href=/a>"), (6, "http://q.net:80/r/?b=2", '<link rel="canonical" href="http://r.com/de/?x=1&amp;y=2">'), (7, "https://q.net/r?b=2&gclid=1#z", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    ours = url_equivalence.op10_redirect_equivalence(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, ours))) == sorted(map(repr, con.execute(url_equivalence.SQL).fetchall()))
