@@ -23,7 +23,7 @@ from leakloom.llm import _shared as S
 
 #: Vocabulary of the default encoding, a file name that public_tokenizers resolves.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: A worker's cache of encoded pieces is emptied at this many entries, to bound its memory.
+#: Entries in a generation of a worker's cache of encoded pieces.
 CACHE_ENTRIES = 400_000
 #: Above every rank.
 NEVER = 1 << 60
@@ -168,17 +168,34 @@ class Splitter:
         return self._basic(text) if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self._any(text)
 
 
-class _Pieces(dict):
-    """Piece to its ids as little-endian 32-bit integers; filled on demand."""
+class PieceCache(dict):
+    """Piece to its ids as little-endian 32-bit integers, in two generations.
+
+    When the young one is full it becomes the old one, in place of that; what is asked for again moves
+    back. Common pieces so stay, and memory is bounded by twice CACHE_ENTRIES.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Pieces(PieceCache):
+    """Filled on demand."""
 
     def __init__(self, encoder: PrefixEncoder):
         super().__init__()
         self._encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = np.array(self._encoder.encode_piece(piece.encode()), "<u4").tobytes()
+        self.age()
+        if (ids := self.old.get(piece)) is None:
+            ids = np.array(self._encoder.encode_piece(piece.encode()), "<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakloom.llm import _shared as S
-from leakloom.llm.byte_bpe import CACHE_ENTRIES, Splitter
+from leakloom.llm.byte_bpe import PieceCache, Splitter
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -53,7 +53,7 @@ class LibraryEncoder:
         self._library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self._library.encode_special_tokens = True
         self.split = Splitter(public_tokenizers.PATTERN)
-        self._pieces: dict[str, bytes] = {}
+        self._pieces = PieceCache()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out, at = [], 0
@@ -67,10 +67,11 @@ class LibraryEncoder:
         return out
 
     def _some(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self._pieces) > CACHE_ENTRIES:
-            self._pieces.clear()
-        known, split = self._pieces, [self.split(t) for t in texts]
+        self._pieces.age()
+        known, old, split = self._pieces, self._pieces.old, [self.split(t) for t in texts]
         unknown = list(set().union(*split).difference(known))
+        known.update((piece, old[piece]) for piece in unknown if piece in old)
+        unknown = [piece for piece in unknown if piece not in known]
         for piece, coded in zip(unknown, self._library.encode_batch(unknown, add_special_tokens=False)):
             known[piece] = np.array(coded.ids, "<u4").tobytes()
         out = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in split]
