@@ -34,6 +34,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Ids in a chunk: the least, the mean distance of cuts after that, the most; ids that a cut depends on.
 LEAST, MEAN, MOST, WINDOW = 64, 512, 4096, 8
+#: Entries in a generation of a worker's cache of encoded pieces.
+CACHE_ENTRIES = 400_000
 #: Characters whose unknown pieces are encoded by one call of the library.
 _CALL_CHARS = 1 << 20
 
@@ -53,7 +55,7 @@ class LibraryEncoder:
         self._library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self._library.encode_special_tokens = True
         self.split = Splitter(public_tokenizers.PATTERN)
-        self._pieces = PieceCache()
+        self._pieces = PieceCache(CACHE_ENTRIES)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out, at = [], 0
@@ -69,16 +71,16 @@ class LibraryEncoder:
     def _some(self, texts: list[str]) -> list[np.ndarray]:
         self._pieces.age()
         known, old, split = self._pieces, self._pieces.old, [self.split(t) for t in texts]
-        unknown = list(set().union(*split).difference(known))
-        known.update((piece, old[piece]) for piece in unknown if piece in old)
-        unknown = [piece for piece in unknown if piece not in known]
-        for piece, coded in zip(unknown, self._library.encode_batch(unknown, add_special_tokens=False)):
-            known[piece] = np.array(coded.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in split]
-        for piece in unknown:
-            if len(piece) > 64:
-                del known[piece]
-        return out
+        here = {piece: known.get(piece) for piece in set().union(*split)}
+        unknown = [piece for piece, ids in here.items() if ids is None]
+        fresh = [piece for piece in unknown if piece not in old]
+        here.update((piece, old[piece]) for piece in unknown if piece in old)
+        if fresh:
+            coded = self._library.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = np.array(coded.ids, "<u4").tobytes(), 4 * np.searchsorted(np.array(coded.word_ids), np.arange(len(fresh)), side="right")
+            here.update((piece, ids[a:b]) for piece, a, b in zip(fresh, [0, *ends.tolist()], ends.tolist()))
+        known.update((piece, here[piece]) for piece in unknown if len(piece) <= 64)
+        return [np.frombuffer(b"".join(map(here.__getitem__, pieces)), "<u4") for pieces in split]
 
 
 @lru_cache(maxsize=2)
@@ -138,9 +140,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> None:
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
-            for at in range(0, len(texts), 64):
+            for at in range(0, len(texts), 256):
                 rows, seen = [], set()
-                for doc_id, stream in zip(ids[at : at + 64], encoder(vocabulary).encode(texts[at : at + 64])):
+                for doc_id, stream in zip(ids[at : at + 256], encoder(vocabulary).encode(texts[at : at + 256])):
                     stream, recipe, start = np.append(stream, np.uint32(END_ID)), [], 0
                     for end in cuts(stream):
                         data = packed(stream[start:end])
