@@ -24,7 +24,7 @@ from leakloom.llm import _shared as S
 #: Vocabulary of the default encoding, a file name that public_tokenizers resolves.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries in a generation of a worker's cache of encoded pieces.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -77,7 +77,7 @@ class PrefixEncoder:
         """
         key = left << 32 | right
         if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= 2 * CACHE_ENTRIES:
+            if len(self._pairs) >= CACHE_ENTRIES:
                 self._pairs.clear()
             rank = self.ranks.get
             known = self._pairs[key] = not any(rank(a + b, NEVER) < until_a and rank(a + b) <= until_b for a, until_a in self._edge(left, 1) for b, until_b in self._edge(right, 0))
@@ -172,15 +172,15 @@ class PieceCache(dict):
     """Piece to its ids as little-endian 32-bit integers, in two generations.
 
     When the young one is full it becomes the old one, in place of that; what is asked for again moves
-    back. Common pieces so stay, and memory is bounded by twice CACHE_ENTRIES.
+    back. Common pieces so stay, and memory is bounded by twice the entries of a generation.
     """
 
-    def __init__(self):
+    def __init__(self, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.old: dict[str, bytes] = {}
+        self.entries, self.old = entries, {}
 
     def age(self) -> None:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
 
