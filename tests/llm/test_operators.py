@@ -85,6 +85,20 @@ def test_dedup_of_a_chain_and_awkward_rows(spark):
     assert minhash_dedup.report(_empty(spark)).count() == 0
 
 
+def test_dedup_of_texts_with_repeated_runs(spark):
+    """Pairs just above the similarity whose own runs stand ten times each."""
+    rows = []
+    for pair in range(8):
+        common = [f"c{pair}x{k}" for k in range(850)]
+        rows += [(2 * pair + side, " ".join(common + [f"o{pair}y{side}z{k}" for k in range(100)] * 10)) for side in (0, 1)]
+    want = _brute_classes(rows)
+    assert len(want) == 8
+    got = {}
+    for x in minhash_dedup.report(_docs(spark, [(a, b, "en", "s", 1) for a, b in rows])).collect():
+        got.setdefault(x["class_id"], []).append(x["doc_id"])
+    assert sorted(map(sorted, got.values())) == want
+
+
 def test_registers_estimate_similarity():
     a, b = _text(1, 400).split(), _text(1, 400).split()
     b[200:210] = [f"z{k}" for k in range(10)]
