@@ -2,8 +2,9 @@
 
 Each half of a vector is quantised by its own ``CENTROIDS`` centroids, so a row lies in one of
 CENTROIDS squared cells. A query goes through the pairs of centroids by the sum of its inner products
-with them, largest first, from a heap, until the cells it has met hold ``SHARE`` of the rows; the
-rows of these cells are then ranked by their own inner products in double precision.
+with them, largest first, from a heap, until the cells it has met hold ``SHARE`` of the distinct vectors,
+so that copies of one don't use the share up, and enough rows for k neighbours; the rows of these cells
+are then ranked by their own inner products in double precision.
 
 The centroids are fitted on at most ``FIT_ROWS`` rows, those of least hash; every row is indexed.
 Rows lie in slabs of neighbouring first centroids, a slab in blocks of about ``ROWS`` rows however
@@ -56,10 +57,11 @@ def nearest(points: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Two codebooks and the number of rows in each cell; what a worker needs to place rows and to walk cells."""
+    """Two codebooks and the numbers of rows and of distinct vectors in each cell; what a worker needs to place rows and to walk cells."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.first, self.second, self.counts = first, second, np.zeros((len(first), len(second)), np.int64)
+        self.first, self.second = first, second
+        self.counts, self.distinct = np.zeros((2, len(first), len(second)), np.int64)
 
     def halves(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return v[:, : self.first.shape[1]], v[:, self.first.shape[1] :]
@@ -68,20 +70,22 @@ class MultiIndex:
         a, b = self.halves(v)
         return nearest(a, self.first) * len(self.second) + nearest(b, self.second)
 
-    def walk(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """The cells that a query visits: pairs of centroids by summed inner products until ``wanted`` rows are met."""
+    def walk(self, query: np.ndarray, wanted: int, least: int) -> np.ndarray:
+        """The cells that a query visits: pairs of centroids by summed inner products until ``wanted`` distinct vectors and ``least`` rows are met."""
         met = np.zeros(self.counts.shape, bool)
         a, b = self.halves(query[None, :])
         s, t = (self.first @ a[0]), (self.second @ b[0])
         rows, columns = np.argsort(-s, kind="stable"), np.argsort(-t, kind="stable")
-        s, t, counts = s[rows].tolist(), t[columns].tolist(), self.counts[rows][:, columns].tolist()
+        s, t = s[rows].tolist(), t[columns].tolist()
+        counts, distinct = (x[rows][:, columns].tolist() for x in (self.counts, self.distinct))
         depth = [0] * len(s)  # cells taken of each row so far; a row is opened when the one above has been
-        heap, found = [(-(s[0] + t[0]), 0)], 0
-        while heap and found < wanted:
+        heap, found, n = [(-(s[0] + t[0]), 0)], 0, 0
+        while heap and (found < wanted or n < least):
             _, i = heapq.heappop(heap)
             j = depth[i]
             depth[i] += 1
-            found += counts[i][j]
+            found += distinct[i][j]
+            n += counts[i][j]
             if j + 1 < len(t):
                 heapq.heappush(heap, (-(s[i] + t[j + 1]), i))
             if j == 0 and i + 1 < len(s):
@@ -128,9 +132,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
         return pa.array(index.cells(_matrix(v, width)).astype(np.int32))
 
     placed = S.checkpointed(rows.withColumn("cell", cell("v")))
-    for r in placed.groupBy("cell").count().collect():
-        index.counts[divmod(r["cell"], len(index.second))] = r["count"]
-    wanted = max(LEAST_CANDIDATES, int(np.ceil(share * index.counts.sum())))
+    copies = placed.groupBy("cell", F.xxhash64("v").alias("h")).count()
+    for r in copies.groupBy("cell").agg(F.sum("count").alias("n"), F.count("*").alias("vectors")).collect():
+        at = divmod(r["cell"], len(index.second))
+        index.counts[at], index.distinct[at] = r["n"], r["vectors"]
+    wanted = max(LEAST_CANDIDATES, int(np.ceil(share * index.distinct.sum())))
+    # Rows with the query's own id are met but are no candidates.
+    least = k + (placed.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0)
     per_slab = -(-len(index.first) // SLABS)
     slab_rows = np.add.reduceat(index.counts.sum(1), np.arange(0, len(index.first), per_slab))
     blocks = np.maximum(1, -(-slab_rows // ROWS)).tolist()
@@ -141,7 +149,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     def walked(v: pa.Array) -> pa.Array:
         out = []
         for q in _matrix(v, width):
-            met = index.walk(q, wanted)
+            met = index.walk(q, wanted, least)
             parts = [met[a : a + per_slab] for a in range(0, len(met), per_slab)]
             out.append([{"slab": i, "met": np.packbits(p).tobytes()} for i, p in enumerate(parts) if p.any()])
         return pa.array(out, pa.list_(pa.struct([("slab", pa.int32()), ("met", pa.binary())])))

@@ -401,6 +401,27 @@ def test_search_against_brute_force(spark):
     assert sorted(x["vec_id"] for x in few) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("copies", [0, 2000])
+def test_search_recall_at_the_share_used(spark, copies):
+    """As on large tables, with and without a third of the rows copies of one vector."""
+    n = 6000
+    e = np.random.default_rng(5).normal(size=(n, 64)).astype(np.float32)
+    e[:copies] = e[0]
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(e)], "vec_id long, embedding array<float>")
+    got = {}
+    for x in multi_index.search(vectors, F.col("vec_id") % 20 == 7).collect():
+        got.setdefault(x["query_id"], []).append(x["score"])
+    d, recall = e.astype(float), {}
+    assert set(got) == set(range(7, n, 20))
+    for q, found in got.items():
+        s = d @ d[q]
+        s[q] = -np.inf
+        least = np.sort(s)[-20]
+        recall[q] = sum(x >= least - 1e-9 for x in found) / 20
+    own = [v for q, v in recall.items() if q >= copies]
+    assert np.mean(own) >= 0.9
+
+
 # 9
 def _measure(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
