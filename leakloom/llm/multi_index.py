@@ -4,7 +4,7 @@ Each half of a vector is quantised by its own ``CENTROIDS`` centroids, so a row
 CENTROIDS squared cells. A query goes through the pairs of centroids by the sum of its inner products
 with them, largest first, from a heap, until the cells it has met hold ``SHARE`` of the distinct vectors,
 so that copies of one don't use the share up, and enough rows for k neighbours; the rows of these cells
-are then ranked by their own inner products in double precision.
+are then ranked by their own inner products in double precision. This is so for tables of any size.
 
 The centroids are fitted on at most ``FIT_ROWS`` rows, those of least hash; every row is indexed.
 Rows lie in slabs of neighbouring first centroids, a slab in blocks of about ``ROWS`` rows however
@@ -26,7 +26,6 @@ CENTROIDS = 128
 FIT_ROWS, FIT_ROUNDS = 20_000, 12
 #: On vectors with hardly any structure this share finds 0.93 to 0.95 of the true neighbours.
 SHARE = 0.4
-LEAST_CANDIDATES = 2_000
 SLABS = 8
 ROWS, QUERIES = 4_096, 1_024
 
@@ -136,7 +135,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     for r in copies.groupBy("cell").agg(F.sum("count").alias("n"), F.count("*").alias("vectors")).collect():
         at = divmod(r["cell"], len(index.second))
         index.counts[at], index.distinct[at] = r["n"], r["vectors"]
-    wanted = max(LEAST_CANDIDATES, int(np.ceil(share * index.distinct.sum())))
+    wanted = int(np.ceil(share * index.distinct.sum()))
     # Rows with the query's own id are met but are no candidates.
     least = k + (placed.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0)
     per_slab = -(-len(index.first) // SLABS)

@@ -422,6 +422,18 @@ def test_search_recall_at_the_share_used(spark, copies):
     assert np.mean(own) >= 0.9
 
 
+def test_search_of_small_tables_walks_the_share(spark):
+    e = np.random.default_rng(6).normal(size=(1500, 64))
+    index = multi_index.MultiIndex(multi_index.centroids(e[:, :32], 128, 0), multi_index.centroids(e[:, 32:], 128, 1))
+    np.add.at(index.distinct.reshape(-1), index.cells(e), 1)
+    np.add.at(index.counts.reshape(-1), index.cells(e), 1)
+    assert 600 <= index.distinct[index.walk(e[0], 600, 21)].sum() < 620
+    assert index.walk(e[0], 1, 1500).sum() == index.walk(e[0], 1500, 1).sum()
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(e)], "vec_id long, embedding array<double>")
+    short = multi_index.search(vectors, F.col("vec_id") == 0, k=1000)
+    assert short.count() == 1000
+
+
 # 9
 def _measure(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
