@@ -24,8 +24,10 @@ from leakloom.llm import _shared as S
 #: Kinds in the order in which spans of one start are listed; the base patterns know the first four.
 KINDS = ("email", "ip", "card", "phone", "secret")
 OUTSIDE = len(KINDS)
-#: Rounds of message passing, examples to train on, and the belief a span needs.
+#: Least bound on the rounds of message passing, examples to train on, and the belief a span needs.
 ROUNDS, EXAMPLES, BELIEF = 8, 600, 0.7
+#: Messages of a text have settled when none changed by more in a round.
+SETTLED = 1e-6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -235,19 +237,33 @@ def model(seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, c, s
 
 
-def infer(unary: np.ndarray, edges: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """Marginals by loopy sum-product: all messages of a round are sent at once, ROUNDS times."""
+def infer(unary: np.ndarray, edges: np.ndarray, scores: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Marginals by loopy sum-product: all messages of a round are sent at once, until they settle.
+
+    ``of``: the text of each edge; without it all are one's. A text's messages stop on their own, so what
+    else is in the batch makes no difference; at most it has as many rounds as edges (ROUNDS at least),
+    which lets a label travel along its longest chain.
+    """
     n, k = unary.shape
+    of = np.zeros(len(edges), int) if of is None else of
+    bound = np.maximum(ROUNDS, np.bincount(of)) if len(edges) else of
     to_right, to_left = np.zeros((len(edges), k)), np.zeros((len(edges), k))
-    belief = unary
-    for _ in range(ROUNDS if len(edges) else 0):
-        out_left, out_right = belief[edges[:, 0]] - to_left, belief[edges[:, 1]] - to_right
-        right = _log_sum(out_left[:, :, None] + scores)
-        left = _log_sum(out_right[:, :, None] + scores.transpose(0, 2, 1))
-        to_right, to_left = right - right.max(1, keepdims=True), left - left.max(1, keepdims=True)
-        belief = unary.copy()
-        np.add.at(belief, edges[:, 1], to_right)
-        np.add.at(belief, edges[:, 0], to_left)
+    belief, live, turn = unary.copy(), np.arange(len(edges)), 0
+    while len(live):
+        turn += 1
+        first, second = edges[live].T
+        out_left, out_right = belief[first] - to_left[live], belief[second] - to_right[live]
+        right = _log_sum(out_left[:, :, None] + scores[live])
+        left = _log_sum(out_right[:, :, None] + scores[live].transpose(0, 2, 1))
+        right, left = right - right.max(1, keepdims=True), left - left.max(1, keepdims=True)
+        change = np.zeros(len(bound))
+        np.maximum.at(change, of[live], np.maximum(abs(right - to_right[live]).max(1), abs(left - to_left[live]).max(1)))
+        to_right[live], to_left[live] = right, left
+        nodes = np.unique(edges[live])
+        belief[nodes] = unary[nodes]
+        np.add.at(belief, second, right)
+        np.add.at(belief, first, left)
+        live = live[((change > SETTLED) & (turn < bound))[of[live]]]
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -266,16 +282,18 @@ def find(texts: list[str]) -> list[tuple[list, list]]:
     if not flat:
         return list(zip(bases, alls))
     w, c, s = model()
-    chains, skips, at = [], [], 0
-    for ts in tokens:
+    chains, skips, of, at = [], [], ([], []), 0
+    for text, ts in enumerate(tokens):
         chain, skip = links(ts)
+        of[0].extend([text] * len(chain))
+        of[1].extend([text] * len(skip))
         chains += [(a + at, b + at) for a, b in chain]
         skips += [(a + at, b + at) for a, b in skip]
         at += len(ts)
     unary = np.array([t.features() for t in flat], float) @ w
     edges = np.array(chains + skips, int).reshape(-1, 2)
     scores = np.concatenate([np.broadcast_to(c, (len(chains), *c.shape)), np.broadcast_to(s, (len(skips), *s.shape))])
-    beliefs = infer(unary, edges, scores)
+    beliefs = infer(unary, edges, scores, np.array(of[0] + of[1], int))
     labels, sure, at = beliefs.argmax(1), beliefs.max(1) >= BELIEF, 0
     for text, ts, base, found in zip(texts, tokens, bases, alls):
         runs: list[list[int]] = []

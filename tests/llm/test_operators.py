@@ -295,6 +295,29 @@ def test_loopy_messages_are_exact_on_chains():
     assert np.allclose(got[1], mass.sum((0, 2)) / mass.sum())
 
 
+def test_messages_reach_the_end_of_long_chains():
+    n = 60
+    unary, edges = np.zeros((n + 2, 2)), np.array([(i, i + 1) for i in range(n - 1)] + [(n, n + 1)])
+    unary[0, 1] = 6
+    scores = np.broadcast_to(np.eye(2) * 7, (len(edges), 2, 2))
+    mass = np.exp(unary[0])
+    for _ in range(n - 1):
+        mass = mass @ np.exp(np.eye(2) * 7)
+        mass /= mass.sum()
+    assert np.allclose(pii_crf.infer(unary[:n], edges[:-1], scores[:-1])[n - 1], mass, atol=1e-4)
+    got = pii_crf.infer(unary, edges, scores, np.array([0] * (n - 1) + [1]))
+    assert mass[1] > 0.9 and np.allclose(got[n - 1], mass, atol=1e-4) and np.allclose(got[n:], 0.5)
+
+
+def test_field_labels_dozens_of_repeats():
+    fill = " and so the river went along the garden wall until the evening came "
+    for told, bare in (("call 415-555-2671", "4155552671"), ("card 4111-1111-1111-1111", "4111111111111111"), ('token = "abc123def456ghi7"', "abc123def456ghi7")):
+        text = told + fill + fill.join([bare] * 40)
+        (_, spans), = pii_crf.find([text])
+        assert sum(text[a:b] == bare for a, _, b in spans) >= 40
+        assert pii_crf.find(["x", text, "call 415-555-2671", ""])[1][1] == spans
+
+
 def test_pii_report_and_redaction(spark):
     docs = _docs(spark, [(1, None, "en", "a", None), (2, "mail joe.b@x.example.com now", "en", None, 3), (3, "", None, None, None), (2, "mail joe.b@x.example.com now", "en", None, 3)])
     got = {x["doc_id"]: x for x in pii_crf.report(docs).collect()}
