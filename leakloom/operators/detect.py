@@ -98,14 +98,14 @@ class _Compiled:
         return out
 
     def find(self, text: str, vicinity: int | None):
-        lowered = text.translate(_ASCII)
+        lowered, told = text.translate(_ASCII), {}  # a detector's forms tell a value at a place once
         for k, ends in sorted(self.hits(lowered).items(), key=lambda x: (not self.rules[x[0]].verifier_backed, x[0])):
             rule = self.rules[k]
             if vicinity is None or rule.full_chunk or not ends:
                 spans = [(0, len(text))]
             else:
                 spans = merged_spans(ends, vicinity, len(text))
-            seen = set()
+            seen = told.setdefault(rule.name, set())
             for low, high in spans:
                 for m in self.pattern(rule.pattern).finditer(text[low:high]):
                     raw, start, end = m[rule.capture], m.start(rule.capture) + low, m.end(rule.capture) + low

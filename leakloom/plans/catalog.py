@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from dataclasses import replace
 from functools import lru_cache
 
 from leakloom.plans.rules import Rule
@@ -18,6 +19,12 @@ _CLASSES = {"AZ": "A-Z", "az": "a-z", "09": "0-9", "af": "a-f", "AF": "A-F", "ws
 _NAMED = (("CRLF", r"\r\n"), ("CR", r"\r"), ("LF", r"\n"), ("SP", " "), ("TAB", r"\t"), ("BT", "`"))
 _TOKEN = re.compile(r'"(?:"""|[^"])*?"(?=$|[\s×*+?)(])|⟨[^⟩]*⟩|×\d+(?:\.\.\d+|\+)?(?:lazy)?|[*+?](?:lazy)?|G\d+\(|\(|\)|▏|\^|END|¦|§§?|ˋ')
 _SEVERITY = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
+#: Patterns that are token forms of their own besides a row's first one; a row's others are helpers, partners or gates.
+_FORMS = {
+    "APIKeyAssignment": ("assignColonRe",), "AWSS3PresignedURL": ("pathStyleRe",), "Airtable": ("legacyRe",), "Akamai": ("tokenRe",), "BitbucketCloud": ("appPasswordRe",), "BitbucketServer": ("patRe",),
+    "Bugsnag": ("tokenRe",), "Buildkite": ("apiRe", "legacyRe"), "CircleCI": ("hexRe",), "Dropbox": ("legacyRe",), "GitHub": ("fineRe",), "HardcodedPassword": ("yamlValueRe",), "Honeycomb": ("legacyRe",),
+    "Mailgun": ("newRe",), "NewRelic": ("ingestRe", "insertRe"), "OneSignal": ("v2Re",), "RunPod": ("altRe",), "SonarQube": ("legacyRe",), "UpstashRedis": ("tokenRe",), "Vault": ("legacyRe",),
+}
 
 
 class Unreadable(ValueError):
@@ -137,3 +144,15 @@ def inventory(path: str = INVENTORY) -> tuple[tuple[str, ...], ...]:
 def load(path: str = INVENTORY) -> tuple[Rule, ...]:
     """Rules of all detectors whose patterns the inventory gives in full."""
     return tuple(r for r in map(_rule, map(list, inventory(path))) if r is not None and r.keywords)
+
+
+@lru_cache(maxsize=4)
+def forms(path: str = INVENTORY) -> tuple[Rule, ...]:
+    """Rules of detectors' further token forms, one each under the detector's name and with its gates."""
+    patterns, out = {row[1]: row[7] for row in inventory(path)}, []
+    for rule in load(path):
+        found = _patterns(patterns[rule.name]) if rule.name in _FORMS else {}
+        for name in _FORMS.get(rule.name, ()):
+            if name in found:
+                out.append(replace(rule, pattern=found[name], capture=min(1, re.compile(found[name]).groups)))
+    return tuple(out)

@@ -163,7 +163,7 @@ def detect_pair_nearest(spark, sf):
 
 @query()
 def detect_catalog_all(spark, sf):
-    found = detect.enrich(detect.detect_catalog(seeded(spark, sf), (*catalog.load(), *SPECIAL)))
+    found = detect.enrich(detect.detect_catalog(seeded(spark, sf), (*catalog.load(), *catalog.forms(), *SPECIAL)))
     return found.select("chunk_id", "detector", "verifier_backed", "secret_hash", "redacted", "severity", "line", "start_byte", "end_byte")
 
 

@@ -55,6 +55,19 @@ def test_catalog_reads_the_inventory():
     assert {row[1] for row in catalog.inventory()} - names <= {"PIIAnonymize", "PIIOpenAIPF"}
 
 
+def test_detectors_find_all_their_token_forms(spark):
+    texts = {
+        "BitbucketCloud": "x ATBB" + "a1B2" * 8 + " end", "GitHub": "x github_pat_" + "aB" * 41 + " end", "Buildkite": "buildkite bka_" + "a1B2" * 10 + " end", "NewRelic": "x NRAK-" + "A1B" * 9 + " end",
+        "AWSS3PresignedURL": "x https://s3.amazonaws.com/b/k?X-Amz-Algorithm=AWS4-HMAC-SHA256&X-Amz-Signature=ab end", "HardcodedPassword": "a:\n  password: hunter2hunter2\n", "Honeycomb": "honeycomb " + "a1b2" * 8 + " end",
+    }
+    every = (*catalog.load(), *catalog.forms())
+    assert sum(len(v) for v in catalog._FORMS.values()) == len(catalog.forms())
+    chunks = spark.createDataFrame(list(texts.items()), "name string, text string")
+    found = [(r["name"], r["detector"], r["start"]) for r in detect.detect_catalog(chunks, every).collect()]
+    assert {n for n, d, _ in found if n == d} == set(texts) and len(found) == len(set(found))
+    assert {n for n, d, _ in [(r["name"], r["detector"], 0) for r in detect.detect_catalog(chunks, catalog.load()).collect()] if n == d} < set(texts)
+
+
 def test_custom_rules():
     good = [{"name": "N", "keywords": ["Key"], "regex": "key=(\\w+)"}]
     (r,) = rules.load_custom(json.dumps(good))
