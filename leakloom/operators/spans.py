@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +60,22 @@ def variants(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.withColumn("v", F.explode(D.variants(text))).select("*", "v.variant", "v.vtext").drop("v")
 
 
+def _starts(texts: pa.Array, raws: pa.Array) -> pa.Array:
+    out = []
+    for text, raw in zip(texts.to_pylist(), raws.to_pylist()):
+        found = []
+        at = text.find(raw) if text and raw else -1
+        while at >= 0:
+            found.append(at + 1)
+            at = text.find(raw, at + len(raw))
+        out.append(found)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def all_occurrences(findings: DataFrame, text: str = "text", raw: str = "raw") -> DataFrame:
-    """One row per occurrence of each finding's value, with occurrence (from 1) and position (1-based)."""
-    pieces = F.transform(F.slice(F.split(F.col(text), F.concat(F.lit("\\Q"), F.replace(F.col(raw), F.lit("\\E")), F.lit("\\E")), -1), 1, 2147483647), lambda p: F.char_length(p).cast("long"))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(1).cast("long"), lambda a, x: a + x) + (k - 1) * F.char_length(raw))
+    """One row per occurrence of each finding's value, with occurrence (from 1) and position (1-based).
+
+    One pass over a text, whatever the number of its occurrences.
+    """
     rows = findings.filter(F.col(text).contains(F.col(raw)) & (F.char_length(raw) > 0))
-    return rows.select("*", F.posexplode(starts).alias("occurrence", "position")).withColumn("occurrence", (F.col("occurrence") + 1).cast("long"))
+    return rows.select("*", F.posexplode(F.arrow_udf("array<long>")(_starts)(text, raw)).alias("occurrence", "position")).withColumn("occurrence", (F.col("occurrence") + 1).cast("long"))

@@ -68,6 +68,15 @@ def test_detectors_find_all_their_token_forms(spark):
     assert {n for n, d, _ in [(r["name"], r["detector"], 0) for r in detect.detect_catalog(chunks, catalog.load()).collect()] if n == d} < set(texts)
 
 
+def test_all_occurrences_in_long_texts(spark):
+    texts = [("tion", "é😀tion " * 40_000), ("a\\Eb", "x a\\Eb a\\Eb"), ("aa", "aaaaa"), ("z", "none"), ("", "x"), ("q", None)]
+    got = {}
+    for r in spans.all_occurrences(spark.createDataFrame(texts, "raw string, text string")).select("raw", "occurrence", "position").collect():
+        got.setdefault(r["raw"], []).append((r["occurrence"], r["position"]))
+    want = {w: [(k, m.start() + 1) for k, m in enumerate(re.finditer(re.escape(w), t), 1)] for w, t in texts if w and t and w in t}
+    assert {w: sorted(v) for w, v in got.items()} == want and len(want["tion"]) == 40_000
+
+
 def test_custom_rules():
     good = [{"name": "N", "keywords": ["Key"], "regex": "key=(\\w+)"}]
     (r,) = rules.load_custom(json.dumps(good))
