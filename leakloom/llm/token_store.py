@@ -216,12 +216,18 @@ def root(spark: SparkSession, folder: str) -> bytes:
     return merkle(bytes(r["root"]) for r in spark.read.parquet(f"{folder}/manifest").orderBy("shard").select("root").toLocalIterator())[1]
 
 
+def _changed(spark: SparkSession, folder: str) -> bool:
+    """Whether the recipes don't agree with the manifest."""
+    now, manifest = _roots(spark.read.parquet(f"{folder}/recipes")), spark.read.parquet(f"{folder}/manifest")
+    both = now.withColumn("side", F.lit(1)).unionByName(manifest.withColumn("side", F.lit(-1)))
+    return bool(both.groupBy("shard", "rows", "root").agg(F.sum("side").alias("more")).filter("more <> 0").limit(1).count())
+
+
 def verify(spark: SparkSession, folder: str) -> bool:
     """Recipes agree with the manifest, chunks with their digests, and no chunk lacks."""
-    recipes, manifest = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/manifest")
-    now = _roots(recipes)
-    if now.exceptAll(manifest).limit(1).count() or manifest.exceptAll(now).limit(1).count():
+    if _changed(spark, folder):
         return False
+    recipes = spark.read.parquet(f"{folder}/recipes")
     chunks = _part(spark, folder, "chunk")
     if chunks.filter(~_chunk_values("data", "key")["valid"]).limit(1).count():
         return False
@@ -281,13 +287,17 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files.
 
     Each chunk is read once, held against its digest, and gives its CRC; a document's is put
-    together from its chunks'. A chunk that doesn't have its digest makes the query fail.
+    together from its chunks'. Recipes that differ from the manifest, a chunk that lacks or doesn't
+    have its digest, and a document without the number of ids in its recipe make the query fail.
     """
+    if _changed(spark, folder):
+        raise ValueError("the recipes' tree differs from the manifest")
     values = _part(spark, folder, "chunk").select("key", _chunk_values("data", "key").alias("v"))
     right = F.when(F.col("v.valid"), F.col("v.crc")).otherwise(F.raise_error(F.lit("a chunk differs from its digest")))
     chunks = values.select("key", F.col("v.n").alias("ids"), right.alias("crc"))
     recipes = spark.read.parquet(f"{folder}/recipes")
-    parts = recipes.select("start", F.posexplode("digests").alias("pos", "key")).join(chunks, "key").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("pos", "ids", "crc"))).alias("parts"))
+    parts = recipes.select("start", F.posexplode("digests").alias("pos", "key")).join(chunks, "key", "left").withColumn("ids", F.coalesce("ids", F.raise_error(F.lit("a chunk lacks")).cast("long")))
+    parts = parts.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("pos", "ids", "crc"))).alias("parts"))
 
     def rows(lists):
         crc, after, owner = [], [], []
@@ -303,7 +313,8 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
         return [{"crc": int(c), "n": sum(x["ids"] for x in p)} for c, p in zip(out, lists)]
 
     found = parts.select("start", S.text_udf("crc long, n long", rows)("parts").alias("r"))
-    return recipes.select("start", "doc_id").join(found, "start").select("doc_id", "start", F.col("r.n").alias("n_tokens"), F.col("r.crc").alias("ids_crc32"))
+    whole = F.when(F.col("r.n") == F.col("n"), F.col("r.n")).otherwise(F.raise_error(F.lit("a document's number of ids differs from its recipe")).cast("long"))
+    return recipes.select("start", "doc_id", "n").join(found, "start", "left").select("doc_id", "start", whole.alias("n_tokens"), F.col("r.crc").alias("ids_crc32"))
 
 
 def op7_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:

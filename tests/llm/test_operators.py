@@ -390,6 +390,21 @@ def test_store_shares_chunks_and_sees_damage(spark, tmp_path):
     assert token_store.report(spark, empty).count() == 0
 
 
+def test_report_fails_on_lacking_chunks_and_changed_recipes(spark, tmp_path):
+    folder = (tmp_path / "store").as_uri()
+    token_store.write(_docs(spark, [(k, _text(k, 3000), "en", "s", 1) for k in range(3)]), folder)
+    store, recipes, manifest = (spark.read.parquet(f"{folder}/{x}") for x in ("store", "recipes", "manifest"))
+    lost = store.filter("kind = 'chunk'").agg(F.min("key").alias("key")).withColumn("gone", F.lit(True))
+    damaged = {"a chunk lacks": (store.join(lost, "key", "left").filter("gone is null or kind <> 'chunk'").drop("gone"), recipes), "manifest": (store, recipes.withColumn("n", F.col("n") + 1))}
+    for k, (what, (chunks, told)) in enumerate(damaged.items()):
+        bad = (tmp_path / f"bad{k}").as_uri()
+        chunks.write.partitionBy("kind").parquet(f"{bad}/store")
+        told.write.parquet(f"{bad}/recipes")
+        manifest.write.parquet(f"{bad}/manifest")
+        with pytest.raises(Exception, match=what):
+            token_store.report(spark, bad).collect()
+
+
 def test_crc_of_parts():
     r = np.random.default_rng(1)
     for _ in range(50):
