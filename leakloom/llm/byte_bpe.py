@@ -5,26 +5,26 @@ token ``t`` that ends at ``i`` is it exactly if ``t`` encodes to itself and form
 with the last token of the prefix before it, a pair being valid if its joined bytes encode to
 just these two tokens. One left-to-right pass over the prefixes therefore encodes without a
 merge loop, the array of last tokens serves any prefix, appending continues the pass, and after
-an edit the pass restarts at the first changed byte.
+an edit the pass restarts at the first changed byte and ends where the old last tokens come back: once as many
+in a row as the longest token has bytes are what they were, so are all after them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from leakloom.llm import _shared as S
+from leakloom.llm.pieces import PieceTable
 
 #: Vocabulary of the default encoding, a file name that public_tokenizers resolves.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Entries in a generation of a worker's cache of encoded pieces.
-CACHE_ENTRIES = 100_000
+#: Pairs of tokens whose validity an encoder remembers.
+PAIRS = 100_000
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -77,19 +77,19 @@ class PrefixEncoder:
         """
         key = left << 32 | right
         if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= CACHE_ENTRIES:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             rank = self.ranks.get
             known = self._pairs[key] = not any(rank(a + b, NEVER) < until_a and rank(a + b) <= until_b for a, until_a in self._edge(left, 1) for b, until_b in self._edge(right, 0))
         return known
 
-    def extend(self, data: bytes, last: list[int]) -> list[int]:
-        """Fill ``last[i]``, the last token of ``data[:i]``, from ``len(last)`` on; ``last[0]`` is -1.
+    def extend(self, data: bytes, last: list[int], size: int | None = None) -> list[int]:
+        """Fill ``last[i]``, the last token of ``data[:i]``, from ``len(last)`` to ``size``, by default the end; ``last[0]`` is -1.
 
         Every prefix has a last token, so a pass over the starts, each walking the trie as far as
         tokens reach, settles each end before it becomes a start.
         """
-        pairs, done, size = self._pairs, len(last), len(data)
+        pairs, done, size = self._pairs, len(last), len(data) if size is None else size
         last += [NEVER] * (size + 1 - done)
         for start in range(max(0, done - self.longest), size):
             left, node = last[start], self.trie
@@ -133,76 +133,34 @@ class PrefixBuffer:
         self.data += data
         self.encoder.extend(self.data, self.last)
 
-    def replace(self, start: int, end: int, data: bytes) -> None:
-        """Put ``data`` in place of ``[start, end)``; prefixes up to ``start`` are kept as they are."""
+    def replace(self, start: int, end: int, data: bytes) -> int:
+        """Put ``data`` in place of ``[start, end)``; returns how many last tokens had to be found again.
+
+        Prefixes up to ``start`` keep theirs. Beyond the edit the pass goes on until the last tokens of as many
+        prefixes in a row as the longest token is long are those of before; the others keep theirs as well.
+        """
+        old, longest = self.last[end:], self.encoder.longest
         self.data = self.data[:start] + data + self.data[end:]
         del self.last[start + 1 :]
-        self.encoder.extend(self.data, self.last)
+        edge, same = start + len(data), 0
+        while len(self.last) <= len(self.data):
+            done = len(self.last)
+            self.encoder.extend(self.data, self.last, min(len(self.data), max(done, edge) + longest))
+            for at in range(max(done, edge + 1), len(self.last)):
+                same = same + 1 if self.last[at] == old[at - edge] else 0
+            if same >= longest:
+                found = len(self.last)
+                self.last += old[found - edge :]
+                return found - start - 1
+        return len(self.last) - start - 1
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes, of all by default."""
         return self.encoder.tokens(self.data[:end], self.last)
 
 
-class Splitter:
-    """Cuts a text at the public splitting pattern.
-
-    The pattern's character classes are spelt out for the basic plane, which makes the standard
-    library's matcher several times faster; a text with other characters takes the pattern itself.
-    """
-
-    def __init__(self, pattern: str):
-        import regex
-
-        self._any = regex.compile(pattern).findall
-        classes = {name: self._ranges(regex, name) for name in (r"\p{L}", r"\p{N}", r"\s")}
-        letters, numbers, spaces = classes.values()
-        self._basic = re.compile(rf" ?[{letters}]+| ?[{numbers}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+").findall
-
-    @staticmethod
-    def _ranges(regex, name: str) -> str:
-        plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
-        return "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"{name}+", plane))
-
-    def __call__(self, text: str) -> list[str]:
-        return self._basic(text) if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self._any(text)
-
-
-class PieceCache(dict):
-    """Piece to its ids as little-endian 32-bit integers, in two generations.
-
-    When the young one is full it becomes the old one, in place of that; what is asked for again moves
-    back. Common pieces so stay, and memory is bounded by twice the entries of a generation.
-    """
-
-    def __init__(self, entries: int = CACHE_ENTRIES):
-        super().__init__()
-        self.entries, self.old = entries, {}
-
-    def age(self) -> None:
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
-
-
-class _Pieces(PieceCache):
-    """Filled on demand."""
-
-    def __init__(self, encoder: PrefixEncoder):
-        super().__init__()
-        self._encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        self.age()
-        if (ids := self.old.get(piece)) is None:
-            ids = np.array(self._encoder.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-
 class TextCodec:
-    """Whole texts to ids and back."""
+    """Whole texts to ids and back, many at once."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
@@ -210,15 +168,25 @@ class TextCodec:
         with open(public_tokenizers.path(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoder = PrefixEncoder(ranks)
-        self.split = Splitter(public_tokenizers.PATTERN)
-        self._pieces = _Pieces(self.encoder)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._pieces.__getitem__, self.split(text)))
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.encoder.bytes_of.__getitem__, array("I", ids)))
+        one = self.encoder.encode_piece
+        self._pieces = PieceTable(lambda pieces: [one(p.encode()) for p in pieces])
+        last = max(ranks.values(), default=-1)
+        tokens = [self.encoder.bytes_of.get(i, b"") for i in range(last + 1)]
+        self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self._sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self._starts = np.cumsum(self._sizes) - self._sizes
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers."""
+        return self._pieces.encode(texts)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for; an id without a token is an error."""
+        sizes = self._sizes[ids]
+        if len(ids) and not sizes.all():
+            raise ValueError("an id has no token")
+        ends = np.cumsum(sizes)
+        return self._bytes[np.repeat(self._starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -228,21 +196,23 @@ def codec(vocabulary: str = VOCABULARY) -> TextCodec:
 
 
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Add ``into``, the ids of each text as little-endian unsigned 32-bit integers. Null counts as empty."""
+    """Add ``into``, the ids of each text as little-endian unsigned 32-bit integers; a column of that name is replaced.
+
+    One row per input row, repeated rows included; null counts as empty; an empty table stays empty.
+    """
 
     def rows(texts):
-        known = codec(vocabulary)
-        return [{"v": known.encode(t or "")} for t in texts]
+        return [{"v": ids.astype("<u4").tobytes()} for ids in codec(vocabulary).encode([t or "" for t in texts])]
 
     return docs.withColumn(into, S.text_udf("v binary", rows)(text)["v"])
 
 
 def decode(docs: DataFrame, ids: str = "ids", into: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Add ``into``, the text that ids stand for; null ids give null."""
+    """Add ``into``, the text that ids stand for; a column of that name is replaced. Null ids give null; bytes that aren't UTF-8 become U+FFFD."""
 
     def rows(values):
         known = codec(vocabulary)
-        return [{"v": None if v is None else known.decode(v).decode("utf-8", "replace")} for v in values]
+        return [{"v": None if v is None else known.decode(np.frombuffer(v, "<u4")).decode("utf-8", "replace")} for v in values]
 
     return docs.withColumn(into, S.text_udf("v string", rows)(ids)["v"])
 
@@ -256,9 +226,8 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def rows(texts):
         known, out = codec(vocabulary), []
-        for text in texts:
-            ids = known.encode(text or "")
-            out.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(known.decode(ids)).hexdigest()})
+        for ids in known.encode([t or "" for t in texts]):
+            out.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(known.decode(ids)).hexdigest()})
         return out
 
     coded = S.text_udf("n_tokens long, ids_sha256 string, decoded_sha256 string", rows)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -28,59 +29,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakloom.llm import _shared as S
-from leakloom.llm.byte_bpe import PieceCache, Splitter
+from leakloom.llm.pieces import PieceTable
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Ids in a chunk: the least, the mean distance of cuts after that, the most; ids that a cut depends on.
 LEAST, MEAN, MOST, WINDOW = 64, 512, 4096, 8
-#: Entries in a generation of a worker's cache of encoded pieces.
-CACHE_ENTRIES = 400_000
-#: Characters whose unknown pieces are encoded by one call of the library.
-_CALL_CHARS = 1 << 20
 
 
 class LibraryEncoder:
-    """Whole texts to ids by the tokenizers library.
+    """Whole texts to ids by the tokenizers library, as its ``encode`` without added special tokens gives them.
 
-    The library encodes each match of the splitting pattern by itself; a worker asks it once for
-    each different match, and puts texts together from the answers.
+    The library encodes each match of the splitting pattern by itself; a worker asks its model once for each
+    different match, and puts texts together from the answers. Special tokens that stand in a text are one id
+    each, and what is between them is split by itself, as the library does.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
-
-        self._library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self._library.encode_special_tokens = True
-        self.split = Splitter(public_tokenizers.PATTERN)
-        self._pieces = PieceCache(CACHE_ENTRIES)
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in library.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that take blanks or whole words aren't supported")
+        self._special = special
+        self._cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(special, key=len, reverse=True))) if special else None
+        tokenize, form = library.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        shown = {b: form(chr(b))[0][0] for b in range(128)} | {b: form(chr(b))[0][0][1] for b in range(0x80, 0xC0)} | {0xC0 + k: form(chr(0x40 * k))[0][0][0] for k in range(2, 32)}
+        shown |= {0xE0 + k: form(chr(max(0x800, k << 12)))[0][0][0] for k in range(16)} | {0xF0 + k: form(chr(max(0x10000, k << 18)))[0][0][0] for k in range(5)}
+        self._pieces = PieceTable(lambda pieces: [[t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))] for p in pieces])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, at = [], 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= _CALL_CHARS):
-                chars += len(texts[end])
-                end += 1
-            out += self._some(texts[at:end])
-            at = end
-        return out
-
-    def _some(self, texts: list[str]) -> list[np.ndarray]:
-        self._pieces.age()
-        known, old, split = self._pieces, self._pieces.old, [self.split(t) for t in texts]
-        here = {piece: known.get(piece) for piece in set().union(*split)}
-        unknown = [piece for piece, ids in here.items() if ids is None]
-        fresh = [piece for piece in unknown if piece not in old]
-        here.update((piece, old[piece]) for piece in unknown if piece in old)
-        if fresh:
-            coded = self._library.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-            ids, ends = np.array(coded.ids, "<u4").tobytes(), 4 * np.searchsorted(np.array(coded.word_ids), np.arange(len(fresh)), side="right")
-            here.update((piece, ids[a:b]) for piece, a, b in zip(fresh, [0, *ends.tolist()], ends.tolist()))
-        known.update((piece, here[piece]) for piece in unknown if len(piece) <= 64)
-        return [np.frombuffer(b"".join(map(here.__getitem__, pieces)), "<u4") for pieces in split]
+        if self._cut is None or not any(t in text for text in texts for t in self._special):
+            return self._pieces.encode(texts)
+        parts = [[p for p in self._cut.split(t) if p] for t in texts]
+        plain = iter(self._pieces.encode([p for ps in parts for p in ps if p not in self._special]))
+        one = lambda p: np.array([self._special[p]], np.uint32) if p in self._special else next(plain)
+        return [np.concatenate([np.zeros(0, np.uint32), *map(one, ps)]) for ps in parts]
 
 
 @lru_cache(maxsize=2)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leakloom.llm import byte_bpe, components, cotraining, html_extract, minhash_dedup, mixing, multi_index, pii_crf, quality_rules, token_store, url_equivalence
+from leakloom.llm import byte_bpe, components, cotraining, html_extract, minhash_dedup, mixing, multi_index, pieces, pii_crf, quality_rules, token_store, url_equivalence
 from leakloom.llm import _shared as S
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, keys string, r string, idx int"
@@ -229,9 +229,46 @@ def tiktoken_encoding():
 def test_bpe_against_the_library(tiktoken_encoding):
     codec, r = byte_bpe.codec(), random.Random(5)
     texts = ["", "a" * 5000, " " * 999, "<|endoftext|>"] + ["".join(r.choice("abc de'f\n\t  \x1c\x85 123é漢字😀ſt'll've##!") for _ in range(r.randint(0, 80))) for _ in range(500)] + [_text(k, 300) for k in range(5)]
-    for t in texts:
-        ids = codec.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == tiktoken_encoding.encode_ordinary(t) and codec.decode(ids) == t.encode()
+    for t, ids in zip(texts, codec.encode(texts)):
+        assert ids.tolist() == tiktoken_encoding.encode_ordinary(t) and codec.decode(ids) == t.encode()
+
+
+def _special_texts():
+    """Texts that hold the end marker in full, in part, and next to blanks, marks and letters."""
+    r = random.Random(8)
+    letters = list("ab 's\n\t  éñ中😀\x00\x7f\x80ÿࠀ￿𐀀\U0010fffd3.<|>")
+    some = lambda: "".join(r.choice(letters) for _ in range(r.randint(0, 30)))
+    marks = ("<|endoftext|>", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext|", " <|endoftext|> ", "|endoftext|>")
+    return ["a<|endoftext|>b", "<|endoftext|>", *(some() + r.choice(marks) + some() for _ in range(600))]
+
+
+def test_library_encoder_is_the_library_without_switches():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = _special_texts()
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65] and [x.tolist() for x in token_store.encoder().encode(texts)] == want
+
+
+def test_every_character_is_split_as_the_library_does():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    random.Random(1).shuffle(every)
+    texts = ["".join(every[k : k + 4000]) for k in range(0, len(every), 4000)]
+    assert all(got.tolist() == library.encode(t, add_special_tokens=False).ids for t, got in zip(texts, token_store.encoder().encode(texts)))
+
+
+def test_piece_table_smaller_than_its_texts(tiktoken_encoding):
+    one = byte_bpe.codec().encoder.encode_piece
+    table = pieces.PieceTable(lambda found: [one(p.encode()) for p in found], slot_bits=8, pool=1 << 10)
+    texts = [_text(k, 40) for k in range(40)] + ["word" * 30 + " " + "x" * 5000, "", _text(99, 3000)]
+    for _ in range(2):
+        assert [x.tolist() for x in table.encode(texts)] == [tiktoken_encoding.encode_ordinary(t) for t in texts]
 
 
 def test_prefixes_appends_and_edits():
@@ -247,6 +284,15 @@ def test_prefixes_appends_and_edits():
         assert buffer.tokens() == byte_bpe.PrefixBuffer(encoder, buffer.data).tokens()
 
 
+def test_edits_are_encoded_again_only_near_by():
+    encoder, r = byte_bpe.codec().encoder, random.Random(7)
+    data = bytes(r.choice(b"abcdefghinorstu ") for _ in range(20_000))
+    buffer = byte_bpe.PrefixBuffer(encoder, data)
+    for at in (0, 10_000, 19_990):
+        assert buffer.replace(at, at + 3, b"xx") < 6 * encoder.longest
+        assert buffer.last == byte_bpe.PrefixBuffer(encoder, buffer.data).last
+
+
 def test_bpe_digest(spark, tiktoken_encoding):
     docs = _docs(spark)
     got = byte_bpe.digest(docs).collect()
@@ -356,7 +402,6 @@ def test_store_round_trip(spark, tmp_path):
     docs, folder = _docs(spark), (tmp_path / "store").as_uri()
     token_store.write(docs, folder)
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     want, start = [], 0
     for doc, t in rows:
