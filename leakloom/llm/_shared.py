@@ -54,14 +54,12 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, one of our own."""
+    """The folder for what lies between stages: the session's ``spark.checkpoint.dir``; without one the call fails."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():  # noqa: SLF001
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints")
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()  # noqa: SLF001
 
@@ -81,6 +79,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()  # noqa: SLF001
 
 
+#: A key is hot if it holds more than such a part of all rows; at most so many keys can be hot.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key and in ``n`` at least the number of its rows.
+
+    Keys with over a thousandth of all ``total`` rows would each fill a task; there can be few of them, so they
+    are broadcast, and their rows stay where they are. The others meet by a shuffle. ``rows`` is read twice.
+    """
+    hot = F.col(n) * HOT > total
+    few = keyed.filter(hot)
+    cold = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(keyed.filter(~hot), key)
+    return rows.join(F.broadcast(few), key).unionByName(cold)
+
+
 def global_offsets(df: DataFrame, order: Sequence, totals: dict[str, str]) -> DataFrame:
     """Add running totals over all earlier rows in the order given; ``totals``: new column to summed column.
 

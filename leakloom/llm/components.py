@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from leakloom.llm import _shared as S
 
 
-def _minimum(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): each pair with the least of u and all its partners. Minima are combined before the shuffle; hot u are split by the join."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u")
+def _minimum(pairs: DataFrame, total: int) -> DataFrame:
+    """(u, v, m): each pair with the least of u and all its partners.
+
+    Minima are combined before the shuffle; nodes with a large part of all pairs are broadcast, so that no task gets all of one's.
+    """
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return S.join_counted(pairs, least, "u", "n", total).drop("n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,8 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     signature = _signature(stars)
     while signature[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _minimum(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = _minimum(large)
+        large = _minimum(both, 2 * signature[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = S.checkpointed(large)
+        small = _minimum(large, signature[0])
         joined = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         stars = S.checkpointed(joined.filter("u <> v").distinct())
         before, signature = signature, _signature(stars)

@@ -107,6 +107,63 @@ def test_registers_estimate_similarity():
     assert abs((who[0] == who[1]).mean() - len(x & y) / len(x | y)) < 0.13
 
 
+def _probability_jaccard(x, y):
+    """By its definition: each shared element's share of the sum of the larger ratios to it."""
+    every = set(x) | set(y)
+    return sum(1 / sum(max(x.get(c, 0) / x[d], y.get(c, 0) / y[d]) for c in every) for d in set(x) & set(y))
+
+
+def test_weighted_similarity_and_registers():
+    r = random.Random(3)
+    for _ in range(20):
+        words = [r.choice(WORDS) for _ in range(30)]
+        texts = [" ".join(r.choices(words, k=r.randint(5, 120))) for _ in range(2)]
+        sets = [minhash_dedup.weighted(t, "count") for t in texts]
+        x, y = (dict(zip(runs.tolist(), w.tolist())) for runs, w in sets)
+        assert abs(minhash_dedup.similarity_of(*sets) - _probability_jaccard(x, y)) < 1e-9
+        ones = [minhash_dedup.weighted(t) for t in texts]
+        assert abs(minhash_dedup.similarity_of(*ones) - len(set(x) & set(y)) / len(set(x) | set(y))) < 1e-9
+    base = _text(1, 150)
+    pair = [base + (" " + base[-90:]) * 4, base]
+    who, _ = minhash_dedup.signatures(pair, "count")
+    true = minhash_dedup.similarity_of(*(minhash_dedup.weighted(t, "count") for t in pair))
+    assert 0.2 < true < 0.9 and abs((who[0] == who[1]).mean() - true) < 0.14
+    assert 0.5 < minhash_dedup.least_share(0.8) < 0.64 and minhash_dedup.least_share(1.0) == 1.0
+
+
+def _alike_under_a_template(n, own):
+    """Texts that share two thirds of their words with all others, in pairs that are alike."""
+    head, rows = _text(7, 2 * own), []
+    for k in range(n // 2):
+        tail = _text(1000 + k, own).split()
+        rows += [(2 * k, head + " " + " ".join(tail), "en", "a", 1), (2 * k + 1, head + " " + " ".join([*tail[:-2], "other", "end"]), "en", "a", 1)]
+    return rows
+
+
+@pytest.mark.parametrize("most", [1 << 24, 50])
+def test_dedup_of_buckets_with_many_components(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash_dedup, "MOST_PAIRS", most)
+    rows = _alike_under_a_template(60, 60)
+    got = {}
+    for x in minhash_dedup.report(_docs(spark, rows)).collect():
+        got.setdefault(x["class_id"], []).append(x["doc_id"])
+    assert sorted(sorted(v) for v in got.values()) == _brute_classes([x[:2] for x in rows])
+
+
+def test_dedup_of_weighted_runs(spark):
+    base = _text(1, 60)
+    rows = [(1, base + (" " + base[-60:]) * 9, "en", "a", 1), (2, base, "en", "a", 1), (3, base + " end", "en", "a", 1)]
+    found = {x["doc_id"]: x["class_id"] for x in minhash_dedup.report(_docs(spark, rows), weights="count").collect()}
+    assert found == {1: 1, 2: 2, 3: 2}
+
+
+def test_joins_of_hot_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("key"), F.col("id").alias("x"))
+    keyed = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("x").alias("most")).filter("key <> 4000")
+    got = {(r["x"], r["most"]) for r in S.join_counted(rows, keyed, "key", "n", 5000).collect()}
+    assert got == {(x, 2999 if x < 3000 else x) for x in range(5000) if x != 4000}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (5, 5)] + [(100, k) for k in range(101, 140)]
     got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
