@@ -19,13 +19,27 @@ def ascii_lower(c) -> Column:
     return F.translate(col(c), _UPPER, _LOWER)
 
 
-def entropy(c, divisor: Column | None = None) -> Column:
-    """Shannon entropy in bits a character; 0 for empty strings. ``divisor`` replaces the length, such as the bytes'."""
+def _entropy_of(units: Column, n: Column) -> Column:
+    """Entropy of an array of strings whose counts are held against ``n``."""
+    sizes = F.transform(F.array_distinct(units), lambda x: F.size(F.filter(units, lambda y: y == x)))
+    return F.aggregate(sizes, F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
+
+
+def entropy(c, by_character: bool = False) -> Column:
+    """Shannon entropy in bits a byte of UTF-8; 0 for empty strings.
+
+    By character, characters are counted but still held against the number of bytes.
+    """
     s = col(c)
-    n = (divisor if divisor is not None else F.char_length(s)).cast("double")
-    parts = F.transform(F.array_distinct(F.filter(F.split(s, ""), lambda x: x != "")), lambda x: F.char_length(s) - F.char_length(F.replace(s, x)))
-    total = F.aggregate(parts, F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
-    return F.when(s.isNull(), None).when(F.char_length(s) == 0, 0.0).otherwise(total)
+    n = F.octet_length(s).cast("double")
+    characters = F.filter(F.split(s, ""), lambda x: x != "")
+    if by_character:
+        out = _entropy_of(characters, n)
+    else:
+        pairs = F.regexp_extract_all(F.hex(F.encode(s, "UTF-8")), F.lit("(..)"), F.lit(1))
+        plain = F.aggregate(F.transform(F.array_distinct(characters), lambda x: F.char_length(s) - F.char_length(F.replace(s, x))), F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
+        out = F.when(F.char_length(s) == F.octet_length(s), plain).otherwise(_entropy_of(pairs, n))
+    return F.when(s.isNull(), None).when(F.char_length(s) == 0, 0.0).otherwise(out)
 
 
 def occurrences(c, needle: str) -> Column:
@@ -45,20 +59,6 @@ def line_at(c, position, base=1) -> Column:
     return (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"))) + (F.lit(base) if isinstance(base, int) else base)).cast("long")
 
 
-def match_spans(c, pattern: str, group: int = 0) -> Column:
-    """Array of (value, start, end) of all matches, left to right; positions are 1-based characters of the whole match.
-
-    The text between matches gives the positions exactly, with no Python and no search for the value.
-    """
-    s = col(c)
-    whole, between = F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), F.split(s, pattern, -1)
-    values = whole if group == 0 else F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
-    zero = F.struct(F.lit(1).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("out"))
-    lengths = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), whole, lambda b, m: F.struct(F.char_length(b).cast("long").alias("b"), F.char_length(m).cast("long").alias("m")))
-    places = F.aggregate(lengths, zero, lambda a, x: F.struct((a["at"] + x["b"] + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["b"]).alias("start"), (a["at"] + x["b"] + x["m"]).alias("end")))).alias("out")), lambda a: a["out"])
-    return F.when(F.size(whole) > 0, F.zip_with(values, places, lambda v, p: F.struct(v.alias("value"), p["start"].alias("start"), p["end"].alias("end")))).otherwise(F.expr("cast(array() as array<struct<value:string,start:bigint,end:bigint>>)"))
-
-
 def near(c, start, end, radius: int, pattern: str) -> Column:
     """Whether a pattern is found within a radius around a span, in lower-cased text."""
     s = ascii_lower(c)
@@ -66,13 +66,13 @@ def near(c, start, end, radius: int, pattern: str) -> Column:
     return F.substring(s, first, col(end) + radius - first).rlike(pattern)
 
 
-def redacted(c, keep: int = 6) -> Column:
+def redacted(c, keep: int | Column = 6) -> Column:
     """The first characters and dots; short values are hidden altogether. What is shown never holds the value."""
-    s = col(c)
+    s, keep = col(c), F.lit(keep) if isinstance(keep, int) else keep
     hidden = F.lit(MARKERS[-1])
     for marker in MARKERS[-2::-1]:
         hidden = F.when(~F.lit(marker).contains(s), marker).otherwise(hidden)
-    return F.when(F.char_length(s) == 0, "").when(F.char_length(s) > keep, F.concat(F.left(s, F.lit(keep)), F.lit("..."))).otherwise(hidden)
+    return F.when(F.char_length(s) == 0, "").when(F.char_length(s) > keep, F.concat(F.left(s, keep), F.lit("..."))).otherwise(hidden)
 
 
 def pii_redacted(kind, c) -> Column:

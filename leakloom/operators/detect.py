@@ -1,72 +1,68 @@
 """Detection: rules over texts.
 
-``detect_native`` compiles up to a few dozen rules into one expression, so that detection is part of
-the scan's own stage. ``detect_catalog`` runs hundreds of rules: an automaton over all keywords picks
-the rules for each text in one pass, and only these rules' patterns are tried; it is a narrow stage as
-well. Both find the same things; neither shuffles.
+An automaton over all keywords picks the rules for a text in one pass, and only these rules' patterns are tried, near
+their keywords. This is one Arrow stage, narrow and without a shuffle, for one rule as for hundreds: the
+built-in functions give matches but not where a group of them lies, and try each pattern once for every thing asked
+of it, which makes them several times slower even for four rules.
+
+Distances are in bytes of UTF-8, positions in characters (from 1) and bytes (from 0), both of the secret itself.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakloom.functions import findings as K
 from leakloom.functions import text as X
-from leakloom.functions.regex import to_java, to_python
+from leakloom.functions.regex import to_python
+from leakloom.operators import spans as P
 from leakloom.plans.rules import Rule
 
-#: As many rules go into one native plan; more make its code too long.
-NATIVE_RULES = 64
-_FOUND = "detector string, verifier_backed boolean, raw string, raw_v2 string, start long, end long, severity_override int"
-
-
-def _any_keyword(text: Column, keywords: Sequence[str]) -> Column:
-    lowered = X.ascii_lower(text)
-    out = F.lit(False)
-    for k in keywords:
-        out = out | lowered.contains(k.lower())
-    return out
+#: What marks a value as a template.
+TEMPLATE = frozenset("{}<>$%")
+_FOUND = "detector string, verifier_backed boolean, raw string, raw_v2 string, start long, end long, start_byte long, end_byte long, line long, severity_override int, shown int"
+_KIND = pa.list_(pa.struct([
+    ("detector", pa.string()), ("verifier_backed", pa.bool_()), ("raw", pa.string()), ("raw_v2", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64()),
+    ("line", pa.int64()), ("severity_override", pa.int32()), ("shown", pa.int32()),
+]))
+_ASCII = {c: c + 32 for c in range(65, 91)}
+_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
-def _one(text: Column, rule: Rule) -> Column:
-    """Array of findings of one rule in a text."""
-    spans = X.match_spans(text, to_java(rule.pattern), rule.capture)
-    spans = F.filter(spans, lambda s: F.char_length(s["value"]) > 0)
-    if rule.min_entropy:
-        spans = F.filter(spans, lambda s: X.entropy(s["value"]) >= rule.min_entropy)
-    if rule.radius and (rule.context or rule.arm_pattern):
-        pattern = to_java("(?i)" + rule.arm_pattern if rule.arm_pattern else "|".join(map(re.escape, rule.context)))
-        spans = F.filter(spans, lambda s: X.near(text, s["start"], s["end"], rule.radius, pattern))
-    partner = lambda s: F.lit(None).cast("string")
-    if rule.pair_pattern:
-        pairs = X.match_spans(text, to_java(rule.pair_pattern), rule.pair_capture)
-        partner = lambda s: nearest(pairs, s, rule.pair_radius)["value"]
-    row = lambda s: F.struct(F.lit(rule.name).alias("detector"), F.lit(rule.verifier_backed).alias("verifier_backed"), s["value"].alias("raw"), partner(s).alias("raw_v2"), s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.severity).cast("int").alias("severity_override"))
-    empty = F.expr("cast(array() as array<struct<detector:string,verifier_backed:boolean,raw:string,raw_v2:string,start:bigint,end:bigint,severity_override:int>>)")
-    return F.when(_any_keyword(text, rule.keywords), F.transform(spans, row)).otherwise(empty)
+class _Places:
+    """Bytes and lines of a text's characters."""
 
+    def __init__(self, text: str):
+        self.size = len(text)
+        self._text, self._bytes, self._lines = text, None, None
+        if not text.isascii():
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            self._bytes = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])
+            self.size = int(self._bytes[-1])
 
-def nearest(candidates: Column, span: Column, radius: int) -> Column:
-    """Of an array of (value, start, end) the one nearest to a span by start, within a radius; the first of equally near ones."""
-    ranked = F.transform(F.filter(candidates, lambda c: F.abs(c["start"] - span["start"]) <= radius), lambda c: F.struct(F.abs(c["start"] - span["start"]).alias("d"), c["start"].alias("at"), c["value"].alias("value")))
-    return F.array_min(ranked)
+    def byte(self, char: int) -> int:
+        return char if self._bytes is None else int(self._bytes[char])
 
+    def char(self, byte: int) -> int:
+        """The first character that begins at a byte or after it."""
+        byte = min(max(byte, 0), self.size)
+        return byte if self._bytes is None else int(np.searchsorted(self._bytes, byte))
 
-def detect_native(chunks: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
-    """One row per match, with the columns of the input; only for few rules."""
-    if len(rules) > NATIVE_RULES:
-        raise ValueError(f"at most {NATIVE_RULES} rules")
-    keywords = sorted({k.lower() for r in rules for k in r.keywords})
-    found = F.concat(*(_one(F.col(text), r) for r in rules)) if len(rules) > 1 else _one(F.col(text), rules[0])
-    return chunks.filter(_any_keyword(F.col(text), keywords)).withColumn("f", F.explode(found)).select("*", "f.*").drop("f")
+    def line(self, char: int) -> int:
+        """Line ends before a character."""
+        if self._lines is None:
+            self._lines = [m.start() for m in re.finditer("\n", self._text)]
+        return bisect_left(self._lines, char)
 
 
 class _Compiled:
@@ -97,37 +93,68 @@ class _Compiled:
                     out.setdefault(k, []).append(end)
         return out
 
+    def values(self, rule: Rule, text: str) -> Iterator[tuple[str, int, int, str | None]]:
+        """The values of a rule's token forms in a text, with their places and partners of the same match."""
+        for form in rule.patterns:
+            pattern = self.pattern(form)
+            groups = rule.groups or ((1,) if pattern.groups else (0,))
+            for m in pattern.finditer(text):
+                g = next((g for g in groups if m[g]), None)
+                if g is not None and not (rule.left_boundary and m.start() and text[m.start() - 1] in _WORD):
+                    yield m[g], m.start(g), m.end(g), m[rule.partner_group] if rule.partner_group else None
+
     def find(self, text: str, vicinity: int | None):
-        lowered, told = text.translate(_ASCII), {}  # a detector's forms tell a value at a place once
+        """(rule, value, partner, start, end, places), rules with a verifier first."""
+        lowered, at = text.translate(_ASCII), _Places(text)
         for k, ends in sorted(self.hits(lowered).items(), key=lambda x: (not self.rules[x[0]].verifier_backed, x[0])):
             rule = self.rules[k]
-            if vicinity is None or rule.full_chunk or not ends:
-                spans = [(0, len(text))]
+            if vicinity is None or rule.whole_text or not ends:
+                parts = [(0, len(text))]
             else:
-                spans = merged_spans(ends, vicinity, len(text))
-            seen = told.setdefault(rule.name, set())
-            for low, high in spans:
-                for m in self.pattern(rule.pattern).finditer(text[low:high]):
-                    raw, start, end = m[rule.capture], m.start(rule.capture) + low, m.end(rule.capture) + low
-                    if not raw or (raw, start) in seen or rule.min_entropy and shannon(raw) < rule.min_entropy:
+                parts = [(at.char(a), at.char(b)) for a, b in merged_spans([at.byte(e + 1) - 1 for e in ends], vicinity, at.size)]
+            seen = set()
+            for low, high in parts:
+                part, partners = text[low:high], None
+                for raw, start, end, partner in self.values(rule, part):
+                    start, end = start + low, end + low
+                    if (raw, start) in seen or rule.min_entropy and measured_entropy(raw, rule.family == "CUSTOM") < rule.min_entropy:
                         continue
-                    around = lowered[max(0, start - rule.radius) : end + rule.radius] if rule.radius else ""
-                    if rule.arm_pattern and not self.pattern("(?i)" + rule.arm_pattern).search(around) or not rule.arm_pattern and rule.context and not any(c in around for c in rule.context):
+                    if rule.stop and (raw.lower() in rule.stop or TEMPLATE.intersection(raw)):
                         continue
-                    partner = None
-                    if rule.pair_pattern:
-                        near = [(abs(p.start() - start), p.start(), p[rule.pair_capture]) for p in self.pattern(rule.pair_pattern).finditer(text, max(0, start - rule.pair_radius - 1), min(len(text), end + rule.pair_radius + 512)) if abs(p.start() - start) <= rule.pair_radius and p[rule.pair_capture] != raw]
-                        partner = min(near)[2] if near else None
+                    if rule.radius and (rule.context or rule.arms):
+                        around = lowered[at.char(at.byte(start) - rule.radius) : at.char(at.byte(end) + rule.radius)]
+                        if not any(w in around for w in rule.context) and not any(self.pattern("(?i)" + a.removeprefix("(?i)")).search(around) for a in rule.arms):
+                            continue
+                    if rule.partner:
+                        if partners is None:
+                            pattern = self.pattern(rule.partner)
+                            group = 1 if pattern.groups else 0
+                            partners = [(at.byte(m.start(group) + low), m[group]) for m in pattern.finditer(part) if m[group]]
+                        partner = nearest(partners, at.byte(start), raw, rule.partner_radius)
                     seen.add((raw, start))
-                    yield rule, raw, partner, start + 1, end + 1
+                    yield rule, raw, partner, start, end, at
 
 
-_ASCII = {c: c + 32 for c in range(65, 91)}
+def nearest(partners: list[tuple[int, str]], start: int, raw: str, radius: int) -> str | None:
+    """Of values by ascending place the one nearest to a place, within a radius and not the value itself; the first of equally near ones."""
+    right = bisect_left(partners, (start,))
+    left = right - 1
+    while True:
+        before = start - partners[left][0] if left >= 0 else radius + 1
+        after = partners[right][0] - start if right < len(partners) else radius + 1
+        if min(before, after) > radius:
+            return None
+        k = left if before <= after else right
+        if partners[k][1] != raw:
+            return partners[k][1]
+        left, right = (left - 1, right) if k == left else (left, right + 1)
 
 
-def shannon(s: str) -> float:
-    n = len(s)
-    return -sum(k / n * math.log2(k / n) for k in Counter(s).values()) if n else 0.0
+def measured_entropy(s: str, by_character: bool = False) -> float:
+    """Shannon entropy in bits a byte; by character, characters are counted but still held against the bytes' number."""
+    data = s.encode()
+    n = len(data)
+    return -sum(k / n * math.log2(k / n) for k in Counter(s if by_character else data).values()) if n else 0.0
 
 
 def merged_spans(ends: list[int], radius: int, size: int) -> list[tuple[int, int]]:
@@ -148,36 +175,33 @@ def compiled_rules(rules: tuple[Rule, ...]) -> _Compiled:
     return _Compiled(rules)
 
 
-def detect_catalog(chunks: DataFrame, rules: Sequence[Rule], text: str = "text", vicinity: int | None = 2048) -> DataFrame:
-    """One row per match of any of many rules, with the columns of the input.
+def detect(chunks: DataFrame, rules: Sequence[Rule], text: str = "text", vicinity: int | None = P.RADIUS) -> DataFrame:
+    """One row per match of any rule, with the columns of the input.
 
-    ``vicinity``: patterns are tried only so near to a keyword; None tries whole texts.
+    ``vicinity``: patterns are tried only so near to a keyword, in bytes; None tries whole texts. A pattern that
+    fits only past the end of its neighbourhood isn't found, unless its rule asks for whole texts.
+    ``line`` counts the line ends before a value.
     """
     fixed = tuple(rules)
-    kind = pa.list_(pa.struct([("detector", pa.string()), ("verifier_backed", pa.bool_()), ("raw", pa.string()), ("raw_v2", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("severity_override", pa.int32())]))
 
     @F.arrow_udf(f"array<struct<{_FOUND}>>")
     def found(texts: pa.Array) -> pa.Array:
         compiled = compiled_rules(fixed)
-        rows = [[{"detector": r.name, "verifier_backed": r.verifier_backed, "raw": raw, "raw_v2": v2, "start": a, "end": b, "severity_override": r.severity} for r, raw, v2, a, b in compiled.find(t, vicinity)] if t else [] for t in texts.to_pylist()]
-        return pa.array(rows, kind)
+        row = lambda r, raw, v2, a, b, at: {"detector": r.name, "verifier_backed": r.verifier_backed, "raw": raw, "raw_v2": v2, "start": a + 1, "end": b + 1, "start_byte": at.byte(a), "end_byte": at.byte(b), "line": at.line(a), "severity_override": r.severity, "shown": r.shown}
+        return pa.array([[row(*f) for f in compiled.find(t, vicinity)] if t else [] for t in texts.to_pylist()], _KIND)
 
     return chunks.withColumn("f", F.explode(found(text))).select("*", "f.*").drop("f")
 
 
-def enrich(found: DataFrame, text: str = "text", base_line: str | None = None) -> DataFrame:
-    """Add severity, byte span, line, digest and a redacted rendering, all JVM expressions."""
+def enrich(found: DataFrame, base_line: str | None = None) -> DataFrame:
+    """Add severity, digest and a redacted rendering, and count lines from ``base_line``, or from 1."""
     rank = K.default_severity("detector", F.lit(False), "severity_override")
-    line = X.line_at(text, "start", F.col(base_line) if base_line else 1)
-    hidden = X.redacted("raw")
     out = found.withColumn("severity_rank", rank.cast("int")).withColumn("severity", K.severity_name("severity_rank"))
-    out = out.withColumn("start_byte", X.byte_offset(text, "start")).withColumn("end_byte", X.byte_offset(text, "end")).withColumn("line", line)
-    return out.withColumn("secret_hash", X.secret_hash("raw")).withColumn("redacted", hidden).drop("severity_override")
+    out = out.withColumn("line", (F.col("line") + (F.col(base_line) if base_line else F.lit(1))).cast("long"))
+    return out.withColumn("secret_hash", X.secret_hash("raw")).withColumn("redacted", X.redacted("raw", F.col("shown"))).drop("severity_override", "shown")
 
 
 def hits_of(chunks: DataFrame, keyword: str, text: str = "text") -> DataFrame:
-    """(columns, end): the 0-based character at which each occurrence of a keyword ends."""
-    spans = X.match_spans(X.ascii_lower(text), re.escape(keyword.lower()))
-    return chunks.withColumn("hit", F.explode(spans)).withColumn("hit_end", F.col("hit")["end"] - 2).drop("hit")
-
-
+    """(columns, hit_end): the 0-based character at which each occurrence of a keyword ends."""
+    found = P.matches(X.ascii_lower(text), re.escape(keyword.lower()))
+    return chunks.withColumn("hit", F.explode(found)).withColumn("hit_end", F.col("hit")["end"] - 2).drop("hit")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leakloom.functions import text as X
 from leakloom.functions.regex import to_java
+from leakloom.operators.spans import matches
 
 #: Words, lengths, floors and look-alikes.
 KEYWORDS = (
@@ -62,15 +63,20 @@ def near_credential_word(lowered: Column, start: Column, end: Column) -> Column:
 
 
 def detect_generic(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """One row per different value of a chunk, with the input's columns, detector, raw, start and end (1-based)."""
-    lowered = F.translate(F.col(text), X._UPPER, X._LOWER)  # noqa: SLF001
+    """One row per different value of a chunk, the first that nothing explains, with the input's columns, detector, raw, start and end (1-based)."""
+    lowered = X.ascii_lower(text)
     word = F.lit(False)
     for w in KEYWORDS:
         word = word | lowered.contains(w)
-    spans = F.filter(X.match_spans(text, SHAPE), lambda s: X.entropy(s["value"]) >= MIN_ENTROPY)
-    found = chunks.filter(word & F.col(text).rlike(SHAPE)).withColumn("_s", F.explode(spans))
-    start, end = F.col("_s")["start"], F.col("_s")["end"]
-    before, after = F.substring(F.col(text), F.greatest(start - CRYPT_BEFORE, F.lit(1)), F.least(start - 1, F.lit(CRYPT_BEFORE))), F.substring(F.col(text), end, F.lit(8))
-    kept = found.filter(near_credential_word(lowered, start, end) & ~explained(F.col("_s")["value"], before, after))
-    rows = kept.select("*", F.lit("GenericHighEntropy").alias("detector"), F.lit(False).alias("verifier_backed"), F.col("_s")["value"].alias("raw"), F.lit(None).cast("string").alias("raw_v2"), start.alias("start"), end.alias("end"), F.lit(None).cast("int").alias("severity_override"))
+    body = F.col(text)
+
+    def telling(s: Column) -> Column:
+        start, end = s["start"], s["end"]
+        before = F.substring(body, F.greatest(start - CRYPT_BEFORE, F.lit(1)), F.least(start - 1, F.lit(CRYPT_BEFORE)))
+        return (X.entropy(s["value"]) >= MIN_ENTROPY) & near_credential_word(lowered, start, end) & ~explained(s["value"], before, F.substring(body, end, F.lit(8)))
+
+    marked = chunks.filter(word & body.rlike(SHAPE)).withColumn("_s", matches(text, SHAPE)).withColumn("_s", F.filter("_s", telling))
+    values = F.transform("_s", lambda s: s["value"])
+    once = marked.withColumn("_s", F.explode(F.filter("_s", lambda s, i: F.array_position(values, s["value"]) == i + 1)))
+    rows = once.select("*", F.lit("GenericHighEntropy").alias("detector"), F.lit(False).alias("verifier_backed"), F.col("_s")["value"].alias("raw"), F.lit(None).cast("string").alias("raw_v2"), F.col("_s")["start"].alias("start"), F.col("_s")["end"].alias("end"), F.lit(None).cast("int").alias("severity_override"))
     return rows.drop("_s")

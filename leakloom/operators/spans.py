@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakloom.functions import decode as D
+from leakloom.functions.regex import to_python
+from leakloom.functions.text import col
 
 WINDOW, OVERLAP, RADIUS = 32_768, 1_024, 2_048
 BLOB, BLOB_OVERLAP = 1 << 20, 512
 
 
+def matches(c, pattern: str, group: int = 0) -> Column:
+    """Array of (value, start, end) of a group in all matches of a pattern that are not empty, left to right; 1-based characters.
+
+    The built-in functions give matches but not where they are; one pass over a text, whatever their number.
+    """
+    translated = to_python(pattern)
+
+    @F.arrow_udf("array<struct<value:string,start:bigint,end:bigint>>")
+    def found(texts: pa.Array) -> pa.Array:
+        find = re.compile(translated).finditer
+        rows = [[{"value": m[group], "start": m.start(group) + 1, "end": m.end(group) + 1} for m in find(t) if m[0] and m[group] is not None] if t else [] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("value", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
+
+    return found(col(c))
+
+
 def windows(chunks: DataFrame, size: int = WINDOW, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
     """Add window_no, window_start (0-based) and window_text; consecutive windows overlap, the last one ends at the text's end."""
     n, step = F.char_length(text), size - overlap

@@ -17,26 +17,29 @@ FIELDS = ("name", "keywords", "regex", "entropy_min", "severity", "verify_url",
 class Rule:
     """One detector as data: what it looks for, in which company, and what a finding means.
 
-    ``pattern``'s group ``capture`` is the secret. ``pair_pattern`` names a partner to be found within
-    ``pair_radius``; ``context`` words or ``arm_pattern`` must stand within ``radius`` of the secret.
+    ``patterns`` are its token forms; the secret is the first group that took part, of ``groups`` if given, else of
+    the first one, else the whole match. ``partner`` is to be found within ``partner_radius`` of the secret, nearest
+    first, or is a group of the same match; words of ``context`` or patterns of ``arms`` must stand within ``radius``. Distances are in bytes.
     """
 
     name: str
     keywords: tuple[str, ...]
-    pattern: str
-    capture: int = 0
-    pair_pattern: str | None = None
-    pair_capture: int = 0
-    pair_radius: int = 256
+    patterns: tuple[str, ...]
+    groups: tuple[int, ...] | None = None
+    partner: str | None = None
+    partner_radius: int = 256
     context: tuple[str, ...] = ()
-    arm_pattern: str | None = None
+    arms: tuple[str, ...] = ()
     radius: int = 0
     min_entropy: float = 0.0
     severity: int | None = None
     verifier_backed: bool = False
-    full_chunk: bool = False
-    redact_len: int = 6
+    whole_text: bool = False
+    shown: int = 6
     family: str = "REGEX"
+    left_boundary: bool = False
+    stop: tuple[str, ...] = ()
+    partner_group: int | None = None
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
 
@@ -49,14 +52,17 @@ def load_custom(text: str) -> list[Rule]:
     for i, row in enumerate(rows):
         if unknown := set(row) - set(FIELDS):
             raise ValueError(f"rule {i}: unknown fields {sorted(unknown)}")
-        if not row.get("name") or not row.get("keywords") or not row.get("regex"):
+        if not (row.get("name") or "").strip() or not row.get("keywords") or not row.get("regex"):
             raise ValueError(f"rule {i}: name, keywords and regex are needed")
-        compiled = re.compile(to_python(row["regex"]))
-        severity = row.get("severity", "info").lower()
+        try:
+            re.compile(to_python(row["regex"]))
+        except re.error as e:
+            raise ValueError(f"rule {i}: {e}") from e
+        severity = (row.get("severity") or "info").strip().lower() or "info"
         if severity not in SEVERITIES:
             raise ValueError(f"rule {i}: severity {severity!r}")
-        rank = {name: k for k, name in enumerate(SEVERITIES)}[severity]
-        out.append(Rule(row["name"], tuple(k.lower() for k in row["keywords"]), row["regex"], min(1, compiled.groups), min_entropy=float(row.get("entropy_min", 0)), severity=rank, verifier_backed=False, family="CUSTOM", extra={k: row[k] for k in ("help_uri", "description") if k in row}))
+        rank = max(k for k, name in enumerate(SEVERITIES) if name == severity)
+        out.append(Rule(row["name"], tuple(k.lower() for k in row["keywords"]), (row["regex"],), min_entropy=float(row.get("entropy_min", 0)), severity=rank, family="CUSTOM", extra={k: row[k] for k in ("help_uri", "description") if k in row}))
     return out
 
 

@@ -9,11 +9,9 @@ from leakloom.functions import decode as D
 from leakloom.functions import findings as K
 from leakloom.functions import text as X
 from leakloom.functions import tokens as TK
-from leakloom.functions.regex import to_java
 from leakloom.operators import detect, generic, pipeline, redact, spans, verdicts
 from leakloom.plans import catalog
 from leakloom.plans.rules import load_custom
-from leakloom.plans.special import RULES as SPECIAL
 from leakloom.sinks import render
 from leakloom.sources import diffs, tables
 from leakloom.streaming import incremental
@@ -50,16 +48,19 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _spans_sql(relation: str, key: str, text: str, pattern: str, group: int = 0) -> str:
-    """(key, i, value, start, end) of all matches; starts are added up from the pieces between them."""
+def _spans_sql(relation: str, key: str, text: str, pattern: str) -> str:
+    """(key, full_text, i, value, start, end) of all matches; starts are added up from the pieces between them."""
     p = _q(pattern)
-    return f"""(select {key}, {text} as full_text, i, v[i] as value, start, start + length(w[i]) as "end" from (
-      select {key}, {text}, w, v, i, cast(1 + list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x))), 0) as bigint) as start from (
-        select {key}, {text}, w, v, s, unnest(range(1, len(w) + 1)) as i from (
-          select {key}, {text}, regexp_extract_all({text}, {p}) as w, regexp_extract_all({text}, {p}, {group}) as v, string_split_regex({text}, {p}) as s from {relation}) where len(w) > 0)))"""
+    return f"""(select {key}, {text} as full_text, i, w[i] as value, start, start + length(w[i]) as "end" from (
+      select {key}, {text}, w, i, cast(1 + list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x))), 0) as bigint) as start from (
+        select {key}, {text}, w, s, unnest(range(1, len(w) + 1)) as i from (
+          select {key}, {text}, regexp_extract_all({text}, {p}) as w, string_split_regex({text}, {p}) as s from {relation}) where len(w) > 0)))"""
 
 
-_ENTROPY = "list_aggregate(string_split({0}, ''), 'entropy')"
+# Bits a byte: counts of pairs of hexadecimal digits.
+_ENTROPY = "list_aggregate(regexp_extract_all(hex(encode({0})), '..'), 'entropy')"
+#: The custom rules again, as whole matches and what stands before and after the secret in them.
+_CUSTOM_PLACES = {"HexToken": ("token\\s*=\\s*\"[0-9a-f]{40}\"", "length(value) - 41", 1), "PasswordLine": ("password=[0-9a-z]{8,40}\\b", "9", 0), "MailAddress": ("\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "0", 0)}
 
 
 def _custom_sql() -> str:
@@ -67,18 +68,21 @@ def _custom_sql() -> str:
     for r in load_custom(CUSTOM):
         low = f"translate(text, '{X._UPPER}', '{X._LOWER}')"  # noqa: SLF001
         rel = f"(select doc_id, text from documents where {' or '.join(f'contains({low}, {_q(k)})' for k in r.keywords)})"
-        gate = f"and {_ENTROPY.format('value')} >= {r.min_entropy}" if r.min_entropy else ""
+        pattern, before, after = _CUSTOM_PLACES[r.name]
+        places = f"(select doc_id, full_text, start + {before} as start, \"end\" - {after} as \"end\", substr(value, {before} + 1, length(value) - {after} - {before}) as value from {_spans_sql(rel, 'doc_id', 'text', pattern)})"
+        characters = "list_aggregate(string_split(value, ''), 'entropy')"  # characters against bytes are alike for ASCII values, which these rules find
+        gate = f"and {characters} >= {r.min_entropy}" if r.min_entropy else ""
         parts.append(f"""select doc_id as chunk_id, '{r.name}' as detector, sha256(value) as secret_hash, case when length(value) > 6 then substr(value, 1, 6) || '...' when value = '***' then '...' else '***' end as redacted, {r.severity} as severity_rank,
           '{K.SEVERITIES[r.severity]}' as severity, cast(1 + length(substr(full_text, 1, start - 1)) - length(replace(substr(full_text, 1, start - 1), chr(10), '')) as bigint) as line, cast(strlen(substr(full_text, 1, start - 1)) as bigint) as start_byte,
-          cast(strlen(substr(full_text, 1, "end" - 1)) as bigint) as end_byte from {_spans_sql(rel, 'doc_id', 'text', r.pattern, 1)} where length(value) > 0 {gate}""")
+          cast(strlen(substr(full_text, 1, "end" - 1)) as bigint) as end_byte, value from {places} where length(value) > 0 {gate}""")
     return " union all ".join(parts)
 
 
 def custom_findings(spark, sf) -> DataFrame:
-    return detect.enrich(detect.detect_native(documents(spark, sf), load_custom(CUSTOM)), base_line="base_line")
+    return detect.enrich(detect.detect(documents(spark, sf), load_custom(CUSTOM), vicinity=None), "base_line")
 
 
-@query(_custom_sql())
+@query("select chunk_id, detector, secret_hash, redacted, severity_rank, severity, line, start_byte, end_byte from (" + _custom_sql() + ")")
 def scan_custom_rules(spark, sf):
     return custom_findings(spark, sf).select("chunk_id", "detector", "secret_hash", "redacted", "severity_rank", "severity", "line", "start_byte", "end_byte")
 
@@ -90,14 +94,14 @@ def scan_source_counts(spark, sf):
 
 
 # Texts with secrets made of digests, alike in both engines; prefixes are split, so that none stands here in full.
-_MD, _SHA = "md5(cast(doc_id as string))", "{sha}(cast(doc_id as string){bits})"
+_PAD = "repeat('- ', 140)"
 _SEEDS = {
-    "AWS": "concat(' key AK', 'IA', upper(substr({md}, 1, 16)), ' secret: ', substr({sha}, 1, 40), ' end')",
+    "AWS": f"concat({_PAD}, ' key AK', 'IA', upper(substr({{md}}, 1, 16)), ' secret: ', substr({{sha}}, 1, 40), ' end')",
     "GitHub": "concat(' gh', 'p_', substr({sha}, 1, 36), ' x')",
     "Brevo": "concat(' xkey', 'sib-', {sha}, '-', substr({md}, 1, 16), ' x')",
     "Agenta": "concat(' agen', 'ta_', substr({sha}, 1, 40), ' x')",
     "Stripe": "concat(' sk_', 'live_', substr({sha}, 1, 24), ' x')",
-    "AbnormalSec": "concat(' abnormal_api_key = ', substr({sha}, 1, 48), ' x')",
+    "AbnormalSec": f"concat({_PAD}, ' abnormal_api_key = ', substr({{sha}}, 1, 48), ' x')",
 }
 _REGEX_BATCH = ("GitHub", "Brevo", "Agenta", "Stripe")
 
@@ -117,60 +121,65 @@ def seeded(spark, sf, names=tuple(_SEEDS)) -> DataFrame:
     return tables.from_documents(docs.withColumn("text", F.expr(_seed(names, False))))
 
 
-def _rules(*names):
-    known = {r.name: r for r in (*catalog.load(), *SPECIAL)}
-    return [known[n] for n in names]
+def _hits_sql(r, relation: str) -> str:
+    """Matches of all forms of a rule whose secrets are whole matches, in texts with one of its keywords."""
+    low = f"translate(text, '{X._UPPER}', '{X._LOWER}')"  # noqa: SLF001
+    keys = " or ".join(f"contains({low}, {_q(k)})" for k in r.keywords)
+    return "(" + " union all ".join(f"select * from {_spans_sql(f'(select * from {relation} where {keys})', 'doc_id', 'text', p)}" for p in r.patterns) + ")"
 
 
 def _batch_sql() -> str:
     parts = []
-    for r in _rules(*_REGEX_BATCH):
-        keys = " or ".join(f"contains(translate(text, '{X._UPPER}', '{X._LOWER}'), {_q(k)})" for k in r.keywords)  # noqa: SLF001
+    for r in catalog.named(*_REGEX_BATCH):
         gate = f"and {_ENTROPY.format('value')} >= {r.min_entropy}" if r.min_entropy else ""
-        parts.append(f"select '{r.name}' as detector, doc_id as chunk_id, sha256(value) as secret_hash, start from {_spans_sql(f'(select * from {_seeded_sql(_REGEX_BATCH)} where {keys})', 'doc_id', 'text', r.pattern, r.capture)} where length(value) > 0 {gate}")
+        parts.append(f"select '{r.name}' as detector, doc_id as chunk_id, sha256(value) as secret_hash, start from {_hits_sql(r, _seeded_sql(_REGEX_BATCH))} where length(value) > 0 {gate}")
     return " union all ".join(parts)
 
 
 @query(_batch_sql())
 def detect_regex_batch(spark, sf):
-    found = detect.detect_native(seeded(spark, sf, _REGEX_BATCH), _rules(*_REGEX_BATCH))
+    found = detect.detect(seeded(spark, sf, _REGEX_BATCH), catalog.named(*_REGEX_BATCH), vicinity=None)
     return found.select("detector", "chunk_id", X.secret_hash("raw").alias("secret_hash"), "start")
 
 
 def _near_sql() -> str:
-    (r,) = _rules("AbnormalSec")
+    # The radius is in bytes; the padding is as long as it and ASCII, and so is what follows, so that characters say the same.
+    (r,) = catalog.named("AbnormalSec")
     around = f"""substr(translate(full_text, '{X._UPPER}', '{X._LOWER}'), greatest(start - {r.radius}, 1), "end" + {r.radius} - greatest(start - {r.radius}, 1))"""  # noqa: SLF001
-    return f"select doc_id as chunk_id, sha256(value) as secret_hash from {_spans_sql(_seeded_sql(('AbnormalSec',)), 'doc_id', 'text', r.pattern, 1)} where {_ENTROPY.format('value')} >= {r.min_entropy} and regexp_matches({around}, {_q('(?i)' + r.arm_pattern)})"
+    return f"select doc_id as chunk_id, sha256(value) as secret_hash from {_hits_sql(r, _seeded_sql(('AbnormalSec',)))} where {_ENTROPY.format('value')} >= {r.min_entropy} and regexp_matches({around}, {_q(r.arms[0])})"
 
 
 @query(_near_sql())
 def detect_near_context(spark, sf):
-    found = detect.detect_native(seeded(spark, sf, ("AbnormalSec",)), _rules("AbnormalSec"))
+    found = detect.detect(seeded(spark, sf, ("AbnormalSec",)), catalog.named("AbnormalSec"), vicinity=None)
     return found.select("chunk_id", X.secret_hash("raw").alias("secret_hash"))
 
 
 def _pair_sql() -> str:
-    (r,) = _rules("AWS")
-    a, b = _spans_sql(_seeded_sql(("AWS",)), "doc_id", "text", r.pattern, r.capture), _spans_sql(_seeded_sql(("AWS",)), "doc_id", "text", r.pair_pattern, r.pair_capture)
-    return f"select doc_id as chunk_id, sha256(a.value) as id_hash, sha256(first(b.value order by abs(b.start - a.start), b.start)) as secret_hash from {a} a left join {b} b using (doc_id) where b.start is null or abs(b.start - a.start) <= {r.pair_radius} group by doc_id, a.start, a.value"
+    # A partner is the 40 characters inside a match with a character of another kind on each side.
+    (r,) = catalog.named("AWS")
+    apart = "[^A-Za-z0-9+/]"
+    b = f"(select doc_id, start + 1 as start, substr(value, 2, 40) as value from {_spans_sql(_seeded_sql(('AWS',)), 'doc_id', 'text', apart + '[A-Za-z0-9+/]{40}' + apart)})"
+    a = f"(select * from {_hits_sql(r, _seeded_sql(('AWS',)))} where start = 1 or not regexp_matches(substr(full_text, start - 1, 1), '[0-9A-Za-z_]'))"
+    return f"select a.doc_id as chunk_id, sha256(a.value) as id_hash, sha256(first(b.value order by abs(b.start - a.start), b.start)) as secret_hash from {a} a left join {b} b on b.doc_id = a.doc_id and abs(b.start - a.start) <= {r.partner_radius} and b.value <> a.value group by a.doc_id, a.start, a.value"
 
 
 @query(_pair_sql())
 def detect_pair_nearest(spark, sf):
-    found = detect.detect_native(seeded(spark, sf, ("AWS",)), _rules("AWS"))
+    found = detect.detect(seeded(spark, sf, ("AWS",)), catalog.named("AWS"), vicinity=None)
     return found.select("chunk_id", X.secret_hash("raw").alias("id_hash"), F.sha2("raw_v2", 256).alias("secret_hash"))
 
 
 @query()
 def detect_catalog_all(spark, sf):
-    found = detect.enrich(detect.detect_catalog(seeded(spark, sf), (*catalog.load(), *catalog.forms(), *SPECIAL)))
+    found = detect.enrich(detect.detect(seeded(spark, sf), catalog.load()))
     return found.select("chunk_id", "detector", "verifier_backed", "secret_hash", "redacted", "severity", "line", "start_byte", "end_byte")
 
 
 @query()
 def detector_catalog(spark, sf):
-    rows = [(r.name, r.family, ",".join(r.keywords), r.verifier_backed, r.full_chunk, r.min_entropy, r.radius) for r in (*catalog.load(), *SPECIAL)]
-    return spark.createDataFrame(rows, "detector string, family string, keywords string, verifier_backed boolean, full_chunk boolean, min_entropy double, radius int")
+    rows = [(r.name, r.family, ",".join(r.keywords), len(r.patterns), r.verifier_backed, r.whole_text, r.min_entropy, r.radius) for r in catalog.load()]
+    return spark.createDataFrame(rows, "detector string, family string, keywords string, forms int, verifier_backed boolean, whole_text boolean, min_entropy double, radius int")
 
 
 @query(f"select p_partkey, round({_ENTROPY.format('p_name')}, 9) as entropy, {_ENTROPY.format('p_name')} >= 3.0 as enough from part")
@@ -237,7 +246,7 @@ _HITS = _spans_sql("(select doc_id, translate(text, '%s', '%s') as low from docu
  select doc_id, min(low) as span_start, max(high) as span_end, count(*) as hits from i group by doc_id, island""")
 def vicinity_islands(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.char_length("text").alias("size"))
-    found = docs.withColumn("h", F.explode(X.match_spans(X.ascii_lower("text"), "token|from "))).select("doc_id", "size", (F.col("h")["end"] - 2).alias("hit_end"))
+    found = docs.withColumn("h", F.explode(spans.matches(X.ascii_lower("text"), "token|from "))).select("doc_id", "size", (F.col("h")["end"] - 2).alias("hit_end"))
     return spans.vicinity(found, ["doc_id"], radius=200)
 
 
@@ -326,12 +335,12 @@ def _split_select(text: str) -> list[str]:
 _DENSE = "event_id, cast(user_id as varchar) as container, cast(user_id % 20 as varchar) as parent, case when user_id % 3 = 0 then 'csv' else 'txt' end as ext, cast(2 + event_id % 3 as int) as severity_rank"
 
 
-@query(f"""with f as (select {_DENSE} from events where value < 30), c as (select *, count(*) over (partition by container) as b, count(*) over (partition by parent) as u, ext = 'csv' as t from f),
+@query(f"""with f as (select {_DENSE} from events), c as (select *, count(*) over (partition by container) as b, count(*) over (partition by parent) as u, ext = 'csv' as t from f),
  s as (select *, b >= case when t then 2 else 3 end as ib from c), p as (select *, not ib and u >= 5 as ip from s)
  select event_id, case when ib then 'container' when ip then 'parent' end as pii_scope, case when ib then b when ip then u end as pii_count,
  greatest(severity_rank, case when ib and ((t and b >= 5) or b >= 10) then 5 when ib then 4 when ip and ((t and u >= 10) or u >= 20) then 5 when ip then 4 else 0 end) as severity_rank from p""")
 def pii_container_density(spark, sf):
-    f = table(spark, sf, "events").filter("value < 30").selectExpr(*_split_select(_DENSE.replace("varchar", "string")))
+    f = table(spark, sf, "events").selectExpr(*_split_select(_DENSE.replace("varchar", "string")))
     return pipeline.pii_density(f).select("event_id", "pii_scope", "pii_count", "severity_rank")
 
 
@@ -477,10 +486,10 @@ def markup_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", TK.markup_text("html").alias("text"))
 
 
-@query(f"select doc_id as chunk_id, 'MailAddress' as entity_of, start - 1 as start, \"end\" - 1 as \"end\" from {_spans_sql('documents', 'doc_id', 'text', load_custom(CUSTOM)[2].pattern, 1)}")
+@query(f"select doc_id as chunk_id, 'MailAddress' as entity_of, start - 1 as start, \"end\" - 1 as \"end\" from {_spans_sql('documents', 'doc_id', 'text', _CUSTOM_PLACES['MailAddress'][0])}")
 def entity_spans(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = docs.withColumn("s", F.explode(X.match_spans("text", to_java(load_custom(CUSTOM)[2].pattern), 1)))
+    found = docs.withColumn("s", F.explode(spans.matches("text", load_custom(CUSTOM)[2].patterns[0], 1)))
     return found.select(F.col("doc_id").alias("chunk_id"), F.lit("MailAddress").alias("entity_of"), (F.col("s")["start"] - 1).alias("start"), (F.col("s")["end"] - 1).alias("end"))
 
 _GENERIC = "concat(text, ' api_key=', upper(substr({md}, 1, 10)), substr({sha}, 1, 14), translate(substr({sha}, 20, 14), '0123456789abcdef', 'ghijklmnopqrstuv'), case when doc_id % 7 = 0 then '.js' when doc_id % 11 = 0 then '/a/b' else ' end' end, case when doc_id % 5 = 0 then concat(' sha256-', substr({sha}, 1, 30)) else '' end)"
@@ -498,7 +507,7 @@ def _generic_sql() -> str:
     readable = f"coalesce((not regexp_matches(value, '[-_]') or not regexp_matches(value, '[+/]')) and length(value) % 4 <> 1 and regexp_matches({decoded}, '^(?:[2-6][0-9A-F]|7[0-9A-E]){{8,}}$'), false)"
     explained = f"""regexp_matches(value, '^[A-Za-z_]*$') or regexp_matches(value, '/.*/') or regexp_matches(lower(value), '^sha(?:256|384|512)-') or (length(value) in ({', '.join(map(str, generic.DIGESTS))}) and regexp_matches(value, '^[0-9A-Fa-f]*$'))
       or regexp_matches({before}, {_q(generic.CRYPT)}) or (ends_with({before}, '$') and starts_with({after}, '$')) or ({stripped} <> value and regexp_matches({stripped}, '^[A-Za-z_]*$')) or (contains(value, '-') and ({asset})) or regexp_matches(value, {_q(generic.MIME)}) or {readable}"""
-    return f"select doc_id as chunk_id, sha256(value) as secret_hash, start from {_spans_sql(f'(select doc_id, {text} as text from documents)', 'doc_id', 'text', generic.SHAPE)} where {_ENTROPY.format('value')} >= {generic.MIN_ENTROPY} and ({near}) and not ({explained})"
+    return f"select doc_id as chunk_id, sha256(value) as secret_hash, start from {_spans_sql(f'(select doc_id, {text} as text from documents)', 'doc_id', 'text', generic.SHAPE)} where {_ENTROPY.format('value')} >= {generic.MIN_ENTROPY} and ({near}) and not ({explained}) qualify row_number() over (partition by doc_id, value order by start) = 1"
 
 
 @query(_generic_sql())
@@ -509,9 +518,9 @@ def detect_generic_entropy(spark, sf):
 
 
 @query("""select doc_id, cast(i as bigint) as occurrence, cast(1 + list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * 4 as bigint) as position
-  from (select doc_id, s, unnest(range(1, len(s))) as i from (select doc_id, string_split(text, 'tion') as s from documents where length(text) < 1500))""")
+  from (select doc_id, s, unnest(range(1, len(s))) as i from (select doc_id, string_split(text, 'tion') as s from documents))""")
 def all_occurrences(spark, sf):
-    f = table(spark, sf, "documents").filter("length(text) < 1500").select("doc_id", "text", F.lit("tion").alias("raw"))
+    f = table(spark, sf, "documents").select("doc_id", "text", F.lit("tion").alias("raw"))
     return spans.all_occurrences(f).select("doc_id", "occurrence", "position")
 
 
@@ -547,9 +556,9 @@ def recogniser_entities(spark, sf):
     return render.entities(f).groupBy("entity").agg(F.count("*").alias("n"), F.max("score").alias("score"))
 
 
-@query("select '{\"schema_version\":1,\"trail_id\":\"' || substr(sha256(p_type || '|' || sha256(p_name) || '|2024-01-01T00:00:00Z'), 1, 16) || '\",\"detector\":\"' || p_type || '\",\"secret_hash\":\"' || sha256(p_name) || '\",\"redacted\":\"' || substr(p_name, 1, 6) || '...\",\"at\":\"2024-01-01T00:00:00Z\"}' as line from part where length(p_name) > 6")
+@query("select '{\"schema_version\":1,\"trail_id\":\"' || substr(sha256(p_type || '|' || sha256(p_name) || '|2024-01-01T00:00:00Z'), 1, 16) || '\",\"detector\":\"' || p_type || '\",\"secret_hash\":\"' || sha256(p_name) || '\",\"redacted\":\"' || case when length(p_name) > 6 then substr(p_name, 1, 6) || '...' when p_name = '' then '' when contains('***', p_name) then '...' else '***' end || '\",\"at\":\"2024-01-01T00:00:00Z\"}' as line from part")
 def audit_trail(spark, sf):
-    f = table(spark, sf, "part").filter("length(p_name) > 6").select(F.col("p_type").alias("detector"), X.secret_hash("p_name").alias("secret_hash"), X.redacted("p_name").alias("redacted"))
+    f = table(spark, sf, "part").select(F.col("p_type").alias("detector"), X.secret_hash("p_name").alias("secret_hash"), X.redacted("p_name").alias("redacted"))
     return render.audit(f, "2024-01-01T00:00:00Z")
 
 

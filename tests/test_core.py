@@ -2,6 +2,7 @@ import bz2
 import gzip
 import io
 import json
+import random
 import re
 import tarfile
 import zipfile
@@ -14,9 +15,8 @@ from pyspark.sql import functions as F
 
 from leakloom.functions import decode, findings, text, tokens
 from leakloom.functions.regex import to_java, to_python
-from leakloom.operators import archives, detect, pipeline, redact, spans
+from leakloom.operators import archives, detect, generic, pipeline, redact, spans
 from leakloom.plans import catalog, rules
-from leakloom.plans.special import RULES
 from leakloom.sinks import render
 from leakloom.sources import diffs, tables
 from leakloom.streaming import incremental
@@ -46,13 +46,82 @@ def test_named_classes_are_refused():
         to_java("[[:alpha:]]")
 
 
-def test_catalog_reads_the_inventory():
+def test_catalog_is_complete():
     found = catalog.load()
-    assert len(found) > 580 and len({r.name for r in found}) == len(found)
+    assert len(found) == 614 and len({r.name for r in found}) == len(found) and list(found) == sorted(found, key=lambda r: [x.name for x in found].index(r.name))
     for r in found:
-        re.compile(to_python(r.pattern))
-    names = {r.name for r in (*found, *RULES)}
-    assert {row[1] for row in catalog.inventory()} - names <= {"PIIAnonymize", "PIIOpenAIPF"}
+        assert r.keywords is not None and r.patterns
+        for p in (*r.patterns, *r.arms, *((r.partner,) if r.partner else ())):
+            re.compile(to_python(p))
+        assert all(re.compile(to_python(p)).groups >= max(r.groups or (0,)) for p in r.patterns)
+        assert r.family == "REGEX" or "NEAR" not in r.family or r.radius
+    with pytest.raises(FileNotFoundError):
+        catalog.load("/nowhere/detectors.toml")
+
+
+def _sample(pattern: str, r: random.Random) -> str:
+    """A text that a pattern fits, by its parsed form; look-arounds and anchors are left to chance."""
+    from re import _constants as C
+    from re import _parser
+
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def one(items):
+        out = []
+        for op, value in items:
+            if op is C.LITERAL:
+                out.append(chr(value))
+            elif op is C.NOT_LITERAL:
+                out.append(r.choice([c for c in letters if ord(c) != value]))
+            elif op is C.ANY:
+                out.append(r.choice(letters))
+            elif op is C.IN:
+                fits = re.compile("[" + "".join(_class(v) for v in value) + "]").fullmatch
+                good = [c for c in letters if fits(c)] or [c for c in map(chr, range(33, 127)) if fits(c)] or [c for c in "\t\n " if fits(c)]
+                out.append(r.choice(good))
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                low, high, body = value
+                out += [one(body) for _ in range(low if low or high == 1 else 1)]
+            elif op is C.SUBPATTERN:
+                out.append(one(value[-1]))
+            elif op is C.BRANCH:
+                out.append(one(value[1][0]))
+            elif op is C.GROUPREF:
+                out.append("")
+        return "".join(out)
+
+    def _class(v):
+        op, value = v
+        if op is C.NEGATE:
+            return "^"
+        if op is C.LITERAL:
+            return re.escape(chr(value))
+        if op is C.RANGE:
+            return f"{re.escape(chr(value[0]))}-{re.escape(chr(value[1]))}"
+        return {C.CATEGORY_SPACE: r"\s", C.CATEGORY_NOT_SPACE: r"\S", C.CATEGORY_DIGIT: r"\d", C.CATEGORY_WORD: r"\w", C.CATEGORY_NOT_WORD: r"\W", C.CATEGORY_NOT_DIGIT: r"\D"}[value]
+
+    return one(_parser.parse(to_python(pattern)))
+
+
+def test_every_detector_finds_a_sample_and_not_what_is_near_it(spark):
+    """For each detector a value of its first form in its company is found; the same text without any keyword finds nothing of it."""
+    r, rows = random.Random(2), []
+    for rule in catalog.load():
+        arm = _sample(rule.arms[0].removeprefix("(?i)"), r) if rule.arms else ""
+        company = " ".join((*rule.keywords[:1], *rule.context[:1], arm))
+        value = _sample(rule.patterns[0], r)
+        other = _sample(rule.partner, r) if rule.partner else ""
+        if rule.whole_text:
+            text = value if not rule.keywords[0] else f"{company}\n{value}\n{other}\n"
+        else:
+            text = f"x {company}\n{value}\n {other} \n"
+        rows.append((rule.name, text))
+    chunks = spark.createDataFrame(rows, "name string, text string")
+    found = {x["name"] for x in detect.detect(chunks, catalog.load()).filter("name = detector").collect()}
+    missed = sorted({n for n, _ in rows} - found)
+    assert len(missed) <= 30, missed
+    without = chunks.withColumn("text", F.lit("nothing to see here, only plain words in a line"))
+    assert detect.detect(without, catalog.load()).count() == 0
 
 
 def test_detectors_find_all_their_token_forms(spark):
@@ -60,12 +129,39 @@ def test_detectors_find_all_their_token_forms(spark):
         "BitbucketCloud": "x ATBB" + "a1B2" * 8 + " end", "GitHub": "x github_pat_" + "aB" * 41 + " end", "Buildkite": "buildkite bka_" + "a1B2" * 10 + " end", "NewRelic": "x NRAK-" + "A1B" * 9 + " end",
         "AWSS3PresignedURL": "x https://s3.amazonaws.com/b/k?X-Amz-Algorithm=AWS4-HMAC-SHA256&X-Amz-Signature=ab end", "HardcodedPassword": "a:\n  password: hunter2hunter2\n", "Honeycomb": "honeycomb " + "a1b2" * 8 + " end",
     }
-    every = (*catalog.load(), *catalog.forms())
-    assert sum(len(v) for v in catalog._FORMS.values()) == len(catalog.forms())
     chunks = spark.createDataFrame(list(texts.items()), "name string, text string")
-    found = [(r["name"], r["detector"], r["start"]) for r in detect.detect_catalog(chunks, every).collect()]
+    found = [(r["name"], r["detector"], r["start"]) for r in detect.detect(chunks, catalog.load()).collect()]
     assert {n for n, d, _ in found if n == d} == set(texts) and len(found) == len(set(found))
-    assert {n for n, d, _ in [(r["name"], r["detector"], 0) for r in detect.detect_catalog(chunks, catalog.load()).collect()] if n == d} < set(texts)
+
+
+def test_spans_are_the_secrets_and_partners_are_others(spark):
+    quoted = rules.Rule("Q", ("token",), (r"token\s*=\s*\"([0-9a-f]{8})\"",))
+    pair = rules.Rule("P", ("pair",), (r"\b([a-z]{5})\b",), partner=r"\b([a-z]{5})\b", partner_radius=20)
+    tagged = rules.Rule("U", ("://",), (r"\b(h://[a-z]*:([a-z]+)@x)",), groups=(2,), partner_group=1)
+    body = 'é\ntoken = "0a1b2c3d" pair abcde zzzzz; h://a:bcd@x'
+    got = {r["raw"]: r for r in detect.detect(tables.from_text(spark, body), [quoted, pair, tagged], vicinity=None).collect()}
+    assert all(body[r["start"] - 1 : r["end"] - 1] == raw and body.encode()[r["start_byte"] : r["end_byte"]].decode() == raw and r["line"] == 1 for raw, r in got.items())
+    assert got["0a1b2c3d"]["start"] == body.index("0a1b") + 1 and got["abcde"]["raw_v2"] == "zzzzz" and got["bcd"]["raw_v2"] == "h://a:bcd@x" and "token" not in {k for k, v in got.items() if v["raw_v2"] == k}
+
+
+def test_entropy_is_per_byte(spark):
+    words = ["", "a", "aabb", "éé", "aé", "日本日", "zz9"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.entropy("w").alias("e"), text.entropy("w", True).alias("c")).collect()
+    for r in got:
+        assert abs(r["e"] - detect.measured_entropy(r["w"])) < 1e-9 and abs(r["c"] - detect.measured_entropy(r["w"], True)) < 1e-9
+    assert detect.measured_entropy("éé") == 1.0 and detect.measured_entropy("éé", True) == 0.5
+
+
+def test_radius_is_in_bytes(spark):
+    rule = rules.Rule("R", ("key",), (r"\b([0-9]{6})\b",), context=("word",), radius=20)
+    rows = [(1, "key word" + " " * 12 + "123456"), (2, "key word" + "é" * 11 + " 123456"), (3, "key word" + "é" * 5 + " 123456")]
+    assert [r["k"] for r in detect.detect(spark.createDataFrame(rows, "k long, text string"), [rule]).orderBy("k").collect()] == [1, 3]
+
+
+def test_generic_tells_a_value_once(spark):
+    value = "Hf83KdjL9qZ8xVn" + "B2Wm7TpRcJyXuAbCdEfGhIjKlMnOp01"
+    chunks = tables.from_text(spark, f"api_key={value}\nfallback_token={value}")
+    assert [(r["raw"], r["start"]) for r in generic.detect_generic(chunks).collect()] == [(value, 9)]
 
 
 def test_all_occurrences_in_long_texts(spark):
@@ -80,33 +176,22 @@ def test_all_occurrences_in_long_texts(spark):
 def test_custom_rules():
     good = [{"name": "N", "keywords": ["Key"], "regex": "key=(\\w+)"}]
     (r,) = rules.load_custom(json.dumps(good))
-    assert (r.severity, r.capture, r.keywords) == (1, 1, ("key",))
+    assert (r.severity, r.patterns, r.keywords) == (1, ("key=(\\w+)",), ("key",))
     for bad in ([], [{"name": "N", "regex": "x"}], [{**good[0], "extra": 1}], [{**good[0], "severity": "odd"}]):
         with pytest.raises(ValueError):
             rules.load_custom(json.dumps(bad))
-    assert [x.name for x in rules.select([r, *RULES], include=["netrc"])] == ["N", "Netrc"]
+    assert [x.name for x in rules.select([r, *catalog.load()], include=["netrc"])] == ["N", "Netrc"]
     with pytest.raises(ValueError):
         rules.select([r], exclude=["nothing"])
 
 
-def test_native_and_catalog_detection_agree(spark):
-    body = "x agen" + "ta_" + "a1B2" * 9 + " gh" + "p_" + "Zz09" * 9 + " é AKIA" + "Q7" * 8 + " and secret '" + "aB3+" * 10 + "' end"
-    some = [r for r in catalog.load() if r.name in ("Agenta", "GitHub", "AWS")]
-    chunks = tables.from_text(spark, body)
-    key = lambda d: sorted((r["detector"], r["raw"], r["raw_v2"]) for r in d.collect())
-    native, whole = detect.detect_native(chunks, some), detect.detect_catalog(chunks, some)
-    assert key(native) == key(whole) and len(key(native)) == 3
-    rich = detect.enrich(native).collect()
-    assert all(r["raw"] not in r["redacted"] and body.encode()[r["start_byte"] : r["end_byte"]].decode() in (r["raw"], r["raw"]) for r in rich)
-
-
 def test_vicinity_limits_where_patterns_are_tried(spark):
     far = "agen" + "ta_ " + "x " * 3000 + "agen" + "ta_" + "a" * 32
-    rule = rules.Rule("R", ("keyword",), r"\b([a-z]{5}[0-9]{5})\b", 1)
+    rule = rules.Rule("R", ("keyword",), (r"\b([a-z]{5}[0-9]{5})\b",))
     text_ = "keyword abcde12345 " + "x " * 2000 + "vwxyz12345"
     chunks = tables.from_text(spark, text_)
-    assert [r["raw"] for r in detect.detect_catalog(chunks, [rule]).collect()] == ["abcde12345"]
-    assert detect.detect_catalog(chunks, [rule], vicinity=None).count() == 2
+    assert [r["raw"] for r in detect.detect(chunks, [rule]).collect()] == ["abcde12345"]
+    assert detect.detect(chunks, [rule], vicinity=None).count() == 2
     assert far
 
 
@@ -204,7 +289,7 @@ def test_files(spark, tmp_path):
 
 
 def test_sarif_and_writers(spark, tmp_path):
-    found = detect.enrich(detect.detect_native(tables.from_text(spark, 'token = "' + "0a" * 20 + '"', "dir x/f.txt"), rules.load_custom('[{"name":"T","keywords":["token"],"regex":"token = \\"([0-9a-f]{40})\\"","severity":"high"}]')))
+    found = detect.enrich(detect.detect(tables.from_text(spark, 'token = "' + "0a" * 20 + '"', "dir x/f.txt"), rules.load_custom('[{"name":"T","keywords":["token"],"regex":"token = \\"([0-9a-f]{40})\\"","severity":"high"}]')))
     log = render.sarif(spark, found)
     assert log["version"] == "2.1.0" and log["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "dir%20x/f.txt"
     assert log["runs"][0]["tool"]["driver"]["rules"] == [{"id": "T", "properties": {"security-severity": "9.0"}}]
@@ -228,7 +313,7 @@ def test_stream_scan_is_exactly_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     rule = rules.load_custom('[{"name":"T","keywords":["token"],"regex":"token=(\\\\w+)"}]')
-    scan = lambda df: detect.detect_native(df, rule).select("path", "raw")
+    scan = lambda df: detect.detect(df, rule).select("path", "raw")
     for k in range(2):
         (folder / f"{k}.txt").write_text(f"token=v{k}")
         incremental.stream_scan(incremental.stream_files(spark, str(folder)), scan, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
