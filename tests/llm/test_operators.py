@@ -526,15 +526,16 @@ def test_search_against_brute_force(spark):
     got = {}
     for x in multi_index.search(vectors, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    assert set(got) == set(range(0, 3000, 20))
-    d, hit = e.astype(float), 0
+    d, ids, hit = np.vstack([e.astype(float), [[1.0] * 3 + [0.0] * 13]]), np.append(np.arange(3000), 9100), 0
+    place = {v: k for k, v in enumerate(ids.tolist())}
+    assert set(got) == {*range(0, 3000, 20), 9100}
     for q, found in got.items():
-        s = (d * d[q]).sum(1)
-        s[q] = -np.inf
+        s = (d * d[place[q]]).sum(1)
+        s[place[q]] = -np.inf
         found.sort()
-        assert [f[0] for f in found] == list(range(1, 21)) and all(abs(f[2] - s[f[1]]) < 1e-9 for f in found)
+        assert [f[0] for f in found] == list(range(1, 21)) and all(abs(f[2] - s[place[f[1]]]) < 1e-9 for f in found)
         assert [(-f[2], f[1]) for f in found] == sorted((-f[2], f[1]) for f in found)
-        hit += len({f[1] for f in found} & set(np.lexsort((np.arange(3000), -s))[:20].tolist()))
+        hit += len({f[1] for f in found} & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
     assert hit / (20 * len(got)) >= 0.9
     assert multi_index.search(vectors.limit(0), F.lit(True)).count() == 0
     few = multi_index.search(vectors.filter("vec_id < 4"), F.col("vec_id") == 0).collect()
@@ -564,16 +565,50 @@ def test_search_recall_at_the_share_used(spark, copies):
 
 def test_search_of_small_tables_walks_the_share(spark):
     e = np.random.default_rng(6).normal(size=(1500, 64))
-    index = multi_index.MultiIndex(multi_index.centroids(e[:, :32], 128, 0), multi_index.centroids(e[:, 32:], 128, 1))
+    half = lambda x: float((x * x).sum(1).max())
+    index = multi_index.MultiIndex(64, (half(e[:, :32]), half(e[:, 32:])))
+    index.fit(e, 128)
     np.add.at(index.distinct.reshape(-1), index.cells(e), 1)
     np.add.at(index.counts.reshape(-1), index.cells(e), 1)
-    assert 600 <= index.distinct[index.walk(e[0], 600, 21)].sum() < 620
+
+    def met(depth):
+        order = index.order(e[0])[3]
+        return sum(int(index.distinct[i, order[:d]].sum()) for i, d in enumerate(depth.tolist()))
+
+    assert 600 <= met(index.walk(e[0], 600, 21)) < 620
     assert index.walk(e[0], 1, 1500).sum() == index.walk(e[0], 1500, 1).sum()
+    s, t, rows, columns = index.order(e[0])
+    depth, sums = index.walk(e[0], 600, 21), np.zeros((128, 128))
+    sums[np.ix_(rows, columns)] = s[:, None] + t[None, :]
+    visited = np.zeros((128, 128), bool)
+    for i, d in enumerate(depth.tolist()):
+        visited[i, columns[:d]] = True
+    assert sums[visited].max() <= sums[~visited].min() + 1e-9  # least sums first
     vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(e)], "vec_id long, embedding array<double>")
     short = multi_index.search(vectors, F.col("vec_id") == 0, k=1000)
     assert short.count() == 1000
 
 
+def test_search_in_many_blocks_and_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "ROWS", 100)
+    monkeypatch.setattr(multi_index, "QUERIES", 7)
+    e = np.random.default_rng(9).normal(size=(400, 6)).round(1)
+    e[:150] = e[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(e)] + [(3, e[3].tolist()), (399, e[399].tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in multi_index.search(vectors, F.col("vec_id") % 20 == 0, k=5, part=1.0).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], round(x["score"], 9)))
+    for q in range(0, 400, 20):
+        want = sorted((-round(float((e[k] * e[q]).sum()), 9), k) for k, _ in rows if k != q)[:5]
+        assert sorted(got[q]) == [(i, k, -s) for i, (s, k) in enumerate(want, 1)]
+
+
+def test_shares_fall_as_tables_grow():
+    assert multi_index.share(10) == pytest.approx(min(1, 0.45 * 0.01**-0.125)) and multi_index.share(50_000) < 0.28 and multi_index.share(10**8) < 0.11
+    assert [multi_index.n_centroids(n) for n in (1, 2_000, 50_000, 10**6, 10**12)] == [16, 128, 256, 512, 1024]
+
+
 # 9
 def _measure(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
