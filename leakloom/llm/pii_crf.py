@@ -1,11 +1,12 @@
 """Personal data: base patterns, and a skip-chain conditional random field (operator 5).
 
-Four fixed patterns give the base spans. The field then labels every token that holds a digit or
-an at sign: a chain joins neighbouring tokens of a document, and each token is also joined to the
-one before it with the same letters and digits, however far away, so that a number written out
-plainly takes the label of its formatted twin. Weights come from pseudo-likelihood on generated,
-labelled token lists; labels come from loopy message passing. Spans the field finds are added
-where they don't overlap base spans; base spans always stay.
+Four fixed patterns give the base spans. The field then labels every candidate: a token that holds a digit or
+an at sign, a run of two or three capitalised words, a house number with its street. A chain joins neighbours of a
+document, and each candidate is also joined to the one before it, however far away, that has the same letters
+and digits, or that is like it: the same last seven digits, the same mailbox, the same last name. A number
+written out plainly so takes the label of its formatted twin, and a name the label that a cue gave it once.
+Weights come from pseudo-likelihood on generated, labelled token lists; labels come from loopy message
+passing. Spans the field finds are added where they don't overlap base spans; base spans always stay.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from leakloom.llm import _shared as S
 
 #: Kinds in the order in which spans of one start are listed; the base patterns know the first four.
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "birth", "name", "address")
 OUTSIDE = len(KINDS)
 #: Least bound on the rounds of message passing, examples to train on, and the belief a span needs.
-ROUNDS, EXAMPLES, BELIEF = 8, 600, 0.7
+ROUNDS, EXAMPLES, BELIEF = 8, 1_000, 0.7
 #: Messages of a text have settled when none changed by more in a round.
 SETTLED = 1e-6
 
@@ -79,43 +80,68 @@ _CUES = {
     "card": re.compile(r"card|visa|credit", re.I),
     "ip": re.compile(r"\bip\b|host|server|addr", re.I),
     "email": re.compile(r"mail|contact", re.I),
+    "ssn": re.compile(r"\bssn\b|social security", re.I),
+    "birth": re.compile(r"\bborn\b|birth|\bdob\b", re.I),
+    "name": re.compile(r"\b(?:mr|mrs|ms|dr|prof|sir|dear|call|ask|name(?: is)?|named|patient|customer|contact|signed|regards|sincerely|attn)[.,:]?\s*$", re.I),
+    "address": re.compile(r"\b(?:at|lives|address|street|ship to|deliver to|resides)\b", re.I),
 }
 _QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _HEX = re.compile(r"[0-9a-fA-F]{16,}")
 _KEY = re.compile(r"[A-Z0-9]{16,}")
 _MAIL = re.compile(r"[^@\s]+@[^@\s]+\.[^@\s]+")
+_SOCIAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)?[0-9]{2}")
+#: Runs of two or three different capitalised words within a line, after any word that announces a name.
+_NAME = re.compile(r"\b(?!(?:Mr|Mrs|Ms|Dr|Prof|Sir|Dear|Call|Ask|Name|Named|Patient|Customer|Contact|Signed|Regards|Sincerely|Attn|The|And|For|From)\b)[A-Z][a-z]{1,20}(?: [A-Z]\.)?(?: [A-Z][a-z]{1,20}){1,2}\b(?! [A-Z][a-z])")
+#: A capitalised word just before, but for one that announces a name.
+_CAPITAL = re.compile(r"\b(?!(?:Mr|Mrs|Ms|Dr|Prof|Sir|Dear|Call|Ask|Name|Named|Patient|Customer|Contact|Signed|Attn)\b)[A-Z][a-z]+ $")
+_STREET = re.compile(r"\b[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Way|Place|Terrace)\b")
 
 
 class Token:
-    """A candidate: its place without the marks around it, and the text before it."""
-
-    __slots__ = ("start", "end", "core", "before", "base")
-
-    def __init__(self, start, end, core, before, base):
-        self.start, self.end, self.core, self.before, self.base = start, end, core, before, base
-
-    def key(self) -> str:
-        return "".join(c for c in self.core.lower() if c.isalnum())
+    """A candidate: its place without the marks around it, its text, the text before it, the base kind it lies in, and its form: token, name or address."""
+
+    __slots__ = ("start", "end", "core", "before", "base", "form")
+
+    def __init__(self, start, end, core, before, base, form=0):
+        self.start, self.end, self.core, self.before, self.base, self.form = start, end, core, before, base, form
+
+    def keys(self) -> list[tuple[str, str]]:
+        """What makes candidates the same or like each other."""
+        core = self.core.lower()
+        plain = "".join(c for c in core if c.isalnum())
+        out = [("same", plain)] if len(plain) >= 5 else []
+        if self.form == 1:
+            return [*out, ("name", core.rsplit(" ", 1)[1])]
+        digits = _NOT_DIGIT.sub("", core)
+        if 7 <= len(digits) < 12 and len(digits) >= len(plain) - 2:
+            out.append(("digits", digits[-7:]))
+        if "@" in core[1:]:
+            out.append(("mailbox", core.split("@", 1)[0]))
+        return out
 
     def features(self) -> list[float]:
         core = self.core
         digits = len(_NOT_DIGIT.sub("", core))
-        letters = sum(map(str.isalpha, core[:200]))
+        letters = sum(map(str.isalpha, core))
         sizes = (0, 1, 4, 7, 10, 12, 20)
+        plain = self.form == 0
         return [
             1.0, "@" in core, bool(_MAIL.fullmatch(core)), bool(_QUAD.fullmatch(core)), bool(_HEX.fullmatch(core)), bool(_KEY.fullmatch(core)) and letters > 3,
-            letters == 0, 0 < letters and digits > 0 and len(core) >= 16, core[:1] == "+" or self.before[-1:] == "+", self.before[-1:] in "=\"'" and self.before != "", core.startswith("AK" "IA"),
+            letters == 0, plain and 0 < letters and digits > 0 and len(core) >= 16, core[:1] == "+" or self.before[-1:] == "+", self.before[-1:] in "=\"'" and self.before != "", core.startswith("AK" "IA"),
             bool(re.fullmatch(r"[0-9]{3}[-. ]?[0-9]{4}", core)), bool(re.fullmatch(r"(?:[0-9]{3}[-.]?){2}[0-9]{4}", core)), bool(re.fullmatch(r"[0-9]{3}", core)) and self.before[-1:] == "(",
-            12 <= digits <= 19 and letters == 0 and luhn(_NOT_DIGIT.sub("", core)), "." in core, len(core) <= 4,
-            *(low <= digits < high for low, high in zip(sizes, (*sizes[1:], 10**9))),
+            12 <= digits <= 19 and letters == 0 and luhn(_NOT_DIGIT.sub("", core)), "." in core, len(core) <= 4, self.form == 1, self.form == 2,
+            bool(_SOCIAL.fullmatch(core)), bool(_DATE.fullmatch(core)), self.form == 1 and bool(_CUES["name"].search(self.before)),
+            bool(_DATE.fullmatch(core)) and bool(_CUES["birth"].search(self.before)),
+            *(plain and low <= digits < high for low, high in zip(sizes, (*sizes[1:], 10**9))),
             *(bool(cue.search(self.before)) for cue in _CUES.values()),
             *(self.base == k for k in range(4)),
         ]
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
-    """The tokens with a digit or an at sign, each with the base kind it lies in, if any."""
-    out, done, k = [], 0, 0
+def _hot(text: str):
+    """Places of the tokens with a digit or an at sign, without the marks around them."""
+    done = 0
     for m in _HOT.finditer(text):
         if m.start() < done:
             continue
@@ -130,25 +156,40 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
             start += 1
         while start < end and text[end - 1] in _EDGES:
             end -= 1
+        if start < end:
+            yield start, end
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
+    """Streets with their numbers, names, and tokens with a digit or an at sign, each with the base kind it lies in, if any."""
+    places = [(m.start(), m.end(), 2) for m in _STREET.finditer(text)] if _DIGIT.search(text) else []
+    taken = [(a, b) for a, b, _ in places]
+    names = (m.span() for m in _NAME.finditer(text) if len(set(m[0].split(" "))) == m[0].count(" ") + 1 and not _CAPITAL.search(text, max(0, m.start() - 24), m.start()))
+    for found, form in ((names, 1), (_hot(text), 0)):
+        k = 0
+        for a, b in found:
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if k == len(taken) or taken[k][0] >= b:
+                places.append((a, b, form))
+    out, k = [], 0
+    for start, end, form in sorted(places):
         while k < len(spans) and spans[k][2] <= start:
             k += 1
-        if start < end:
-            base = next((kind for a, kind, b in spans[k : k + 4] if a < end and start < b), OUTSIDE)
-            out.append(Token(start, end, text[start:end], text[max(0, start - 24) : start], base))
+        base = next((kind for a, kind, b in spans[k : k + 4] if a < end and start < b), OUTSIDE)
+        out.append(Token(start, end, text[start:end], text[max(0, start - 24) : start], base, form))
     return out
 
 
 def links(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Pairs of neighbours, and of each token with the one before it that has the same letters and digits."""
+    """Pairs of neighbours, and of each candidate with the last one before it that is the same or like it."""
     chain = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1].start - tokens[i].end <= 40]
-    seen: dict[str, int] = {}
+    seen: dict[tuple[str, str], int] = {}
     skip = []
     for i, token in enumerate(tokens):
-        key = token.key()
-        if len(key) >= 5:
-            if key in seen:
-                skip.append((seen[key], i))
-            seen[key] = i
+        mine = token.keys()
+        skip += [(j, i) for j in sorted({seen[k] for k in mine if k in seen})]
+        seen.update((k, i) for k in mine)
     return chain, skip
 
 
@@ -171,18 +212,26 @@ def _example(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             return r.choice(("", "", "card ", "visa ")), number if r.random() < 0.6 else "-".join(number[i : i + 4] for i in range(0, 16, 4))
         if kind == 3:
             return r.choice(("", "", "phone ", "call ", "tel ")), r.choice(("+1 ({}) {}-{}", "({}) {}-{}", "+1 {}-{}-{}", "{}-{}-{}")).format(digits(3), digits(3), digits(4))
+        if kind == 5:
+            return r.choice(("SSN ", "ssn: ", "social security ", "", "")), f"{digits(3)}-{digits(2)}-{digits(4)}"
+        if kind == 6:
+            return r.choice(("born ", "born on ", "date of birth ", "DOB: ", "birthday ")), r.choice((f"19{digits(2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", f"0{r.randint(1, 9)}/1{r.randint(0, 9)}/19{digits(2)}"))
+        if kind == 7:
+            return r.choice(("Mr. ", "Dr. ", "call ", "Call ", "name is ", "Dear ", "contact ", "Name: ", "ask ")), " ".join(word().capitalize() for _ in range(r.choice((2, 2, 2, 3))))
+        if kind == 8:
+            return r.choice(("at ", "lives at ", "Address: ", "", "ship to ")), f"{r.randint(1, 999)} {word().capitalize()} {r.choice(('Street', 'Road', 'Avenue', 'Lane', 'Drive'))}"
         value = r.choice((lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((17, 24, 32, 40, 64)))), lambda: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(20)), lambda: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(r.randint(20, 40)))))()
         return r.choice(('token = "', "password=", "secret: ", "api_key=", "", "bearer ")), value
 
     def other():
-        return r.choice((f"{r.randint(1, 9)}.{r.randint(0, 9)}", str(r.randint(1900, 2030)), digits(r.randint(1, 3)), f"{r.randint(1, 99)}.{digits(2)}", f"20{digits(2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", f"{r.randint(1, 12)}:{digits(2)}", f"{word()}{digits(1)}", f"v{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", digits(r.randint(4, 9)), f"{r.randint(1, 9)},{digits(3)}", f"@{word()}", digits(16)))
+        return r.choice((f"{r.randint(1, 9)}.{r.randint(0, 9)}", str(r.randint(1900, 2030)), digits(r.randint(1, 3)), f"{r.randint(1, 99)}.{digits(2)}", f"20{digits(2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", f"{r.randint(1, 12)}:{digits(2)}", f"{word()}{digits(1)}", f"v{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", digits(r.randint(4, 9)), f"{r.randint(1, 9)},{digits(3)}", f"@{word()}", digits(16), *[f"{word().capitalize()} {word().capitalize()}"] * 6, f"20{digits(2)}/{r.randint(1, 12)}/{r.randint(1, 28)}", f"in {r.randint(1900, 2030)} {word().capitalize()}"))
 
     text, spans, said = "", [], []
     for _ in range(r.randint(2, 7)):
         text += " ".join(word() for _ in range(r.randint(0, 6))) + " "
         if said and r.random() < 0.35:  # the same thing again, without what told its kind
             kind, value = r.choice(said)
-            value = value if r.random() < 0.5 else re.sub(r"[-() +]", "", value)
+            value = value if r.random() < 0.5 or kind > 5 else re.sub(r"[-() +]", "", value)
             lead = ""
         elif r.random() < 0.5:
             text += other() + r.choice((" ", ". ", ", "))
@@ -225,7 +274,7 @@ def model(seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x, y = np.array(x, float), np.eye(n)[y]
     before, after, twin = map(np.array, (before, after, twin))
     w, c, s = np.zeros((x.shape[1], n)), np.zeros((n, n)), np.zeros((n, n))
-    for _ in range(400):
+    for _ in range(500):
         z = x @ w + before @ c + after @ c.T + twin @ s
         p = np.exp(z - z.max(1, keepdims=True))
         e = y - p / p.sum(1, keepdims=True)
@@ -273,15 +322,15 @@ def _log_sum(v: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(v - top[:, None]).sum(1))
 
 
-def find(texts: list[str]) -> list[tuple[list, list]]:
-    """For each text its base spans and all its spans, as (start, kind, end)."""
+def find(texts: list[str], weights=None) -> list[tuple[list, list]]:
+    """For each text its base spans and all its spans, as (start, kind, end); ``weights`` are the model's, trained here if not given."""
     bases = [base_spans(t) for t in texts]
     tokens = [candidates(t, b) for t, b in zip(texts, bases)]
     alls = [list(b) for b in bases]
     flat = [t for ts in tokens for t in ts]
     if not flat:
         return list(zip(bases, alls))
-    w, c, s = model()
+    w, c, s = weights or model()
     chains, skips, of, at = [], [], ([], []), 0
     for text, ts in enumerate(tokens):
         chain, skip = links(ts)
@@ -322,9 +371,11 @@ def report(docs: DataFrame) -> DataFrame:
     repeated rows give repeated results; other columns are not read. Nothing is shuffled.
     """
 
+    weights = model()
+
     def rows(texts):
         out = []
-        for base, spans in find([t or "" for t in texts]):
+        for base, spans in find([t or "" for t in texts], weights):
             counts = [sum(k == i for _, k, _ in base) for i in range(4)]
             out.append({f"n_{KINDS[i]}": counts[i] for i in range(4)} | {"base_sha256": hashlib.sha256(_told(base).encode()).hexdigest(), "spans": _told(spans)})
         return out
@@ -336,12 +387,14 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets and n_chars brought up to date.
 
-    Overlapping spans are replaced together by the kind of the first. Null texts stay null.
+    Overlapping spans are replaced together by the kind of the first. Null texts stay null, repeated rows are
+    treated alike, an empty table stays empty; ``n_chars`` is set anew only if there is such a column.
     """
+    weights = model()
 
     def rows(texts):
         out = []
-        for text, (_, spans) in zip(texts, find([t or "" for t in texts])):
+        for text, (_, spans) in zip(texts, find([t or "" for t in texts], weights)):
             parts, done = [], 0
             for start, kind, end in spans:
                 if start >= done:

@@ -435,6 +435,35 @@ def test_field_links_repeats_and_finds_secrets():
     assert lone == [[], []]
 
 
+def test_field_precision_and_recall_on_held_out_texts():
+    """Of each kind, spans found of those that are there, and right ones of those found, base spans included."""
+    r, kinds = random.Random(4242), range(len(pii_crf.KINDS))
+    hit, told, there = ({k: 0 for k in kinds} for _ in range(3))
+    met = lambda a, b: a[0] < b[2] and b[0] < a[2] and a[1] == b[1]
+    for _ in range(800):
+        text, spans = pii_crf._example(r)
+        found = pii_crf.find([text])[0][1]
+        for k in kinds:
+            there[k] += sum(s[1] == k for s in spans)
+            told[k] += sum(s[1] == k for s in found)
+            hit[k] += sum(s[1] == k and any(met(s, f) for f in found) for s in spans)
+    for k in kinds:
+        assert hit[k] >= 0.93 * there[k] and hit[k] >= 0.93 * told[k], pii_crf.KINDS[k]
+
+
+def test_field_finds_names_numbers_and_what_is_like_them():
+    text = "Call John Smith at 12 Main Street, born 1984-02-03. SSN 123-45-6789. " + "word " * 60 + "Then Smith came, and J. said that John Smith had left. phone (555) 123-4567 and later +1 555 123 4567."
+    told = {(pii_crf.KINDS[k], text[a:b]) for a, k, b in pii_crf.find([text])[0][1]}
+    assert {("name", "John Smith"), ("address", "12 Main Street"), ("birth", "1984-02-03"), ("ssn", "123-45-6789")} <= told
+    assert any(k == "phone" for k, _ in told) and not any("Main Street" in t for k, t in told if k == "name")
+    plain = "The New Garden is open. Music Paper Silver Road Winter Light Stone Summer. In 2019 Green Window sold 12 boxes."
+    assert pii_crf.find([plain])[0][1] == []
+    tokens = pii_crf.candidates("a.b@x.org 555-123-4567 then +15551234567 and a.b@y.org", [])
+    assert set(pii_crf.links(tokens)[1]) == {(1, 2), (0, 3)}
+    long = pii_crf.Token(0, 206, "0" * 200 + "letter", "", pii_crf.OUTSIDE)
+    assert long.features()[6] is False
+
+
 def test_loopy_messages_are_exact_on_chains():
     r = np.random.default_rng(3)
     unary, scores = r.normal(size=(3, 6)), r.normal(size=(2, 6, 6))
