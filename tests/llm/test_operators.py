@@ -525,6 +525,47 @@ def test_cotraining_learns_and_scores(spark):
     assert cotraining.classify(_empty(spark), marks, "q").count() == 0
 
 
+def _auc(scores, y):
+    order = {s: [] for s in sorted(set(scores))}
+    for s, v in zip(scores, y):
+        order[s].append(v)
+    below = won = 0
+    for vs in order.values():
+        won += sum(vs) * (below + (len(vs) - sum(vs)) / 2)
+        below += len(vs) - sum(vs)
+    return won / (sum(y) * (len(y) - sum(y)))
+
+
+def test_cotraining_on_given_labels(spark):
+    """Held-out ranking and calibration; the metadata of these documents tells next to nothing, which must not spoil the text's view."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, labels = S.table(spark, folder, "documents"), S.table(spark, folder, "labels")
+    out = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0
+    got = cotraining.classify(docs, labels.filter(~out), "r").join(labels.filter(out), "doc_id").select("quality", "r.score", "r.kept").collect()
+    y, scores = [r["quality"] for r in got], [r["score"] for r in got]
+    assert len(got) > 60 and _auc(scores, y) > 0.97
+    assert np.mean([(s - v) ** 2 for s, v in zip(scores, y)]) < 0.05 and np.mean([r["kept"] == bool(r["quality"]) for r in got]) > 0.95
+
+
+def test_views_teach_each_other(spark):
+    """Few labels, of which words tell nothing in most texts: the metadata's view, which knows better, brings the text's up."""
+    r, rows, labels = random.Random(3), [], []
+    for k in range(1200):
+        bad = r.random() < 0.4
+        words = [r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(60)] + (["spam" + str(r.randint(0, 40)) for _ in range(6)] if bad else [])
+        rows.append((k, " ".join(r.sample(words, len(words))), "en", "farm" if bad else "press", 300))
+        if k < 120:
+            labels.append((k, int(not bad)))
+    docs, marks = _docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = cotraining.classify(docs, marks, "q").filter("doc_id >= 120").select("source", "q.*").collect()
+    y = [x["source"] == "press" for x in got]
+    assert _auc([x["score"] for x in got], y) > 0.98 and _auc([x["meta_score"] for x in got], y) > 0.98 and _auc([x["text_score"] for x in got], y) > 0.7
+
+
 # 7
 def test_store_round_trip(spark, tmp_path):
     import public_tokenizers as P
