@@ -13,7 +13,7 @@ def _minimum(pairs: DataFrame, total: int) -> DataFrame:
 
     Minima are combined before the shuffle; nodes with a large part of all pairs are broadcast, so that no task gets all of one's.
     """
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    least = S.checkpointed(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
     return S.join_counted(pairs, least, "u", "n", total).drop("n")
 
 

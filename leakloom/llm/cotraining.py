@@ -26,7 +26,7 @@ from leakloom.llm import _shared as S
 from leakloom.llm.minhash_dedup import _mixed, _words
 from leakloom.llm.quality_rules import class_counts, repeated_lines
 
-LABELLED = 20_000
+LABELLED = 6_000
 #: Rounds, the part of the pool that each view hands over in the first of them, and the least odds for that.
 ROUNDS, HANDED, SURE = 3, 0.05, 1.5
 #: Steps of each fit over the pool, bins of the odds' histograms, which reach from -LIMIT to LIMIT.
@@ -336,6 +336,23 @@ def classify(docs: DataFrame, labels: DataFrame, into: str = "quality_score") ->
     return docs.withColumn(into, S.text_udf(fields, rows, 3)("text", "source", rest))
 
 
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text_score, meta_score, score and kept of each row, as ``classify`` gives them; texts are read once."""
+    views = S.checkpointed(_views(docs))
+    trained = fit(docs, labels, views)
+    fields = "text_score double, meta_score double, score double, kept boolean"
+    if trained is None:
+        return views.select("doc_id", F.from_json(F.lit('{"kept": true}'), fields).alias("r")).select("doc_id", "r.*")
+
+    def rows(shares, words, metas):
+        if not shares:
+            return []
+        found = trained.score(Rows(shares, words, metas))
+        return [{"text_score": float(a), "meta_score": float(b), "score": float(c), "kept": bool(c >= KEEP)} for a, b, c in zip(*found)]
+
+    return views.select("doc_id", S.text_udf(fields, rows, 3)("shares", "words", "meta").alias("r")).select("doc_id", "r.*")
+
+
 def op6_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = classify(S.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), S.table(spark, sf_dir, "labels"), "r")
-    return docs.select("doc_id", "r.text_score", "r.meta_score", "r.score", "r.kept")
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return scores(docs, S.table(spark, sf_dir, "labels"))

@@ -520,6 +520,9 @@ def test_cotraining_learns_and_scores(spark):
     assert len(got) == 401
     right = [x["kept"] == (x["doc_id"] % 3 != 0) for x in got if x["doc_id"] is not None and x["doc_id"] % 2]
     assert np.mean(right) > 0.95 and all(0 <= x["score"] <= 1 for x in got)
+    same = {(x["doc_id"], x["score"]) for x in cotraining.scores(docs, marks).collect()}
+    assert same == {(x["doc_id"], x["score"]) for x in got}
+    assert cotraining.scores(docs, marks.filter("quality = 9")).filter("kept and score is null").count() == 401
     none = cotraining.classify(docs, marks.filter("quality = 9"), "q").select("q.kept", "q.score").distinct().collect()
     assert [tuple(x) for x in none] == [(True, None)]
     assert cotraining.classify(_empty(spark), marks, "q").count() == 0
