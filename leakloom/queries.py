@@ -60,7 +60,7 @@ def _spans_sql(relation: str, key: str, text: str, pattern: str) -> str:
 # Bits a byte: counts of pairs of hexadecimal digits.
 _ENTROPY = "list_aggregate(regexp_extract_all(hex(encode({0})), '..'), 'entropy')"
 #: The custom rules again, as whole matches and what stands before and after the secret in them.
-_CUSTOM_PLACES = {"HexToken": ("token\\s*=\\s*\"[0-9a-f]{40}\"", "length(value) - 41", 1), "PasswordLine": ("password=[0-9a-z]{8,40}\\b", "9", 0), "MailAddress": ("\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "0", 0)}
+_CUSTOM_PLACES = {"HexToken": ("token\\s*=\\s*\"[0-9a-f]{40}\"", "(length(value) - 41)", 1), "PasswordLine": ("password=[0-9a-z]{8,40}\\b", "9", 0), "MailAddress": ("\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "0", 0)}
 
 
 def _custom_sql() -> str:
