@@ -26,10 +26,12 @@ def dedup(findings: DataFrame, location: str = "location", order: str = "seq") -
 
 
 def cross_commit(findings: DataFrame, order: str = "commit_seq") -> DataFrame:
-    """Findings of version histories once per (value, file), the first, with how often they occur; others pass."""
-    key = Window.partitionBy(F.sha2("raw", 256), "path")
-    git = findings.filter("source_type = 'git'").withColumn("_n", F.row_number().over(key.orderBy(order))).withColumn("occurrence_count", F.count("*").over(key)).filter("_n = 1").drop("_n")
-    return git.unionByName(findings.filter("source_type <> 'git'").withColumn("occurrence_count", F.lit(1).cast("long")))
+    """Findings of version histories once per (value, file), the first, with how often they occur; others pass.
+
+    First ones and counts are combined before the shuffle, so that a value found everywhere fills no task.
+    """
+    git = findings.filter("source_type = 'git'").groupBy(F.sha2("raw", 256), "path").agg(F.min_by(F.struct(*findings.columns), order).alias("_first"), F.count("*").alias("occurrence_count"))
+    return git.select("_first.*", "occurrence_count").unionByName(findings.filter("source_type <> 'git'").withColumn("occurrence_count", F.lit(1).cast("long")))
 
 
 def is_placeholder(raw: str = "raw") -> Column:
@@ -131,11 +133,18 @@ def coverage_gate(coverage: DataFrame, fail_on: str = "gap") -> DataFrame:
     return out.withColumn("exit_code", F.when((F.col("gaps") > 0) | (F.lit(fail_on == "any") & (F.col("skips") > 0)), 2).otherwise(0))
 
 
-def coverage_rollup(coverage: DataFrame, examples: int = 32) -> DataFrame:
-    """Totals by kind and severity with the first examples of each."""
-    rank = F.row_number().over(Window.partitionBy("kind", "severity").orderBy("source", "error"))
-    kept = F.when(F.col("_n") <= examples, F.struct("source", "error"))
-    return coverage.withColumn("_n", rank).groupBy("kind", "severity").agg(F.count("*").alias("failures"), F.array_sort(F.collect_list(kept)).alias("examples"))
+def coverage_rollup(coverage: DataFrame, examples: int = 32, salts: int = 64) -> DataFrame:
+    """Totals by kind and severity with the first examples of each.
+
+    Examples are picked within salts first, so that no task ranks all failures of a kind.
+    """
+    totals = coverage.groupBy("kind", "severity").agg(F.count("*").alias("failures"))
+    salted = Window.partitionBy("kind", "severity", "_s").orderBy("source", "error")
+    few = coverage.withColumn("_s", F.pmod(F.xxhash64("source", "error"), F.lit(salts))).withColumn("_n", F.row_number().over(salted)).filter(F.col("_n") <= examples)
+    first = few.groupBy("kind", "severity").agg(F.slice(F.array_sort(F.collect_list(F.struct("source", "error"))), 1, examples).alias("examples"))
+    first = first.withColumnsRenamed({"kind": "_k", "severity": "_v"})
+    same = F.col("kind").eqNullSafe(F.col("_k")) & F.col("severity").eqNullSafe(F.col("_v"))
+    return totals.join(first, same).select("kind", "severity", "failures", "examples")
 
 
 def stats(chunks: DataFrame, findings: DataFrame) -> DataFrame:
