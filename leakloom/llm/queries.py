@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakloom.llm import byte_bpe, cotraining, html_extract, minhash_dedup, mixing, multi_index, pii_crf, quality_rules, token_store, url_equivalence
+from leakloom.llm import byte_bpe, cotraining, html_extract, minhash_dedup, mixing, multi_index, multiset_fingerprint, pii_crf, quality_rules, spelling_variants, token_alignment, token_store, url_equivalence
 
 _QUERIES = (
     minhash_dedup.op1_probminhash_dedup,
@@ -19,6 +19,9 @@ _QUERIES = (
     multi_index.op8_inverted_multi_index,
     quality_rules.op9_distribution_rules,
     url_equivalence.op10_redirect_equivalence,
+    spelling_variants.op11_half_automaton_variants,
+    multiset_fingerprint.op12_multiset_fingerprint,
+    token_alignment.op13_byte_owner_alignment,
 )
 
 
