@@ -206,6 +206,7 @@ def aligned(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     """
     kind = "array<int>"
     ddl = f"doc_id long, a {kind}, b {kind}, groups array<struct<a:int,b:int>>, overlaps array<struct<a:int,b:int,bytes:int>>"
+    schema = _schema(ddl)
 
     def rows(batches):
         for batch in batches:
@@ -215,12 +216,11 @@ def aligned(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
                     x = Aligned([text], a, b)
                     groups = np.stack([np.diff(x.last_a, prepend=-1), np.diff(x.last_b, prepend=-1)], 1).tolist()
                     over = np.stack(overlaps(x.owner_a, x.owner_b), 1).tolist()
-                    yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "a": x.a.tolist(), "b": x.b.tolist(), "groups": [{"a": p, "b": q} for p, q in groups], "overlaps": [{"a": p, "b": q, "bytes": n} for p, q, n in over]}], _schema(ddl))
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "a": x.a.tolist(), "b": x.b.tolist(), "groups": [{"a": p, "b": q} for p, q in groups], "overlaps": [{"a": p, "b": q, "bytes": n} for p, q, n in over]}], schema)
 
     return docs.select("doc_id", "text").mapInArrow(rows, ddl)
 
 
-@lru_cache
 def _schema(ddl: str) -> pa.Schema:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -234,7 +234,7 @@ def linked(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     Nulls and the like as in ``aligned``.
     """
     ddl = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<struct<pair:bigint,n:bigint>>"
-    pair = pa.struct([("pair", pa.int64()), ("n", pa.int64())])
+    pair, schema = pa.struct([("pair", pa.int64()), ("n", pa.int64())]), _schema(ddl)
 
     def rows(batches):
         for batch in batches:
@@ -248,7 +248,7 @@ def linked(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
                 fresh = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1])])) if len(pairs) else np.zeros(0, np.int64)
                 counted = pa.StructArray.from_arrays([pa.array(pairs[fresh]), pa.array(np.diff(fresh, append=len(pairs)))], fields=list(pair))
                 offsets = np.searchsorted(doc[fresh], np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(x.n_a), pa.array(x.n_b), pa.array(x.groups), pa.array(x.digests(a, b)), pa.ListArray.from_arrays(offsets, counted)], schema=_schema(ddl))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(x.n_a), pa.array(x.n_b), pa.array(x.groups), pa.array(x.digests(a, b)), pa.ListArray.from_arrays(offsets, counted)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(rows, ddl)
 
