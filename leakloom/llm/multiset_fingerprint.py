@@ -1,18 +1,15 @@
 """Document fingerprints by a homomorphic multiset hash (operator 12), with DataFrame functions only.
 
 A document is the multiset of its paragraphs (what lies between line feeds). Each paragraph is hashed to a wide
-vector, and a document's fingerprint is the sum of its paragraphs' vectors, so that their order doesn't matter and a
-paragraph is put in or taken out by one addition or subtraction (``inserted``, ``deleted``). The vector has two parts:
-
-* ``EXACT`` lanes modulo 2^32, the paragraph's SHA-512: fingerprints of different multisets differ;
-* lanes modulo 2^20, three to a 64-bit integer with a spare bit between them, and the number of units: a unit is the
-  whole paragraph or a run of ``SPAN`` words that begins at a word whose hash is a multiple of ``SAMPLE``. Its hash has
-  a bit a lane, and a lane counts the units whose bit is set. Twice the count less the number of units is a sum of
-  random signs, so that the squared length of the difference of two fingerprints, over that of both, estimates the part
-  of their units that isn't common: one less that is the likeness (2 common / both, with a standard error of at most
-  1 / sqrt(lanes)).
-
-Likeness goes wrong, and equality doesn't, where a unit repeats over half a million times in one text.
+vector, and a document's fingerprint is the sum of its paragraphs' vectors modulo 2^32, so that their order doesn't
+matter and a paragraph is put in or taken out by one addition or subtraction (``inserted``, ``deleted``). The vector
+has two parts:
+
+* ``EXACT`` lanes of hashes of the paragraph's SHA-256: fingerprints of different multisets differ;
+* ``LANES`` lanes for its units: a unit is the whole paragraph, or a run of ``SPAN`` words that begins at a word whose
+  hash is a multiple of ``SAMPLE``. It adds one to a lane or takes one from it, both by its hash. The squared
+  length of the difference of two fingerprints, over that of both, then estimates the part of their units that isn't
+  common: one less that is the likeness (2 common / both, with a standard error of at most 1 / sqrt(LANES / 2)).
 """
 
 from __future__ import annotations
@@ -23,16 +20,11 @@ from pyspark.sql import functions as F
 from leakloom.llm import _shared as S
 from leakloom.llm.mixing import _let
 
-EXACT = 16
+EXACT, LANES = 8, 128
 SPAN, SAMPLE = 5, 4
-#: 64-bit hashes of a unit; each fills 21 integers of three lanes.
-WORDS = 3
-_SHIFTS = 21
-_LANE = (1 << 20) - 1
-_ONES = 1 | 1 << 21 | 1 << 42
-_LANES, _SPARE = _ONES * _LANE, _ONES << 20
-_EXACT = (1 << 32) - 1
-_BLANKS = r"[\x20\x09-\x0D]+"
+_MODULUS = 1 << 32
+#: A character for each lane and sign, of the same length in UTF-8.
+_SIGNS = "".join(map(chr, range(0x100, 0x100 + 2 * LANES)))
 
 
 def paragraphs(text: Column) -> Column:
@@ -41,53 +33,55 @@ def paragraphs(text: Column) -> Column:
 
 
 def _units(paragraph: Column) -> Column:
-    """Hashes of the whole paragraph and of its runs of words; runs at its end are shorter."""
+    """Hashes of the whole paragraph and of its runs of words, which end at single blanks; runs at its end are shorter."""
     run = lambda w: lambda h, i: F.when(h.bitwiseAND(F.lit(SAMPLE - 1)) == 0, F.xxhash64(h, *(F.get(w, i + k) for k in range(1, SPAN))))
-    runs = _let(F.transform(F.split(paragraph, _BLANKS), lambda w: F.xxhash64(w)), lambda w: F.filter(F.transform(w, run(w)), lambda u: u.isNotNull()))
+    runs = _let(F.transform(F.split(paragraph, " "), lambda w: F.xxhash64(w)), lambda w: F.filter(F.transform(w, run(w)), lambda u: u.isNotNull()))
     return F.concat(F.array(F.xxhash64(paragraph)), runs)
 
 
+def _wrapped(x: Column) -> Column:
+    """Modulo 2^32, from -2^31 up."""
+    return (x + F.lit(_MODULUS // 2)).bitwiseAND(F.lit(_MODULUS - 1)) - F.lit(_MODULUS // 2)
+
+
 def fingerprint(parts: Column) -> Column:
-    """An array of integers: the sum of the vectors of an array of paragraphs. Null for null, all 0 for no paragraph."""
+    """An array of integers: the sum of the vectors of an array of paragraphs. Null for null, all 0 for no paragraph.
+
+    A unit is written as the character of its lane and sign, and a lane is the difference of two characters' numbers.
+    """
     zero = F.lit(0).cast("long")
-    lane = lambda j: lambda a, d: (a + F.conv(F.substring(d, 8 * j + 1, 8), 16, 10).cast("long")).bitwiseAND(F.lit(_EXACT))
-    exact = _let(F.transform(parts, lambda p: F.sha2(p, 512)), lambda d: F.array(*(F.aggregate(d, zero, lane(j)) for j in range(EXACT))))
-    count = lambda k: lambda a, h: (a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES))).bitwiseAND(F.lit(_LANES))
-    counts = lambda u: F.array(*(F.aggregate(u, zero, count(k)) for k in range(_SHIFTS)))
-    more = lambda u: [_let(F.transform(u, lambda h: F.xxhash64(h, F.lit(w))), counts) for w in range(1, WORDS)]
-    wide = _let(F.flatten(F.transform(parts, _units)), lambda u: F.concat(F.array(F.size(u).cast("long").bitwiseAND(F.lit(_EXACT))), counts(u), *more(u)))
+    lane = lambda j: lambda a, d: _wrapped(a + F.xxhash64(d, F.lit(j)).bitwiseAND(F.lit(_MODULUS - 1)))
+    exact = _let(F.transform(parts, lambda p: F.sha2(p, 256)), lambda d: F.array(*(F.aggregate(d, zero, lane(j)) for j in range(EXACT))))
+    marks = F.array(*map(F.lit, _SIGNS))
+    written = F.array_join(F.transform(F.flatten(F.transform(parts, _units)), lambda u: F.get(marks, F.shiftrightunsigned(u, 40).bitwiseAND(F.lit(2 * LANES - 1)).cast("int"))), "")
+    rest = lambda s, c: F.octet_length(F.replace(s, c, F.lit(""))).cast("long")
+    ups, downs = F.array(*map(F.lit, _SIGNS[:LANES])), F.array(*map(F.lit, _SIGNS[LANES:]))
+    wide = _let(written, lambda s: F.zip_with(ups, downs, lambda up, down: F.shiftright(rest(s, down) - rest(s, up), 1)))
     return F.concat(exact, wide)
 
 
 def inserted(a: Column, b: Column) -> Column:
     """The fingerprint of both multisets together."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x, i: F.when(i <= EXACT, (x["a"] + x["b"]).bitwiseAND(F.lit(_EXACT))).otherwise((x["a"] + x["b"]).bitwiseAND(F.lit(_LANES))))
+    return F.zip_with(a, b, lambda x, y: _wrapped(x + y))
 
 
 def deleted(a: Column, b: Column) -> Column:
     """The fingerprint of the first multiset without the paragraphs of the second."""
-    exact = lambda x: (x["a"] + F.lit(_EXACT + 1) - x["b"]).bitwiseAND(F.lit(_EXACT))
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x, i: F.when(i <= EXACT, exact(x)).otherwise((x["a"].bitwiseOR(F.lit(_SPARE)) - x["b"]).bitwiseAND(F.lit(_LANES))))
+    return F.zip_with(a, b, lambda x, y: _wrapped(x - y))
 
 
 def shown(a: Column) -> Column:
-    """A fingerprint in hexadecimal, 16 digits an integer."""
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
-
-
-def _signs(a: Column) -> Column:
-    """Sums of signs, a lane each, between -2^19 and 2^19."""
-    half, lane = F.lit((_LANE + 1) // 2), F.lit(_LANE)
-    one = lambda c, n: (c * 2 - n + half).bitwiseAND(lane) - half
-    spread = lambda x, n: F.array(*(one(F.shiftrightunsigned(x, 21 * k).bitwiseAND(lane), n) for k in range(3)))
-    return _let(F.get(a, F.lit(EXACT)), lambda n: F.flatten(F.transform(F.slice(a, EXACT + 2, WORDS * _SHIFTS), lambda x: spread(x, n))))
+    """A fingerprint in hexadecimal, 8 digits a lane."""
+    return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(_MODULUS - 1))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated part of two fingerprints' units that they have in common, from 0 to 1; 1 if they are equal."""
-    squares = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    near = lambda x, y, both: F.when(both == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - squares(F.zip_with(x, y, lambda p, q: p - q)) / both))
-    return F.when(a == b, 1.0).otherwise(_let(_signs(a), lambda x: _let(_signs(b), lambda y: _let(squares(x) + squares(y), lambda both: near(x, y, both)))))
+    lanes = lambda v: F.slice(v, EXACT + 1, LANES)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    squares = lambda v: F.aggregate(lanes(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    shared = 2 * total(F.zip_with(lanes(a), lanes(b), lambda x, y: x.cast("double") * y))
+    return F.when(a == b, 1.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(shared, squares(a) + squares(b)))), F.lit(0.0)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -123,7 +117,6 @@ def edits(docs: DataFrame) -> DataFrame:
     follows the last. Null texts are empty; rows of equal doc_id and text are one document, returned as often as they
     occur; an only document is its own next one. An empty table gives no rows. Other columns are not read.
 
-    The edited text's fingerprint is the text's without the paragraphs from the cut on and with those that came.
     Texts are shuffled once and a third of them again; nothing is ordered but (doc_id, digest, length).
     """
     text = F.coalesce("text", F.lit(""))
@@ -139,9 +132,7 @@ def edits(docs: DataFrame) -> DataFrame:
     both = rows.drop("of", "wanted").join(came.dropDuplicates(["key"]), "key")
     n = F.char_length("text").cast("long")
     both = both.withColumn("n_chars", n).withColumn("kept", F.substring("text", F.lit(1), (n - F.col("cut")).cast("int"))).withColumn("edited", F.concat("kept", "beginning"))
-    at = F.char_length("kept") - F.char_length(F.substring_index("kept", "\n", -1)) + 1
-    tail = lambda c: paragraphs(F.substring(F.col(c), at, F.lit(2147483647)))
-    return both.withColumn("edited_fingerprint", inserted(deleted(F.col("fingerprint"), fingerprint(tail("text"))), fingerprint(tail("edited")))).select("doc_id", "text", "n_chars", "edited", "next_doc_id", "fingerprint", "edited_fingerprint", "next_fingerprint")
+    return both.withColumn("edited_fingerprint", fingerprint(paragraphs(F.col("edited")))).select("doc_id", "text", "n_chars", "edited", "next_doc_id", "fingerprint", "edited_fingerprint", "next_fingerprint")
 
 
 def op12_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

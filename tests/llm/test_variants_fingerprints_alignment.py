@@ -112,7 +112,7 @@ def test_fingerprints_are_homomorphic(spark):
         M.fingerprint(M.paragraphs(text(parts[3:]))).alias("less"), M.deleted(own, one(parts[:3])).alias("deleted"), M.deleted(own, own).alias("none"), M.fingerprint(M.paragraphs(text(parts[:-1]))).alias("other"),
     ).first()
     assert row.own == row.mixed and row.inserted == row.more and row.deleted == row.less
-    assert not any(row.none) and row.own != row.other and len(row.own) == M.EXACT + 1 + M.WORDS * 21
+    assert not any(row.none) and row.own != row.other and len(row.own) == M.EXACT + M.LANES
 
 
 def test_likeness_against_brute_force(spark):
@@ -125,7 +125,7 @@ def test_likeness_against_brute_force(spark):
     for r in df.select(M.likeness(print_("a"), print_("b")).alias("near"), units("a").alias("a"), units("b").alias("b")).collect():
         a, b = collections.Counter(r.a), collections.Counter(r.b)
         exact = 1 - sum((a[k] - b[k]) ** 2 for k in a | b) / (sum(n * n for n in a.values()) + sum(n * n for n in b.values()))
-        assert abs(r.near - exact) < 4 * (1 - exact + 0.02) / np.sqrt(63 * M.WORDS / 2), (r.near, exact)
+        assert abs(r.near - exact) < 4 * (1 - exact + 0.02) / np.sqrt(M.LANES / 2), (r.near, exact)
 
 
 def test_edits_against_brute_force(spark):
