@@ -5,7 +5,10 @@ their keywords. This is one Arrow stage, narrow and without a shuffle, for one r
 built-in functions give matches but not where a group of them lies, and try each pattern once for every thing asked
 of it, which makes them several times slower even for four rules.
 
-Distances are in bytes of UTF-8, positions in characters (from 1) and bytes (from 0), both of the secret itself.
+A catalog rule tells a value, with its partner, once for each part of a text that it is tried on; a custom rule tells
+every match, and the whole match is the secret. Places and lines are those of a value's first occurrence in the whole
+text, so copies differ in nothing and de-duplication leaves one. Distances are in bytes of UTF-8, positions in
+characters (from 1) and bytes (from 0).
 """
 
 from __future__ import annotations
@@ -84,13 +87,13 @@ class _Compiled:
         self.any = bool(words)
         self.pattern = lru_cache(maxsize=None)(lambda p: re.compile(to_python(p)))
 
-    def hits(self, lowered: str) -> dict[int, list[int]]:
-        """Rule to the ends of its keywords' occurrences."""
-        out: dict[int, list[int]] = {k: [] for k in self.always}
+    def hits(self, lowered: str) -> dict[int, list[tuple[int, int]]]:
+        """Rule to its keywords' occurrences, first and last character."""
+        out: dict[int, list[tuple[int, int]]] = {k: [] for k in self.always}
         if self.any:
-            for end, (_, owners) in self.automaton.iter(lowered):
+            for end, (size, owners) in self.automaton.iter(lowered):
                 for k in owners:
-                    out.setdefault(k, []).append(end)
+                    out.setdefault(k, []).append((end - size + 1, end))
         return out
 
     def values(self, rule: Rule, text: str) -> Iterator[tuple[str, int, int, str | None]]:
@@ -103,21 +106,28 @@ class _Compiled:
                 if g is not None and not (rule.left_boundary and m.start() and text[m.start() - 1] in _WORD):
                     yield m[g], m.start(g), m.end(g), m[rule.partner_group] if rule.partner_group else None
 
+    def parts(self, rule: Rule, hits: list[tuple[int, int]], at: _Places, vicinity: int | None) -> list[tuple[int, int]]:
+        """The parts of a text, from and to in bytes, that a rule is tried on: neighbourhoods of its keywords within each window, or all of it."""
+        if vicinity is None or rule.whole_text or not hits:
+            return [(0, at.size)]
+        ends = [(at.byte(a), at.byte(b + 1)) for a, b in hits]
+        out = []
+        for low in range(0, max(at.size - P.OVERLAP, 1), P.WINDOW - P.OVERLAP):
+            high = min(low + P.WINDOW, at.size)
+            inside = [b - 1 - low for a, b in ends if low <= a and b <= high]
+            out += [(a + low, b + low) for a, b in merged_spans(inside, vicinity, high - low)]
+        return out
+
     def find(self, text: str, vicinity: int | None):
-        """(rule, value, partner, start, end, places), rules with a verifier first."""
+        """(rule, value, partner) as each part tells it, rules with a verifier first."""
         lowered, at = text.translate(_ASCII), _Places(text)
-        for k, ends in sorted(self.hits(lowered).items(), key=lambda x: (not self.rules[x[0]].verifier_backed, x[0])):
+        for k, hits in sorted(self.hits(lowered).items(), key=lambda x: (not self.rules[x[0]].verifier_backed, x[0])):
             rule = self.rules[k]
-            if vicinity is None or rule.whole_text or not ends:
-                parts = [(0, len(text))]
-            else:
-                parts = [(at.char(a), at.char(b)) for a, b in merged_spans([at.byte(e + 1) - 1 for e in ends], vicinity, at.size)]
-            seen = set()
-            for low, high in parts:
-                part, partners = text[low:high], None
+            for low, high in ((at.char(a), at.char(b)) for a, b in self.parts(rule, hits, at, vicinity)):
+                part, partners, seen = text[low:high], None, set()
                 for raw, start, end, partner in self.values(rule, part):
                     start, end = start + low, end + low
-                    if (raw, start) in seen or rule.min_entropy and measured_entropy(raw, rule.family == "CUSTOM") < rule.min_entropy:
+                    if rule.min_entropy and measured_entropy(raw, rule.family == "CUSTOM") < rule.min_entropy:
                         continue
                     if rule.stop and (raw.lower() in rule.stop or TEMPLATE.intersection(raw)):
                         continue
@@ -131,8 +141,28 @@ class _Compiled:
                             group = 1 if pattern.groups else 0
                             partners = [(at.byte(m.start(group) + low), m[group]) for m in pattern.finditer(part) if m[group]]
                         partner = nearest(partners, at.byte(start), raw, rule.partner_radius)
-                    seen.add((raw, start))
-                    yield rule, raw, partner, start, end, at
+                    if rule.family == "CUSTOM" or (raw, partner) not in seen:
+                        seen.add((raw, partner))
+                        yield rule, raw, partner
+
+
+def first_places(text: str, values) -> dict[str, int]:
+    """Where each value first stands in a text, for those that do; one pass over the text, whatever their number."""
+    values = set(values) - {""}
+    if len(values) < 8:
+        return {v: k for v in values if (k := text.find(v)) >= 0}
+    import ahocorasick
+
+    automaton, out = ahocorasick.Automaton(), {}
+    for v in values:
+        automaton.add_word(v, v)
+    automaton.make_automaton()
+    for end, v in automaton.iter(text):
+        if v not in out:
+            out[v] = end - len(v) + 1
+            if len(out) == len(values):
+                break
+    return out
 
 
 def nearest(partners: list[tuple[int, str]], start: int, raw: str, radius: int) -> str | None:
@@ -175,20 +205,32 @@ def compiled_rules(rules: tuple[Rule, ...]) -> _Compiled:
     return _Compiled(rules)
 
 
+def told(text: str, found: list) -> list[dict]:
+    """Rows of findings, with the places of their values' first occurrences, null where a value isn't in the text."""
+    at, first = _Places(text), first_places(text, (raw for _, raw, _ in found))
+    out = []
+    for rule, raw, partner in found:
+        row = {"detector": rule.name, "verifier_backed": rule.verifier_backed, "raw": raw, "raw_v2": partner, "severity_override": rule.severity, "shown": rule.shown}
+        if (a := first.get(raw)) is not None:
+            b = a + len(raw)
+            row |= {"start": a + 1, "end": b + 1, "start_byte": at.byte(a), "end_byte": at.byte(b), "line": at.line(a)}
+        out.append(row)
+    return out
+
+
 def detect(chunks: DataFrame, rules: Sequence[Rule], text: str = "text", vicinity: int | None = P.RADIUS) -> DataFrame:
-    """One row per match of any rule, with the columns of the input.
+    """One row per value that a rule tells, with the columns of the input.
 
-    ``vicinity``: patterns are tried only so near to a keyword, in bytes; None tries whole texts. A pattern that
-    fits only past the end of its neighbourhood isn't found, unless its rule asks for whole texts.
-    ``line`` counts the line ends before a value.
+    ``vicinity``: patterns are tried only so near to a keyword, in bytes, and in windows of 32 KiB; None tries whole
+    texts. A pattern that fits only past the end of its neighbourhood isn't found, unless its rule asks for whole texts.
+    ``line`` counts the line ends before a value's first occurrence. Null texts have no findings.
     """
     fixed = tuple(rules)
 
     @F.arrow_udf(f"array<struct<{_FOUND}>>")
     def found(texts: pa.Array) -> pa.Array:
         compiled = compiled_rules(fixed)
-        row = lambda r, raw, v2, a, b, at: {"detector": r.name, "verifier_backed": r.verifier_backed, "raw": raw, "raw_v2": v2, "start": a + 1, "end": b + 1, "start_byte": at.byte(a), "end_byte": at.byte(b), "line": at.line(a), "severity_override": r.severity, "shown": r.shown}
-        return pa.array([[row(*f) for f in compiled.find(t, vicinity)] if t else [] for t in texts.to_pylist()], _KIND)
+        return pa.array([told(t, list(compiled.find(t, vicinity))) if t else [] for t in texts.to_pylist()], _KIND)
 
     return chunks.withColumn("f", F.explode(found(text))).select("*", "f.*").drop("f")
 

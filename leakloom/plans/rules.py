@@ -44,7 +44,10 @@ class Rule:
 
 
 def load_custom(text: str) -> list[Rule]:
-    """Rules from a JSON array; unknown fields, no keyword, no pattern and bad patterns are errors. Severity is info by default."""
+    """Rules from a JSON array; unknown fields, no keyword, no pattern and bad patterns are errors.
+
+    The secret is the whole match, whatever its groups. Severity is info by default.
+    """
     rows = json.loads(text)
     if not isinstance(rows, list) or not rows:
         raise ValueError("a non-empty array of rules is needed")
@@ -62,7 +65,7 @@ def load_custom(text: str) -> list[Rule]:
         if severity not in SEVERITIES:
             raise ValueError(f"rule {i}: severity {severity!r}")
         rank = max(k for k, name in enumerate(SEVERITIES) if name == severity)
-        out.append(Rule(row["name"], tuple(k.lower() for k in row["keywords"]), (row["regex"],), min_entropy=float(row.get("entropy_min", 0)), severity=rank, family="CUSTOM", extra={k: row[k] for k in ("help_uri", "description") if k in row}))
+        out.append(Rule(row["name"], tuple(k.lower() for k in row["keywords"]), (row["regex"],), (0,), min_entropy=float(row.get("entropy_min", 0)), severity=rank, family="CUSTOM", extra={k: row[k] for k in ("help_uri", "description") if k in row}))
     return out
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +15,7 @@ from leakloom.functions import decode as D
 from leakloom.functions import findings as K
 from leakloom.functions import text as X
 from leakloom.functions import tokens as TK
-from leakloom.operators import detect, generic, pipeline, redact, spans, verdicts
+from leakloom.operators import detect, generic, pipeline, redact, scan, spans, verdicts
 from leakloom.plans import catalog
 from leakloom.plans.rules import load_custom
 from leakloom.sinks import render
@@ -59,29 +65,37 @@ def _spans_sql(relation: str, key: str, text: str, pattern: str) -> str:
 
 # Bits a byte: counts of pairs of hexadecimal digits.
 _ENTROPY = "list_aggregate(regexp_extract_all(hex(encode({0})), '..'), 'entropy')"
-#: The custom rules again, as whole matches and what stands before and after the secret in them.
-_CUSTOM_PLACES = {"HexToken": ("token\\s*=\\s*\"[0-9a-f]{40}\"", "(length(value) - 41)", 1), "PasswordLine": ("password=[0-9a-z]{8,40}\\b", "9", 0), "MailAddress": ("\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "0", 0)}
+#: The custom rules' patterns again, without groups: the secret is the whole match, told once a text and placed at its first copy.
+_CUSTOM_PATTERNS = {"HexToken": "token\\s*=\\s*\"[0-9a-f]{40}\"", "PasswordLine": "password=[0-9a-z]{8,40}\\b", "MailAddress": "\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+"}
 
 
-def _custom_sql() -> str:
+def _custom_matches_sql() -> str:
+    """(doc_id, text, detector, severity_rank, value) of every match."""
     parts = []
     for r in load_custom(CUSTOM):
         low = f"translate(text, '{X._UPPER}', '{X._LOWER}')"  # noqa: SLF001
-        rel = f"(select doc_id, text from documents where {' or '.join(f'contains({low}, {_q(k)})' for k in r.keywords)})"
-        pattern, before, after = _CUSTOM_PLACES[r.name]
-        places = f"(select doc_id, full_text, start + {before} as start, \"end\" - {after} as \"end\", substr(value, {before} + 1, length(value) - {after} - {before}) as value from {_spans_sql(rel, 'doc_id', 'text', pattern)})"
+        matches = f"select doc_id, text, unnest(regexp_extract_all(text, {_q(_CUSTOM_PATTERNS[r.name])})) as value from documents where {' or '.join(f'contains({low}, {_q(k)})' for k in r.keywords)}"
         characters = "list_aggregate(string_split(value, ''), 'entropy')"  # characters against bytes are alike for ASCII values, which these rules find
         gate = f"and {characters} >= {r.min_entropy}" if r.min_entropy else ""
-        parts.append(f"""select doc_id as chunk_id, '{r.name}' as detector, sha256(value) as secret_hash, case when length(value) > 6 then substr(value, 1, 6) || '...' when value = '***' then '...' else '***' end as redacted, {r.severity} as severity_rank,
-          '{K.SEVERITIES[r.severity]}' as severity, cast(1 + length(substr(full_text, 1, start - 1)) - length(replace(substr(full_text, 1, start - 1), chr(10), '')) as bigint) as line, cast(strlen(substr(full_text, 1, start - 1)) as bigint) as start_byte,
-          cast(strlen(substr(full_text, 1, "end" - 1)) as bigint) as end_byte, value from {places} where length(value) > 0 {gate}""")
+        parts.append(f"select doc_id, text, '{r.name}' as detector, {r.severity} as severity_rank, '{K.SEVERITIES[r.severity]}' as severity, value from ({matches}) where length(value) > 0 {gate}")
     return " union all ".join(parts)
 
 
-def custom_findings(spark, sf) -> DataFrame:
+def _custom_sql() -> str:
+    before = "substr(text, 1, strpos(text, value) - 1)"
+    return f"""select distinct doc_id as chunk_id, detector, sha256(value) as secret_hash, case when length(value) > 6 then substr(value, 1, 6) || '...' when value = '***' then '...' else '***' end as redacted, severity_rank, severity,
+      cast(1 + length({before}) - length(replace({before}, chr(10), '')) as bigint) as line, cast(strlen({before}) as bigint) as start_byte, cast(strlen({before}) + strlen(value) as bigint) as end_byte, value from ({_custom_matches_sql()})"""
+
+
+def custom_matches(spark, sf) -> DataFrame:
     return detect.enrich(detect.detect(documents(spark, sf), load_custom(CUSTOM), vicinity=None), "base_line")
 
 
+def custom_findings(spark, sf) -> DataFrame:
+    """What is left of them when copies are dropped."""
+    return pipeline.dedup(custom_matches(spark, sf), "container", "start_byte")
+
+
 @query("select chunk_id, detector, secret_hash, redacted, severity_rank, severity, line, start_byte, end_byte from (" + _custom_sql() + ")")
 def scan_custom_rules(spark, sf):
     return custom_findings(spark, sf).select("chunk_id", "detector", "secret_hash", "redacted", "severity_rank", "severity", "line", "start_byte", "end_byte")
@@ -132,7 +146,7 @@ def _batch_sql() -> str:
     parts = []
     for r in catalog.named(*_REGEX_BATCH):
         gate = f"and {_ENTROPY.format('value')} >= {r.min_entropy}" if r.min_entropy else ""
-        parts.append(f"select '{r.name}' as detector, doc_id as chunk_id, sha256(value) as secret_hash, start from {_hits_sql(r, _seeded_sql(_REGEX_BATCH))} where length(value) > 0 {gate}")
+        parts.append(f"select '{r.name}' as detector, doc_id as chunk_id, sha256(value) as secret_hash, min(start) as start from {_hits_sql(r, _seeded_sql(_REGEX_BATCH))} where length(value) > 0 {gate} group by doc_id, value")
     return " union all ".join(parts)
 
 
@@ -146,7 +160,7 @@ def _near_sql() -> str:
     # The radius is in bytes; the padding is as long as it and ASCII, and so is what follows, so that characters say the same.
     (r,) = catalog.named("AbnormalSec")
     around = f"""substr(translate(full_text, '{X._UPPER}', '{X._LOWER}'), greatest(start - {r.radius}, 1), "end" + {r.radius} - greatest(start - {r.radius}, 1))"""  # noqa: SLF001
-    return f"select doc_id as chunk_id, sha256(value) as secret_hash from {_hits_sql(r, _seeded_sql(('AbnormalSec',)))} where {_ENTROPY.format('value')} >= {r.min_entropy} and regexp_matches({around}, {_q(r.arms[0])})"
+    return f"select distinct doc_id as chunk_id, sha256(value) as secret_hash from {_hits_sql(r, _seeded_sql(('AbnormalSec',)))} where {_ENTROPY.format('value')} >= {r.min_entropy} and regexp_matches({around}, {_q(r.arms[0])})"
 
 
 @query(_near_sql())
@@ -161,7 +175,7 @@ def _pair_sql() -> str:
     apart = "[^A-Za-z0-9+/]"
     b = f"(select doc_id, start + 1 as start, substr(value, 2, 40) as value from {_spans_sql(_seeded_sql(('AWS',)), 'doc_id', 'text', apart + '[A-Za-z0-9+/]{40}' + apart)})"
     a = f"(select * from {_hits_sql(r, _seeded_sql(('AWS',)))} where start = 1 or not regexp_matches(substr(full_text, start - 1, 1), '[0-9A-Za-z_]'))"
-    return f"select a.doc_id as chunk_id, sha256(a.value) as id_hash, sha256(first(b.value order by abs(b.start - a.start), b.start)) as secret_hash from {a} a left join {b} b on b.doc_id = a.doc_id and abs(b.start - a.start) <= {r.partner_radius} and b.value <> a.value group by a.doc_id, a.start, a.value"
+    return f"select distinct chunk_id, id_hash, secret_hash from (select a.doc_id as chunk_id, sha256(a.value) as id_hash, sha256(first(b.value order by abs(b.start - a.start), b.start)) as secret_hash from {a} a left join {b} b on b.doc_id = a.doc_id and abs(b.start - a.start) <= {r.partner_radius} and b.value <> a.value group by a.doc_id, a.start, a.value)"
 
 
 @query(_pair_sql())
@@ -176,6 +190,102 @@ def detect_catalog_all(spark, sf):
     return found.select("chunk_id", "detector", "verifier_backed", "secret_hash", "redacted", "severity", "line", "start_byte", "end_byte")
 
 
+# A secret in one of four encodings behind each text, or as it is behind its base64 form; SQL follows from where it stands in what is encoded.
+_PLAIN = "concat('key: gh', 'p_', substr({sha}, 1, 36), ' of ', {id}, ' .')"
+_ENCODED = {
+    "base64": ("to_base64(encode({plain}))", "regexp_replace(base64(encode({plain}, 'UTF-8')), '\\\\s', '')", "4 * {k} // 3", "(4 * {k} + 2) // 3"),
+    "hex": ("lower(hex(encode({plain})))", "lower(hex(encode({plain}, 'UTF-8')))", "2 * {k}", "2 * {k}"),
+    "percent": ("regexp_replace(hex(encode({plain})), '(..)', '%\\1', 'g')", "regexp_replace(hex(encode({plain}, 'UTF-8')), '(..)', '%$1')", "3 * {k}", "3 * {k}"),
+    "unicode-escape": ("regexp_replace(hex(encode({plain})), '(..)', '\\\\u00\\1', 'g')", "regexp_replace(hex(encode({plain}, 'UTF-16BE')), '(....)', '\\\\\\\\u$1')", "6 * {k}", "6 * {k}"),
+}
+
+
+def _plain(duck: bool) -> str:
+    cast = "cast(doc_id as varchar)" if duck else "cast(doc_id as string)"
+    return _PLAIN.format(sha=f"sha256({cast})" if duck else f"sha2({cast}, 256)", id=cast)
+
+
+def _encoded_sql() -> str:
+    plain, parts = _plain(True), []
+    printable = "length(regexp_replace({0}, '[\\x20-\\x7e\\t\\n\\r]', '', 'g')) <= length({0}) - floor(length({0}) * 0.8)"
+    for n, (variant, (duck, _, low, high)) in enumerate(_ENCODED.items()):
+        k = "strpos({0}, concat('gh', 'p_')) - 1".format("plain")
+        whole = f" and {printable.format('decoded')}" if variant in ("percent", "unicode-escape") else ""
+        blank = "replace(text, '+', ' ')" if variant == "percent" else "text"
+        parts.append(f"""select doc_id as chunk_id, 'GitHub' as detector, sha256(substr(plain, k + 1, 40)) as secret_hash, '{variant}' as decoded_from, cast(null as bigint) as start_byte, cast(strlen(text) + 1 + {low.format(k='k')} as bigint) as source_start,
+          cast(strlen(text) + 1 + {high.format(k='(k + 40)')} as bigint) as source_end, cast(1 as bigint) as line, cast(1 + length(text) - length(replace(text, chr(10), '')) as bigint) as source_line
+          from (select *, {k} as k, concat({blank}, ' ', plain, ' ') as decoded from (select doc_id, text, {plain} as plain from documents where doc_id % 5 = {n})) where strlen({duck.format(plain='plain')}) > 0{whole}""")
+    parts.append(f"""select doc_id, 'GitHub', sha256(substr(plain, k + 1, 40)), null, strlen(text) + 3 + n + k, strlen(text) + 3 + n + k, strlen(text) + 43 + n + k, 1 + length(text) - length(replace(text, chr(10), '')), 1 + length(text) - length(replace(text, chr(10), ''))
+      from (select *, strpos(plain, concat('gh', 'p_')) - 1 as k, strlen({_ENCODED['base64'][0].format(plain='plain')}) as n from (select doc_id, text, {plain} as plain from documents where doc_id % 5 = 4))""")
+    return " union all ".join(parts)
+
+
+@query(_encoded_sql())
+def scan_encoded(spark, sf):
+    plain = _plain(False)
+    forms = [spark_form.format(plain=plain) for _, spark_form, _, _ in _ENCODED.values()]
+    tail = "case cast(doc_id % 5 as int) " + " ".join(f"when {n} then concat(' ', {f}, ' ')" for n, f in enumerate(forms)) + f" else concat(' ', {forms[0]}, '\t ', {plain}) end"
+    chunks = tables.from_documents(table(spark, sf, "documents").withColumn("text", F.concat("text", F.expr(tail))))
+    found = scan.enriched(scan.scan(chunks, catalog.named("GitHub")), "base_line")
+    return found.select("chunk_id", "detector", "secret_hash", "decoded_from", "start_byte", "source_start", "source_end", "line", "source_line")
+
+
+def _packed(spark, sf, kinds: dict[int, str]) -> DataFrame:
+    """Documents' bytes (path, content) in the archives named by the rest of doc_id by 6; null is the text itself."""
+
+    @F.arrow_udf("binary")
+    def pack(kind: pa.Array, data: pa.Array) -> pa.Array:
+        def one(kind, body):
+            if kind is None or body is None:
+                return body
+            out = io.BytesIO()
+            if kind == "gzip":
+                return gzip.compress(body, mtime=0)
+            if kind == "tar":
+                with tarfile.open(fileobj=out, mode="w") as t:
+                    entry = tarfile.TarInfo("in/a.txt")
+                    entry.size = len(body)
+                    t.addfile(entry, io.BytesIO(body))
+                return out.getvalue()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("../a.txt" if kind == "unsafe" else "b.gz" if kind == "nested" else "a.txt", gzip.compress(body, mtime=0) if kind == "nested" else body)
+            return out.getvalue()
+
+        return pa.array([one(k, b) for k, b in zip(kind.to_pylist(), data.to_pylist())], pa.binary())
+
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), (F.col("doc_id") % 6).cast("int"))
+    docs = table(spark, sf, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("path"), pack(kind, F.encode(F.expr(f"concat(coalesce(text, ''), '\n', {_plain(False)})"), "UTF-8")).alias("content"))
+
+
+_ARCHIVES = {1: "zip", 2: "gzip", 3: "tar", 4: "nested"}
+
+
+@query(f"""select cast(doc_id as varchar) as path, case doc_id % 6 when 1 then 'a.txt' when 3 then 'in/a.txt' when 4 then 'b.gz' end as archive_path, 'GitHub' as detector, sha256(substr(plain, strpos(plain, concat('gh', 'p_')), 40)) as secret_hash,
+  cast(2 + length(text) - length(replace(text, chr(10), '')) as bigint) as line, cast(strlen(text) + strpos(plain, concat('gh', 'p_')) as bigint) as start_byte from (select doc_id, coalesce(text, '') as text, {_plain(True)} as plain from documents)""")
+def scan_archives(spark, sf):
+    chunks, _ = scan.split(scan.opened(_packed(spark, sf, _ARCHIVES)))
+    found = scan.enriched(scan.scan(chunks, catalog.named("GitHub")))
+    return found.select("path", "archive_path", "detector", "secret_hash", "line", "start_byte")
+
+
+_LIMIT = 4_000
+
+
+@query(f"""select kind, severity, error, count(*) as failures, min(path) as first_path from (
+  select cast(doc_id as varchar) as path, 'archive' as kind, 'policy-skip' as severity, case when doc_id % 6 = 4 then 'path' else 'corrupt-archive' end as error from documents where doc_id % 6 in (1, 4)
+  union all select cast(doc_id as varchar), 'source', 'gap', 'too large' from documents where doc_id % 6 = 2
+  union all select cast(doc_id as varchar), 'source', 'gap', 'cut' from documents where doc_id % 6 in (0, 3, 5) and strlen(concat(coalesce(text, ''), chr(10), {_plain(True)})) > {_LIMIT}) group by kind, severity, error""")
+def scan_coverage(spark, sf):
+    files = _packed(spark, sf, {4: "unsafe", 3: "gzip"})
+    malformed = F.unhex(F.concat(F.lit("504B0304"), F.hex("content")))
+    huge = F.concat("content", F.encode(F.repeat(F.lit(" "), F.lit(2 << 20)), "UTF-8"))
+    rest = F.col("path").cast("long") % 6
+    files = files.withColumn("content", F.when(rest == 1, malformed).when(rest == 2, huge).otherwise(F.col("content")))
+    _, failures = scan.split(scan.opened(files, max_bytes=2 << 20, limit=_LIMIT))
+    return failures.groupBy("kind", "severity", F.split("error", ":")[0].alias("error")).agg(F.count("*").alias("failures"), F.min("path").alias("first_path"))
+
+
 @query()
 def detector_catalog(spark, sf):
     rows = [(r.name, r.family, ",".join(r.keywords), len(r.patterns), r.verifier_backed, r.whole_text, r.min_entropy, r.radius) for r in catalog.load()]
@@ -364,9 +474,9 @@ def coverage_gate(spark, sf):
     return pipeline.coverage_gate(table(spark, sf, "events").selectExpr(*_split_select(_COVERAGE.replace("varchar", "string"))))
 
 
-@query("select count(*) as chunks, cast(sum(strlen(text)) as bigint) as bytes, (select count(*) from (" + _custom_sql() + ")) as findings from documents")
+@query("select count(*) as chunks, cast(sum(strlen(text)) as bigint) as bytes, (select count(*) from (" + _custom_matches_sql() + ")) as findings from documents")
 def scan_stats(spark, sf):
-    return pipeline.stats(documents(spark, sf), custom_findings(spark, sf))
+    return pipeline.stats(documents(spark, sf), custom_matches(spark, sf))
 
 
 @query("select detector, case when max(r) >= 4 then 'error' when max(r) = 3 then 'warning' else 'note' end as level, case when max(r) >= 4 then '9.0' when max(r) = 3 then '5.0' else '2.0' end as security_severity, count(*) as results from (select detector, severity_rank as r from (" + _custom_sql() + ")) group by detector")
@@ -486,7 +596,7 @@ def markup_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", TK.markup_text("html").alias("text"))
 
 
-@query(f"select doc_id as chunk_id, 'MailAddress' as entity_of, start - 1 as start, \"end\" - 1 as \"end\" from {_spans_sql('documents', 'doc_id', 'text', _CUSTOM_PLACES['MailAddress'][0])}")
+@query(f"select doc_id as chunk_id, 'MailAddress' as entity_of, start - 1 as start, \"end\" - 1 as \"end\" from {_spans_sql('documents', 'doc_id', 'text', _CUSTOM_PATTERNS['MailAddress'])}")
 def entity_spans(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = docs.withColumn("s", F.explode(spans.matches("text", load_custom(CUSTOM)[2].patterns[0], 1)))
