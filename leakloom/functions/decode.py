@@ -11,9 +11,13 @@ from leakloom.functions.text import col, mostly_printable
 BASE64_RUN, HEX_RUN = 32, 40
 
 
+def once(value: Column, body) -> Column:
+    """Bind a value to a name inside an expression, so that it is computed once however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _joined(parts: Column) -> Column:
-    good = F.filter(parts, lambda s: s.isNotNull() & mostly_printable(s))
-    return F.when(F.size(good) > 0, F.array_join(good, "\n"))
+    return once(F.filter(parts, lambda s: s.isNotNull() & mostly_printable(s)), lambda good: F.when(F.size(good) > 0, F.array_join(good, "\n")))
 
 
 #: Runs that are decoded, by variant.
@@ -51,8 +55,8 @@ def percent(c) -> Column:
     s = col(c)
     pieces = F.regexp_extract_all(s, F.lit(r"(?s)(?:%[0-9A-Fa-f]{2})+|[^%]+|%"), F.lit(0))
     one = lambda p: F.when(p.rlike("^(?:%[0-9A-Fa-f]{2})+$"), percent_run(p)).otherwise(F.translate(p, "+", " "))
-    out = F.array_join(F.transform(pieces, one), "")
-    return F.when(s.rlike("%[0-9A-Fa-f]{2}%[0-9A-Fa-f]{2}") & mostly_printable(out) & (F.char_length(out) != F.char_length(s)), out)
+    whole = F.when(s.rlike("%[0-9A-Fa-f]{2}%[0-9A-Fa-f]{2}"), F.array_join(F.transform(pieces, one), ""))
+    return once(whole, lambda out: F.when(mostly_printable(out) & (F.char_length(out) != F.char_length(s)), out))
 
 
 #: Halves of surrogate pairs that stand alone.
@@ -69,8 +73,8 @@ def unicode_escapes(c) -> Column:
     s = col(c)
     pieces = F.regexp_extract_all(s, F.lit(r"(?s)(?:\\u[0-9A-Fa-f]{4})+|[^\\]+|\\"), F.lit(0))
     one = lambda p: F.when(p.rlike(r"^(?:\\u[0-9A-Fa-f]{4})+$"), unicode_run(p)).otherwise(p)
-    out = F.array_join(F.transform(pieces, one), "")
-    return F.when(s.rlike(r"\\u[0-9A-Fa-f]{4}\\u[0-9A-Fa-f]{4}") & mostly_printable(out), out)
+    whole = F.when(s.rlike(r"\\u[0-9A-Fa-f]{4}\\u[0-9A-Fa-f]{4}"), F.array_join(F.transform(pieces, one), ""))
+    return once(whole, lambda out: F.when(mostly_printable(out), out))
 
 
 def utf16(data) -> Column:

@@ -30,8 +30,9 @@ def cross_commit(findings: DataFrame, order: str = "commit_seq") -> DataFrame:
 
     First ones and counts are combined before the shuffle, so that a value found everywhere fills no task.
     """
-    git = findings.filter("source_type = 'git'").groupBy(F.sha2("raw", 256), "path").agg(F.min_by(F.struct(*findings.columns), order).alias("_first"), F.count("*").alias("occurrence_count"))
-    return git.select("_first.*", "occurrence_count").unionByName(findings.filter("source_type <> 'git'").withColumn("occurrence_count", F.lit(1).cast("long")))
+    is_git = F.col("source_type").eqNullSafe("git")
+    git = findings.filter(is_git).groupBy(F.sha2("raw", 256), "path").agg(F.min_by(F.struct(*findings.columns), order).alias("_first"), F.count("*").alias("occurrence_count"))
+    return git.select("_first.*", "occurrence_count").unionByName(findings.filter(~is_git).withColumn("occurrence_count", F.lit(1).cast("long")))
 
 
 def is_placeholder(raw: str = "raw") -> Column:
@@ -100,12 +101,33 @@ def verdict_filter(findings: DataFrame, only_verified=False, drop_indeterminate=
     return out.filter(F.col("assurance") >= min_assurance) if min_assurance else out
 
 
+#: A key is hot if it has more than such a part of all rows; at most so many keys can be hot.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the one row of ``counts`` that has their key, which counts them in ``n``; null keys are a key.
+
+    Keys with over a thousandth of all rows, of which there can be a thousand at most, are broadcast and their rows stay
+    where they are; the others meet by a shuffle, so no task gets more than its share. ``rows`` is read twice.
+    """
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    named = counts.withColumnRenamed(key, "_k")
+    same, hot = F.col(key).eqNullSafe(F.col("_k")), F.col(n) * HOT > total
+    few = named.filter(hot)
+    cold = rows.join(F.broadcast(few.select("_k")), same, "left_anti").join(named.filter(~hot), same)
+    return rows.join(F.broadcast(few), same).unionByName(cold).drop("_k")
+
+
 def pii_density(findings: DataFrame, kept: int = 3, structured: int = 2, parent: int = 5) -> DataFrame:
     """Raise findings in containers or parents dense with personal data; adds pii_scope and pii_count, never lowers.
 
-    Counts are window aggregates over container and parent, so nothing is joined back.
+    Numbers by container and parent are added up before the shuffle and joined back with hot keys apart, so that a
+    container or parent of any size fills no task. Null containers are one container, null parents one parent.
     """
-    box, up = F.count("*").over(Window.partitionBy("container")), F.count("*").over(Window.partitionBy("parent"))
+    boxes = findings.groupBy("container").agg(F.count("*").alias("_box"))
+    ups = findings.groupBy("parent").agg(F.count("*").alias("_up"))
+    out = join_counted(join_counted(findings, boxes, "container", "_box"), ups, "parent", "_up")
     table = F.col("ext").isin(*STRUCTURED)
     in_box = F.col("_box") >= F.when(table, structured).otherwise(kept)
     in_parent = ~in_box & (F.col("_up") >= parent)
@@ -113,7 +135,6 @@ def pii_density(findings: DataFrame, kept: int = 3, structured: int = 2, parent:
         F.when(in_box & ((table & (F.col("_box") >= 5)) | (F.col("_box") >= 10)), 5).when(in_box, 4)
         .when(in_parent & ((table & (F.col("_up") >= 10)) | (F.col("_up") >= 20)), 5).when(in_parent, 4).otherwise(0)
     )
-    out = findings.withColumn("_box", box).withColumn("_up", up)
     out = out.withColumn("pii_scope", F.when(in_box, "container").when(in_parent, "parent")).withColumn("pii_count", F.when(in_box, F.col("_box")).when(in_parent, F.col("_up")))
     out = out.withColumn("severity_rank", F.greatest(F.col("severity_rank"), raised).cast("int")).withColumn("severity", severity_name("severity_rank"))
     return out.drop("_box", "_up")

@@ -98,3 +98,62 @@ def all_occurrences(findings: DataFrame, text: str = "text", raw: str = "raw") -
     """
     rows = findings.filter(F.col(text).contains(F.col(raw)) & (F.char_length(raw) > 0))
     return rows.select("*", F.posexplode(F.arrow_udf("array<long>")(_starts)(text, raw)).alias("occurrence", "position")).withColumn("occurrence", (F.col("occurrence") + 1).cast("long"))
+
+
+_PLACES = pa.list_(pa.struct([("raw", pa.string()), ("occurrence", pa.int64()), ("position", pa.int64()), ("start_byte", pa.int64()), ("line", pa.int64())]))
+
+
+def _placed(texts: pa.Array, values: pa.Array) -> pa.Array:
+    import ahocorasick
+    import numpy as np
+
+    out = []
+    for text, wanted in zip(texts.to_pylist(), values.to_pylist()):
+        automaton, free, number, found = ahocorasick.Automaton(), {}, {}, []
+        for v in wanted or ():
+            if v:
+                automaton.add_word(v, v)
+        if text and len(automaton):
+            automaton.make_automaton()
+            for end, v in automaton.iter(text):
+                start = end - len(v) + 1
+                if start >= free.get(v, 0):
+                    free[v] = end + 1
+                    number[v] = number.get(v, 0) + 1
+                    found.append((v, number[v], start))
+        starts = np.array([x[2] for x in found], np.int64)
+        lines = np.searchsorted(np.array([m.start() for m in re.finditer("\n", text)] if found else [], np.int64), starts)
+        ascii_ = text is None or text.isascii()
+        before = None if ascii_ or not found else np.concatenate([[0], np.cumsum(_widths(text))])
+        out.append([{"raw": v, "occurrence": k, "position": a + 1, "start_byte": a if before is None else int(before[a]), "line": int(n) + 1} for (v, k, a), n in zip(found, lines.tolist())])
+    return pa.array(out, _PLACES)
+
+
+def _widths(text: str):
+    import numpy as np
+
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+
+
+def placed(chunks: DataFrame, findings: DataFrame, key: str = "chunk_id", text: str = "text", raw: str = "raw") -> DataFrame:
+    """(key, raw, occurrence, position, start_byte, line) of every place of each finding's value in its chunk's text.
+
+    Findings carry no texts: their distinct values are gathered by chunk, and each text is gone through once by one
+    automaton for all of its values, however many there are. Places of one value don't overlap, left to right;
+    positions and lines count from 1, bytes from 0. Chunks of equal key are each gone through; null keys, null
+    texts and null or empty values have no places. A chunk's values must fit a task, as its text does.
+    """
+    wanted = findings.filter(F.col(raw) != "").groupBy(F.col(key).alias("_key")).agg(F.collect_set(raw).alias("_values"))
+    met = chunks.select(F.col(key), F.col(text).alias("_text")).join(wanted, F.col(key) == F.col("_key"))
+    each = F.explode(F.arrow_udf("array<struct<raw:string,occurrence:bigint,position:bigint,start_byte:bigint,line:bigint>>")(_placed)("_text", "_values"))
+    return met.select(key, each.alias("_p")).select(key, F.col("_p.raw").alias(raw), "_p.occurrence", "_p.position", "_p.start_byte", "_p.line")
+
+
+def relocated(places: DataFrame, locations: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Places in a text that was put together from lines of files, with the path and line that each comes from.
+
+    ``locations``: (key, line, path, source_line), a row for each line that has one; places on other lines are dropped.
+    """
+    known = locations.select(F.col(key).alias("_key"), F.col("line").alias("_line"), "path", "source_line")
+    return places.join(known, (F.col(key) == F.col("_key")) & (F.col("line") == F.col("_line"))).drop("_key", "_line")

@@ -528,7 +528,7 @@ def incremental_antijoin(spark, sf):
     return incremental.changed(now.drop("o_orderkey"), state)
 
 
-@query("select event_type as kind, sha256(string_agg(k, chr(0) order by k) || chr(0)) as fingerprint from (select event_type, cast(event_id as varchar) as k from events) group by event_type")
+@query("select event_type as kind, sha256(concat_ws(':', count(*), " + ", ".join(f"sum(cast('0x' || substr(sha256(cast(event_id as varchar)), {8 * i + 1}, 8) as bigint))" for i in range(8)) + ")) as fingerprint from events group by event_type")
 def resource_fingerprint(spark, sf):
     parts = table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("k"))
     return incremental.resource_fingerprint(parts, "kind", "k")
@@ -634,6 +634,28 @@ def all_occurrences(spark, sf):
     return spans.all_occurrences(f).select("doc_id", "occurrence", "position")
 
 
+_SOUGHT = ("tion", "the ", "\u00e9", "er", "token = ")
+
+
+@query("""select chunk_id, raw, cast(i as bigint) as occurrence, cast(n + 1 as bigint) as position, cast(strlen(substr(text, 1, n)) as bigint) as start_byte, cast(1 + n - length(replace(substr(text, 1, n), chr(10), '')) as bigint) as line from (
+  select doc_id as chunk_id, text, raw, i, cast(list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * length(raw) as bigint) as n from (select doc_id, text, raw, s, unnest(range(1, len(s))) as i from (
+  select doc_id, text, raw, string_split(text, raw) as s from documents, (select unnest(['tion', 'the ', '\u00e9', 'er', 'token = ']) as raw))))""")
+def occurrences_by_text(spark, sf):
+    docs = documents(spark, sf)
+    sought = docs.select("chunk_id", F.explode(F.array(*map(F.lit, _SOUGHT))).alias("raw"))
+    return spans.placed(docs, sought)
+
+
+@query(f"""with lines as (select c_custkey, case l when 2 then 90 else c_custkey + 1 + l end as source_line, l + 1 as line, case l when 0 then c_name when 1 then 'second' else 'third' end as content from customer, range(0, 3) t(l))
+ select c_custkey as diff_id, 'r' as raw, 'dir/' || c_mktsegment || '.txt' as path, source_line, cast(row_number() over (partition by c_custkey order by source_line, content, i) as bigint) as occurrence
+ from (select *, unnest(range(1, len(string_split(content, 'r')))) as i from lines join customer using (c_custkey))""")
+def diff_occurrences(spark, sf):
+    added = diffs.added_lines(table(spark, sf, "customer").select(F.col("c_custkey").alias("diff_id"), F.expr(_DIFF).alias("text")))
+    chunks, locations = diffs.buffers(added)
+    places = spans.placed(chunks, chunks.select("diff_id", F.lit("r").alias("raw")), "diff_id")
+    return spans.relocated(places, locations, "diff_id").select("diff_id", "raw", "path", "source_line", "occurrence")
+
+
 _VERDICT_TABLE = "select sha256('click' || chr(0) || cast(k as varchar) || chr(0)) as verdict_key, k % 2 = 0 as verified, cast(k % 4 as int) as assurance, case when k % 3 = 0 then 'timeout' end as error from range(0, 20) t(k)"
 
 

@@ -26,6 +26,14 @@ def added_lines(diffs: DataFrame, key: str = "diff_id", text: str = "text") -> D
     return counted.filter("first is not null and hunk is null and raw like '+%' and path <> '/dev/null'").select(key, "path", (F.col("first") + F.col("new") - 1).alias("line"), F.substring("raw", 2, 1 << 30).alias("content"))
 
 
+def buffers(added: DataFrame, key: str = "diff_id") -> tuple[DataFrame, DataFrame]:
+    """(key, text) of each diff's added lines by path and line, and (key, line, path, source_line) of where each of them comes from."""
+    order = Window.partitionBy(key).orderBy("path", "line", "content")
+    numbered = added.withColumn("_line", F.row_number().over(order).cast("long"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "content"))), lambda x: x["content"]), "\n")
+    return numbered.groupBy(key).agg(text.alias("text")), numbered.select(key, F.col("_line").alias("line"), "path", F.col("line").alias("source_line"))
+
+
 def dump_lines(dumps: DataFrame, key: str = "dump_id", text: str = "text") -> DataFrame:
     """(key, db, table, line, content): data lines and telling comments of SQL dumps in any of three dialects.
 

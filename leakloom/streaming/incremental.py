@@ -22,9 +22,15 @@ def next_state(state: DataFrame, seen: DataFrame, coverage: DataFrame | None = N
 
 
 def resource_fingerprint(parts: DataFrame, key: str, value: str) -> DataFrame:
-    """One digest a key over its values in order, each ended by a zero character."""
-    ended = F.concat(F.array_join(F.array_sort(F.collect_list(value)), "\0"), F.lit("\0"))
-    return parts.groupBy(key).agg(F.sha2(ended, 256).alias("fingerprint"))
+    """One digest a key over the multiset of its values, whatever their order.
+
+    Each value's SHA-256 is eight numbers of 32 bits, added up exactly; the fingerprint is the digest of their number
+    and these sums. Sums are partly made before the shuffle, and no group holds its values. A null value counts as one
+    that no string equals; null keys are one key.
+    """
+    digest = F.coalesce(F.sha2(value, 256), F.sha2(F.lit("\0null"), 512))
+    sums = parts.groupBy(key).agg(F.count("*").alias("_n"), *(F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(10,0)")).alias(f"_w{i}") for i in range(8)))
+    return sums.select(key, F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("_n", *(f"_w{i}" for i in range(8))))), 256).alias("fingerprint"))
 
 
 def scanner_fingerprint(options: dict) -> str:
