@@ -8,7 +8,7 @@ import tarfile
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakloom.functions import decode as D
@@ -19,7 +19,7 @@ from leakloom.operators import detect, generic, pipeline, redact, scan, spans, v
 from leakloom.plans import catalog
 from leakloom.plans.rules import load_custom
 from leakloom.sinks import render
-from leakloom.sources import diffs, tables
+from leakloom.sources import diffs, history, tables
 from leakloom.streaming import incremental
 
 _QUERIES: dict = {}
@@ -634,6 +634,27 @@ def all_occurrences(spark, sf):
     return spans.all_occurrences(f).select("doc_id", "occurrence", "position")
 
 
+# A graph of commits: an order follows its customer's one before, and every seventh also the one of half its number.
+_EDGES = """select o_orderkey as "commit", lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as parent from orders
+  union all select a.o_orderkey, b.o_orderkey from orders a join orders b on b.o_orderkey = cast(floor(a.o_orderkey / 2) as bigint) where a.o_orderkey % 7 = 0"""
+
+
+@query(f"""with recursive e as ({_EDGES}), r as (select o_orderkey as k from orders where o_orderkey % 50 = 0 and o_orderkey % 77 <> 0
+  union select e.parent from r join e on e."commit" = r.k where e.parent is not null and e.parent % 77 <> 0)
+  select k as "commit", cast(row_number() over (order by o_orderdate, k) - 1 as bigint) as commit_seq from r join orders on o_orderkey = k""")
+def history_reachable(spark, sf):
+    orders = table(spark, sf, "orders")
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    follows = orders.select(F.col("o_orderkey").alias("commit"), F.lag("o_orderkey").over(before).alias("parent"))
+    halves = orders.filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("commit"), F.floor(F.col("o_orderkey") / 2).alias("parent"))
+    known = orders.select(F.col("o_orderkey").alias("parent"))
+    edges = follows.unionByName(halves.join(known, "parent").select("commit", "parent"))
+    keys = lambda where: orders.filter(where).select(F.col("o_orderkey").alias("commit"))
+    found = history.reachable(edges, keys("o_orderkey % 50 = 0"), keys("o_orderkey % 77 = 0"))
+    dated = found.join(orders.select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("when")), "commit")
+    return history.oldest_first(dated).select("commit", "commit_seq")
+
+
 _SOUGHT = ("tion", "the ", "\u00e9", "er", "token = ")
 
 
