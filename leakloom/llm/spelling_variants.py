@@ -27,8 +27,8 @@ from leakloom.llm.mixing import small
 
 #: Fixed by the contract: runs of letters, length and number of what counts as a word, the modulus of deletions.
 LETTERS, LEAST_LENGTH, LEAST_COUNT, MODULUS = "[A-Za-z\\u00C0-\\u00FF]+", 5, 3, 97
-#: Comparisons that a half may cause before it is cut again, and records that a shard of the automaton has on average.
-COMPARED, SHARD = 4_096, 16_384
+#: Comparisons that a half may cause before it is cut again, and words for each shard of the automaton; a word has about 15 records.
+COMPARED, SHARD = 4_096, 1_024
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def words(docs: DataFrame) -> DataFrame:
     """
     low = F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0))).alias("run"))
-    low = F.when(F.col("run").rlike("[A-Z]"), low).otherwise(F.col("run"))
+    low = F.when(F.lower("run") == F.col("run"), F.col("run")).otherwise(low)  # most runs have no capitals
     runs = runs.withColumn("low", low).withColumn("h", F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "low").cast("binary")))
     at = (F.col("h") % F.char_length("low")).cast("int")
     cut = F.concat(F.substring("low", F.lit(1), at), F.substring("low", at + 2, F.lit(2147483647)))
@@ -116,10 +116,10 @@ class Halves:
         import ahocorasick
 
         self._automaton = ahocorasick.Automaton()
-        self._of: dict[str, dict[str, list[tuple[str, int, int]]]] = {}
+        self._of: dict[str, dict[str, list[tuple[str, int, str]]]] = {}
         for word, n, key, path, pre, post in holders:
             half = word[:pre] if path[-1] == "<" else word[len(word) - post :]
-            self._of.setdefault(half, {}).setdefault(key, []).append((word, n, len(word)))
+            self._of.setdefault(half, {}).setdefault(key, []).append((word, n, word[pre : len(word) - post]))
         for half in self._of:
             if half:
                 self._automaton.add_word(half, half)
@@ -135,8 +135,9 @@ class Halves:
             span = (0, pre) if first else (size - post, size)
             if span[0] < span[1] and span not in at:
                 continue
-            for other, n, length in self._of.get(word[span[0] : span[1]], {}).get(key, ()):
-                if -1 <= length - size <= 1 and one_apart(word[pre : size - post], other[pre : length - post]) and met_at(other, word, path):
+            rest, plain = word[pre : size - post], ">" not in path  # first halves all along: there is no other way to meet
+            for other, n, its in self._of.get(word[span[0] : span[1]], {}).get(key, ()):
+                if -1 <= len(its) - len(rest) <= 1 and one_apart(rest, its) and (plain or met_at(other, word, path)):
                     yield other, n
 
 
@@ -164,8 +165,7 @@ def _scan(rows: pa.Table) -> pa.Table:
 
 def near_words(vocabulary: DataFrame, compared: int = COMPARED, shard: int = SHARD) -> DataFrame:
     """(word, n_near, form, form_n) from distinct (word, n): for words that have near words how many, and the most frequent of them, the first by code point among equals."""
-    rows = records(vocabulary, compared)
-    shards = max(1, -(-rows.count() // shard))
+    rows, shards = records(vocabulary, compared), max(1, -(-vocabulary.count() // shard))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     found = rows.groupBy("shard").applyInArrow(_scan, "word string, n_near long, form string, form_n long")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("n"), F.col("form"))).alias("best")).select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.n")).alias("form_n"))

@@ -71,7 +71,7 @@ def test_variants_against_brute_force(spark, compared):
     rows = [(k, " ".join(r.choice(stems).title() if r.random() < 0.1 else r.choice(stems) for _ in range(120))) for k in range(60)]
     words = _brute_words(rows)
     assert {(x.word, x.n) for x in V.words(_docs(spark, rows)).collect()} == set(words.items()) and len(words) > 300
-    found = _rows(V.grouped(V.words(_docs(spark, rows)), compared, shard=500))
+    found = _rows(V.grouped(V.words(_docs(spark, rows)), compared, shard=50))
     assert len(found) == len(words) and set(found) == _brute_groups(words)
     assert any(x[2] != x[0] and x[1] != x[2] for x in found)  # forms of forms
 
