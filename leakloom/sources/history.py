@@ -10,9 +10,10 @@ where all machines can read it.
 from __future__ import annotations
 
 import subprocess
+import tempfile
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -52,17 +53,21 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[tuple]:
         if not partition.size:
             return
-        shown = ["-p", "-U3", *(["-m", "--first-parent"] if self.merges else [])] if self.patch else ["-s"]
-        command = self._git("log", "--date-order", f"--skip={partition.skip}", f"--max-count={partition.size}", "--no-color", "--no-ext-diff", f"--format={_FORM}", *shown, *self.walk, *self.paths)
-        if self.merges and self.patch:
-            command.remove("--first-parent")
-            command[command.index("-m")] = "--diff-merges=first-parent"
-        with subprocess.Popen(command, stdout=subprocess.PIPE) as run:
-            for k, record in enumerate(_records(run.stdout)):
-                commit, parents, author, when, message, patch = record.decode("utf-8", "replace").split("\x1f", 5)
-                yield partition.total - 1 - partition.skip - k, commit, parents.split(), author, when, message.rstrip("\n"), patch.lstrip("\n")
-            if run.wait():
-                raise RuntimeError(f"git log failed with {run.returncode} in {self.where}")
+        listed = self._git("rev-list", "--date-order", f"--skip={partition.skip}", f"--max-count={partition.size}", *self.walk, *self.paths)
+        hashes = subprocess.run(listed, capture_output=True, check=True).stdout
+        at = {h: partition.total - 1 - partition.skip - k for k, h in enumerate(hashes.decode().split())}
+        shown = ["-p", "-U3", *(["--diff-merges=first-parent"] if self.merges else [])] if self.patch else ["-s"]
+        # the very commits that were listed, whether or not a walk along these paths would stop at them
+        command = self._git("log", "--stdin", "--no-walk=unsorted", "--full-history", "--sparse", "--no-color", "--no-ext-diff", f"--format={_FORM}", *shown, *self.paths)
+        with tempfile.TemporaryFile() as asked:  # a task's own question to git, gone with it
+            asked.write(hashes)
+            asked.seek(0)
+            with subprocess.Popen(command, stdin=asked, stdout=subprocess.PIPE) as run:
+                for record in _records(run.stdout):
+                    commit, parents, author, when, message, patch = record.decode("utf-8", "replace").split("\x1f", 5)
+                    yield at[commit], commit, parents.split(), author, when, message.rstrip("\n"), patch.lstrip("\n")
+                if run.wait():
+                    raise RuntimeError(f"git log failed with {run.returncode} in {self.where}")
 
 
 def _records(stream) -> Iterator[bytes]:

@@ -18,7 +18,7 @@ from leakloom.functions.regex import to_java, to_python
 from leakloom.operators import archives, detect, generic, pipeline, redact, spans
 from leakloom.plans import catalog, rules
 from leakloom.sinks import render
-from leakloom.sources import diffs, tables
+from leakloom.sources import diffs, history, tables
 from leakloom.streaming import incremental
 
 PATTERNS = (r"\b([a-z0-9]{3})\b", r"(?i)to\s*ken[\s:]+(\w+)", r"(?m)^a.$", r"[^\s&\[]+$", r"é\B\w", r"a\z")
@@ -329,6 +329,6 @@ def test_history_and_diffs(spark, tmp_path):
         (tmp_path / "f.txt").write_text(f"line\nvalue{k}\n")
         run("add", ".")
         run("commit", "-q", "-m", f"c{k}")
-    commits = diffs.history(spark, str(tmp_path))
+    commits = history.read(spark, str(tmp_path))
     added = diffs.added_lines(commits.withColumnRenamed("commit_seq", "diff_id").withColumnRenamed("patch", "text"))
     assert [(r["path"], r["line"], r["content"]) for r in added.orderBy("diff_id", "line").collect()] == [("f.txt", 1, "line"), ("f.txt", 2, "value0"), ("f.txt", 2, "value1")]
