@@ -98,6 +98,10 @@ _CAPITAL = re.compile(r"\b(?!(?:Mr|Mrs|Ms|Dr|Prof|Sir|Dear|Call|Ask|Name|Named|P
 _STREET = re.compile(r"\b[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Way|Place|Terrace)\b")
 
 
+#: Characters of texts that are gone through at once, and edges or candidates whose numbers are laid out at once.
+SLICE, EDGES = 1 << 18, 1 << 12
+
+
 class Token:
     """A candidate: its place without the marks around it, its text, the text before it, the base kind it lies in, and its form: token, name or address."""
 
@@ -286,7 +290,7 @@ def model(seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, c, s
 
 
-def infer(unary: np.ndarray, edges: np.ndarray, scores: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+def infer(unary: np.ndarray, edges: np.ndarray, scores: np.ndarray | Tied, of: np.ndarray | None = None) -> np.ndarray:
     """Marginals by loopy sum-product: all messages of a round are sent at once, until they settle.
 
     ``of``: the text of each edge; without it all are one's. A text's messages stop on their own, so what
@@ -300,37 +304,64 @@ def infer(unary: np.ndarray, edges: np.ndarray, scores: np.ndarray, of: np.ndarr
     belief, live, turn = unary.copy(), np.arange(len(edges)), 0
     while len(live):
         turn += 1
-        first, second = edges[live].T
-        out_left, out_right = belief[first] - to_left[live], belief[second] - to_right[live]
-        right = _log_sum(out_left[:, :, None] + scores[live])
-        left = _log_sum(out_right[:, :, None] + scores[live].transpose(0, 2, 1))
-        right, left = right - right.max(1, keepdims=True), left - left.max(1, keepdims=True)
         change = np.zeros(len(bound))
-        np.maximum.at(change, of[live], np.maximum(abs(right - to_right[live]).max(1), abs(left - to_left[live]).max(1)))
-        to_right[live], to_left[live] = right, left
+        for at in range(0, len(live), EDGES):  # all messages of a round go by the beliefs before it
+            some = live[at : at + EDGES]
+            first, second = edges[some].T
+            right = _log_sum((belief[first] - to_left[some])[:, :, None] + scores[some])
+            left = _log_sum((belief[second] - to_right[some])[:, :, None] + scores[some].transpose(0, 2, 1))
+            right, left = right - right.max(1, keepdims=True), left - left.max(1, keepdims=True)
+            np.maximum.at(change, of[some], np.maximum(abs(right - to_right[some]).max(1), abs(left - to_left[some]).max(1)))
+            to_right[some], to_left[some] = right, left
         nodes = np.unique(edges[live])
         belief[nodes] = unary[nodes]
-        np.add.at(belief, second, right)
-        np.add.at(belief, first, left)
+        np.add.at(belief, edges[live, 1], to_right[live])
+        np.add.at(belief, edges[live, 0], to_left[live])
         live = live[((change > SETTLED) & (turn < bound))[of[live]]]
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
+class Tied:
+    """Scores of edges that share a few matrices: which one each has."""
+
+    def __init__(self, matrices: np.ndarray, which: np.ndarray):
+        self._matrices, self._which = matrices, which
+
+    def __getitem__(self, edges: np.ndarray) -> np.ndarray:
+        return self._matrices[self._which[edges]]
+
+
 def _log_sum(v: np.ndarray) -> np.ndarray:
     top = v.max(1)
     return top + np.log(np.exp(v - top[:, None]).sum(1))
 
 
 def find(texts: list[str], weights=None) -> list[tuple[list, list]]:
-    """For each text its base spans and all its spans, as (start, kind, end); ``weights`` are the model's, trained here if not given."""
+    """For each text its base spans and all its spans, as (start, kind, end); ``weights`` are the model's, trained here if not given.
+
+    Texts are taken in slices of about SLICE characters, a long one by itself: texts don't depend on each other, and
+    a slice needs about a kilobyte for each of its candidates.
+    """
+    weights, out, at = weights or model(), [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+            size += len(texts[end])
+            end += 1
+        out += _find(texts[at:end], weights)
+        at = end
+    return out
+
+
+def _find(texts: list[str], weights) -> list[tuple[list, list]]:
     bases = [base_spans(t) for t in texts]
     tokens = [candidates(t, b) for t, b in zip(texts, bases)]
     alls = [list(b) for b in bases]
     flat = [t for ts in tokens for t in ts]
     if not flat:
         return list(zip(bases, alls))
-    w, c, s = weights or model()
+    w, c, s = weights
     chains, skips, of, at = [], [], ([], []), 0
     for text, ts in enumerate(tokens):
         chain, skip = links(ts)
@@ -339,9 +370,9 @@ def find(texts: list[str], weights=None) -> list[tuple[list, list]]:
         chains += [(a + at, b + at) for a, b in chain]
         skips += [(a + at, b + at) for a, b in skip]
         at += len(ts)
-    unary = np.array([t.features() for t in flat], float) @ w
+    unary = np.concatenate([np.array([t.features() for t in flat[k : k + EDGES]], float) @ w for k in range(0, len(flat), EDGES)])
     edges = np.array(chains + skips, int).reshape(-1, 2)
-    scores = np.concatenate([np.broadcast_to(c, (len(chains), *c.shape)), np.broadcast_to(s, (len(skips), *s.shape))])
+    scores = Tied(np.stack([c, s]), np.repeat([0, 1], [len(chains), len(skips)]))
     beliefs = infer(unary, edges, scores, np.array(of[0] + of[1], int))
     labels, sure, at = beliefs.argmax(1), beliefs.max(1) >= BELIEF, 0
     for text, ts, base, found in zip(texts, tokens, bases, alls):

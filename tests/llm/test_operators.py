@@ -495,6 +495,24 @@ def test_field_labels_dozens_of_repeats():
         assert pii_crf.find(["x", text, "call 415-555-2671", ""])[1][1] == spans
 
 
+def test_field_needs_little_memory_for_many_candidates():
+    """Rows of plain numbers, a candidate each: what is laid out at once doesn't grow with the batch, and one text needs about a kilobyte a candidate."""
+    import tracemalloc
+
+    r = random.Random(8)
+    texts = [" ".join(str(r.randint(10**3, 10**9)) for _ in range(100)) for _ in range(600)]
+    weights = pii_crf.model()
+    peaks = []
+    for batch in (texts[:300], texts, [" ".join(texts[:100])]):
+        tracemalloc.start()
+        found = pii_crf.find(batch, weights)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == len(batch)
+    assert peaks[1] < 1.3 * peaks[0] and peaks[2] < 2500 * 10_000
+    assert [pii_crf.find([t], weights)[0] for t in texts[:5]] == pii_crf.find(texts, weights)[:5]
+
+
 def test_pii_report_and_redaction(spark):
     docs = _docs(spark, [(1, None, "en", "a", None), (2, "mail joe.b@x.example.com now", "en", None, 3), (3, "", None, None, None), (2, "mail joe.b@x.example.com now", "en", None, 3)])
     got = {x["doc_id"]: x for x in pii_crf.report(docs).collect()}
