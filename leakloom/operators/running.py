@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the checkpoint folder that all machines share, ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for what lies between steps, which all machines share: the session's ``spark.checkpoint.dir``; without one the call fails."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():  # noqa: SLF001
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()  # noqa: SLF001
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -25,6 +25,7 @@ from leakloom.functions import decode as D
 from leakloom.functions.text import col, mostly_printable
 from leakloom.operators import archives, detect, pipeline
 from leakloom.operators import spans as P
+from leakloom.operators.running import checkpoint_folder
 from leakloom.plans import rules as R
 
 VARIANTS = ("base64", "percent", "hex", "unicode-escape")
@@ -185,10 +186,7 @@ def split(tagged: DataFrame, folder: str | None = None) -> tuple[DataFrame, Data
     """
     spark = tagged.sparkSession
     if folder is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:
-            raise ValueError("name a folder, or set spark.checkpoint.dir")
-        folder = f"{base}/opened-{uuid.uuid4().hex}"
+        folder = f"{checkpoint_folder(spark)}/opened-{uuid.uuid4().hex}"
     tagged.write.partitionBy("tag").parquet(folder)
     known = [f for f in tagged.schema.fields if f.name != "tag"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known) + ", tag string"

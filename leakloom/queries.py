@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import uuid
 import zipfile
 
 import pyarrow as pa
@@ -15,12 +16,12 @@ from leakloom.functions import decode as D
 from leakloom.functions import findings as K
 from leakloom.functions import text as X
 from leakloom.functions import tokens as TK
-from leakloom.operators import detect, generic, pipeline, redact, scan, spans, verdicts
+from leakloom.operators import detect, generic, pipeline, redact, running, scan, spans, verdicts
 from leakloom.plans import catalog
 from leakloom.plans.rules import load_custom
 from leakloom.sinks import render
 from leakloom.sources import diffs, history, tables
-from leakloom.streaming import incremental
+from leakloom.streaming import generations, incremental
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -655,6 +656,34 @@ def history_reachable(spark, sf):
     return history.oldest_first(dated).select("commit", "commit_seq")
 
 
+class _Killed(Exception):
+    pass
+
+
+@query("select left(o_orderpriority, 1) as unit, o_orderkey, case left(o_orderpriority, 1) when '1' then 1 when '2' then 2 else cast(left(o_orderpriority, 1) as bigint) end as generation from orders where o_totalprice > 100000")
+def resumed_units(spark, sf):
+    """A run over the orders by priority that is killed before its third unit is committed, taken up again, then run unchanged."""
+    base = f"{running.checkpoint_folder(spark)}/units-{uuid.uuid4().hex}"
+    orders = table(spark, sf, "orders").withColumn("unit", F.left("o_orderpriority", F.lit(1)))
+    prints = {r["kind"]: r["fingerprint"] for r in incremental.resource_fingerprint(orders.select(F.col("unit").alias("kind"), F.concat_ws(":", "o_orderkey", "o_totalprice").alias("v")), "kind", "v").collect()}
+    work = lambda unit: orders.filter(F.col("unit") == unit).filter("o_totalprice > 100000").select("o_orderkey")
+
+    def kill(unit):
+        if unit == "3":
+            raise _Killed
+
+    run = lambda **more: generations.resume(generations.Generations(spark, f"{base}/state"), prints, work, "scanner", f"{base}/out", **more)
+    try:
+        run(before_commit=kill)
+    except _Killed:
+        pass
+    second, third = run(), run()
+    if second.worked != ("3", "4", "5") or not third.unchanged or third.exit_code != second.exit_code:
+        raise RuntimeError("the run wasn't taken up where it stopped")
+    state = generations.Generations(spark, f"{base}/state").read()
+    return generations.results(spark, f"{base}/out", sorted(prints)).join(F.broadcast(state.select("unit", "generation")), "unit").select("unit", "o_orderkey", "generation")
+
+
 _SOUGHT = ("tion", "the ", "\u00e9", "er", "token = ")
 
 
