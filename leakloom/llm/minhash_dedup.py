@@ -12,7 +12,7 @@ compared with one of it only, the one that meets most others over all its bucket
 sets of five-word runs. Connected components of these links join what the buckets share. Where a bucket
 still holds several components, its texts outside the largest one are compared with all others there that they
 are not yet connected to, so that no link within a bucket is lost and no group is paired out that is linked
-already. A bucket in which that would be too many pairs is first parted by its texts' further bands.
+already. There is no bound on a bucket's pairs beyond which they are compared otherwise: large buckets are more blocks.
 """
 
 from __future__ import annotations
@@ -40,8 +40,6 @@ BLOCK = 256
 MISSED = 5e-8
 #: What a run weighs: "one", or "count" for as often as it stands in the text.
 WEIGHTS = ("one", "count")
-#: Buckets with more pairs of texts in different components are parted by a further band, so many times at most.
-MOST_PAIRS, PARTED = 1 << 24, 3
 _CACHE_WORDS = 150_000
 _SLICE = 1 << 17
 
@@ -236,49 +234,32 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, weights: str
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a")).mapInArrow(compare, "a long, b long")
 
 
-def _mixed_buckets(shared: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame | None:
-    """(key, path, id, component, outside, n, k) of buckets with several components, outside being all but the largest one.
-
-    A bucket with too many pairs between components gives way to buckets of texts that agree in a later band
-    as well; ``path`` is the bands that a bucket's texts share. A pair that is alike agrees in 13 of the 32 bands
-    on average and in only one of them with probability 1e-6, in two or fewer with 1e-5; after ``PARTED`` bands a bucket is taken as it is.
-    """
+def _mixed_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, band, id, component, outside, n, k) of buckets with several components, outside being all but the largest one."""
     of = found.select(F.col("node").alias("id"), "component")
-    level = S.checkpointed(shared.select("key", F.array("band").alias("path"), "id").join(of, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    ready = []
-    for depth in range(PARTED + 1):
-        total = level.count()
-        if not total:
-            break
-        parts = level.groupBy("key", "component").agg(F.count("*").alias("size"))
-        sizes = parts.groupBy("key").agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("main")).withColumn("k", F.col("n") - F.col("main.size")).filter("k > 0")
-        inside = S.join_counted(level, sizes, "key", "n", total).withColumn("outside", F.col("component") != F.col("main.component")).drop("main")
-        few = (F.col("n") * F.col("k") <= MOST_PAIRS) | F.lit(depth == PARTED)
-        ready.append(inside.filter(few))
-        bands = inside.filter(~few).join(texts.select("id", "keys"), "id").select("key", "path", "id", "component", F.posexplode("keys").alias("band", "other"))
-        later = bands.filter(F.col("band") > F.element_at("path", -1))
-        level = S.checkpointed(later.select(F.xxhash64("key", "other").alias("key"), F.concat("path", F.array("band")).alias("path"), "id", "component"))
-    return S.union_all(ready) if ready else None
-
-
-def _late(docs: DataFrame, shared: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, weights: str) -> DataFrame | None:
+    level = S.checkpointed(shared.select("key", "band", "id").join(of, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    parts = level.groupBy("key", "component").agg(F.count("*").alias("size"))
+    sizes = parts.groupBy("key").agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("main")).withColumn("k", F.col("n") - F.col("main.size")).filter("k > 0")
+    return S.join_counted(level, sizes, "key", "n", level.count()).withColumn("outside", F.col("component") != F.col("main.component")).drop("main")
+
+
+def _late(docs: DataFrame, shared: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, weights: str) -> DataFrame:
     """Links (a, b) between different components that share a bucket.
 
     ``shared``: (key, band, id) of the buckets with several texts. Blocks of BLOCK texts of a bucket are held against
     each other: first by their registers, which leaves those that may have a partner, then by their
     sets, likeliest partners first, until a text is linked to the other component or has been compared with
-    all of it. A pair is looked at in one bucket only, that of the first bands that it shares. No pairs are
-    emitted, only texts and links.
+    all of it. A pair is looked at in one bucket only, that of the first band that it shares. No pairs are
+    emitted, only texts and links. A bucket of n texts, k of them outside its largest component, takes n k comparisons
+    of registers, spread over n k / BLOCK^2 groups, for which its texts are written n / BLOCK times.
     """
-    inside = _mixed_buckets(shared, texts, found)
-    if inside is None:
-        return None
+    inside = _mixed_buckets(shared, found)
     inside = inside.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("rare", F.ceil(F.col("k") / BLOCK))
-    inside = S.checkpointed(inside.join(texts.select("id", "node", "keys", "marks"), "id").select("key", F.col("path").cast("array<int>").alias("path"), "id", "component", "outside", "blocks", "rare", "node", "keys", "marks"))
+    inside = S.checkpointed(inside.join(texts.select("id", "node", "keys", "marks"), "id").select("key", F.col("band").cast("int").alias("band"), "id", "component", "outside", "blocks", "rare", "node", "keys", "marks"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = inside.filter("outside").withColumn("i", F.pmod(F.xxhash64("id"), F.col("rare"))).withColumn("j", each("blocks")).withColumn("side", F.lit(0))
     right = inside.withColumn("j", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("i", each("rare")).withColumn("side", F.lit(1))
-    columns = ("key", "path", "i", "j", "side", "id", "component", "node", "keys", "marks")
+    columns = ("key", "band", "i", "j", "side", "id", "component", "node", "keys", "marks")
     both = left.select(*columns).unionByName(right.select(*columns))
 
     def likely(t: pa.Table) -> pa.Table:
@@ -310,7 +291,7 @@ def _late(docs: DataFrame, shared: DataFrame, texts: DataFrame, found: DataFrame
                     above[top(parts[i])] = top(parts[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    kept = S.checkpointed(both.groupBy("key", "i", "j").applyInArrow(likely, "key long, path array<int>, i long, j long, side int, id long, component long, node binary, keys array<long>, marks binary"))
+    kept = S.checkpointed(both.groupBy("key", "i", "j").applyInArrow(likely, "key long, band int, i long, j long, side int, id long, component long, node binary, keys array<long>, marks binary"))
     whole = _texts(docs, kept.select("node").distinct())
     return kept.join(whole, "node").groupBy("key", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
@@ -321,14 +302,13 @@ def _partners(t: pa.Table, similarity: float):
     part, side = np.asarray(t["component"]), np.asarray(t["side"])
     keys = np.asarray(t["keys"].combine_chunks().flatten()).reshape(-1, BANDS)
     marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    right, path = np.flatnonzero(side == 1), t["path"][0].as_py() if t.num_rows else [0]
+    right, band = np.flatnonzero(side == 1), t["band"][0].as_py() if t.num_rows else 0
     for i in np.flatnonzero(side == 0):
         at = right[part[right] != part[i]]
         share = (marks[at] == marks[i]).mean(1)
         good = share >= least_share(similarity)
         at, share = at[good], share[good]
-        equal = keys[at][:, : path[-1] + 1] == keys[i][: path[-1] + 1]
-        first = equal[:, path].all(1) & (equal.sum(1) == len(path))
+        first = ~(keys[at][:, :band] == keys[i][:band]).any(1)  # they share no band before this one
         yield i, at[first], share[first]
 
 
@@ -364,10 +344,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "one
     links = S.checkpointed(_verified(docs, pairs, similarity, weights))
     S.release(spark)
     found = S.checkpointed(components(links))
-    late = _late(docs, shared, texts, found, similarity, weights)
-    late = None if late is None else S.checkpointed(late)
+    late = S.checkpointed(_late(docs, shared, texts, found, similarity, weights))
     S.release(spark)
-    if late is not None and late.limit(1).count():
+    if not late.isEmpty():
         links = links.unionByName(late)
         found = S.checkpointed(components(links))
     S.release(spark)

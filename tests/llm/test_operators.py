@@ -141,9 +141,9 @@ def _alike_under_a_template(n, own):
     return rows
 
 
-@pytest.mark.parametrize("most", [1 << 24, 50])
-def test_dedup_of_buckets_with_many_components(spark, monkeypatch, most):
-    monkeypatch.setattr(minhash_dedup, "MOST_PAIRS", most)
+@pytest.mark.parametrize("block", [256, 7])
+def test_dedup_of_buckets_with_many_components(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     rows = _alike_under_a_template(60, 60)
     got = {}
     for x in minhash_dedup.report(_docs(spark, rows)).collect():
@@ -151,6 +151,25 @@ def test_dedup_of_buckets_with_many_components(spark, monkeypatch, most):
     assert sorted(sorted(v) for v in got.values()) == _brute_classes([x[:2] for x in rows])
 
 
+def test_dedup_of_pairs_that_share_few_bands_of_large_buckets(spark, monkeypatch):
+    """Pairs at 0.80 to 0.83 among many texts with a common half: those that share one to three bands are found like others."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    head, rows = _text(7, 110), []
+    for k in range(60):
+        tail = _text(2000 + k, 110).split()
+        for cut in (0, 21 + k % 3):  # so many of the last words are others
+            rows.append((len(rows), head + " " + " ".join(tail[: len(tail) - cut] + [f"w{k}x{j}" for j in range(cut)]), "en", "a", 1))
+    near = [minhash_dedup.weighted(t)[0] for _, t, *_ in rows]
+    alike = [len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for x, y in zip(near[::2], near[1::2])]
+    assert sum(0.8 <= a <= 0.83 for a in alike) > 25
+    keys = minhash_dedup.bands(minhash_dedup.signatures([t for _, t, *_ in rows])[0])
+    assert sum(0 < (x == y).sum() <= 6 for (x, y), a in zip(zip(keys[::2], keys[1::2]), alike) if a >= 0.8) > 0
+    got = {}
+    for x in minhash_dedup.report(_docs(spark, rows)).collect():
+        got.setdefault(x["class_id"], []).append(x["doc_id"])
+    assert sorted(sorted(v) for v in got.values()) == _brute_classes([x[:2] for x in rows])
+
+
 def test_dedup_of_weighted_runs(spark):
     base = _text(1, 60)
     rows = [(1, base + (" " + base[-60:]) * 9, "en", "a", 1), (2, base, "en", "a", 1), (3, base + " end", "en", "a", 1)]
