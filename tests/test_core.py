@@ -317,7 +317,7 @@ def test_stream_scan_is_exactly_once(spark, tmp_path):
     for k in range(2):
         (folder / f"{k}.txt").write_text(f"token=v{k}")
         incremental.stream_scan(incremental.stream_files(spark, str(folder)), scan, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert sorted(r["raw"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["v0", "v1"]
+    assert sorted(r["raw"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["token=v0", "token=v1"]
 
 
 def test_history_and_diffs(spark, tmp_path):
