@@ -29,6 +29,7 @@ from leakloom.functions import findings as K
 from leakloom.functions import text as X
 from leakloom.functions.regex import to_python
 from leakloom.operators import spans as P
+from leakloom.operators.running import spread
 from leakloom.plans.rules import Rule
 
 #: What marks a value as a template.
@@ -232,7 +233,7 @@ def detect(chunks: DataFrame, rules: Sequence[Rule], text: str = "text", vicinit
         compiled = compiled_rules(fixed)
         return pa.array([told(t, list(compiled.find(t, vicinity))) if t else [] for t in texts.to_pylist()], _KIND)
 
-    return chunks.withColumn("f", F.explode(found(text))).select("*", "f.*").drop("f")
+    return spread(chunks).withColumn("f", F.explode(found(text))).select("*", "f.*").drop("f")
 
 
 def enrich(found: DataFrame, base_line: str | None = None) -> DataFrame:

@@ -42,3 +42,20 @@ def running(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> Da
 def numbered(df: DataFrame, order: list[Column], into: str) -> DataFrame:
     """Add each row's place in a total order, from 0."""
     return running(df, order, {into: F.lit(1).cast("long")})
+
+
+#: Tables of fewer bytes than this for each core are dealt out anew before work that takes far longer than reading.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out over all cores, as a file of one row group is one task however many there are.
+
+    Small goes by the size that Spark estimates before it runs; larger tables have tasks enough and are left alone, and so
+    are streams. Rows stay the same; their order doesn't.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+    return df.repartition(cores) if size < SMALL * cores else df

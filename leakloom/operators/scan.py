@@ -25,7 +25,7 @@ from leakloom.functions import decode as D
 from leakloom.functions.text import col, mostly_printable
 from leakloom.operators import archives, detect, pipeline
 from leakloom.operators import spans as P
-from leakloom.operators.running import checkpoint_folder
+from leakloom.operators.running import checkpoint_folder, spread
 from leakloom.plans import rules as R
 
 VARIANTS = ("base64", "percent", "hex", "unicode-escape")
@@ -137,7 +137,7 @@ def scan(chunks: DataFrame, rules: Sequence[R.Rule], text: str = "text", vicinit
         compiled = detect.compiled_rules(fixed)
         return pa.array([_scanned(compiled, t, p or [], vicinity) if t else [] for t, p in zip(texts.to_pylist(), pieces.to_pylist())], kind)
 
-    seen = chunks.withColumn("_v", views(text)).withColumn("f", F.explode(found(F.col(text), F.col("_v"))))
+    seen = spread(chunks).withColumn("_v", views(text)).withColumn("f", F.explode(found(F.col(text), F.col("_v"))))
     return seen.select(*(c for c in chunks.columns if c != text), "f.*")
 
 

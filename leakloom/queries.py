@@ -589,7 +589,7 @@ def container_keys(spark, sf):
 
 @query()
 def redact_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", redact.redact("text").alias("text"))
+    return running.spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", redact.redact("text").alias("text"))
 
 
 @query()
