@@ -16,7 +16,7 @@ from leakloom.functions import decode as D
 from leakloom.functions import findings as K
 from leakloom.functions import text as X
 from leakloom.functions import tokens as TK
-from leakloom.operators import detect, generic, pipeline, redact, running, scan, spans, verdicts
+from leakloom.operators import allowlist, detect, generic, pipeline, redact, running, scan, spans, verdicts
 from leakloom.plans import catalog
 from leakloom.plans.rules import load_custom
 from leakloom.sinks import render
@@ -684,6 +684,21 @@ def resumed_units(spark, sf):
     return generations.results(spark, f"{base}/out", sorted(prints)).join(F.broadcast(state.select("unit", "generation")), "unit").select("unit", "o_orderkey", "generation")
 
 
+# An allowlist with an entry a part, of six shapes, and its fit written out.
+_ENTRIES = """select p_partkey as entry, case when p_partkey % 6 in (0, 1, 5) then case p_partkey % 4 when 0 then 'CLICK' when 1 then 'view' when 2 then 'Purchase' else 'refund' end end as detector, case when p_partkey % 6 in (1, 2) then cast(p_partkey % 97 as {0}) end as raw,
+  case when p_partkey % 6 in (0, 3) then concat('^', cast(p_partkey % 89 as {0}), '$') end as raw_regex, case p_partkey % 6 when 2 then concat('f', cast(p_partkey % 9 as {0})) when 3 then concat('f[0-', cast(p_partkey % 3 as {0}), ']') when 4 then concat('x/g', cast(p_partkey as {0})) when 5 then concat('f', cast(p_partkey % 5 as {0})) end as path from part where p_partkey % 24 <> 5 and p_partkey > 30"""
+
+
+@query(f"""with f as (select event_id, event_type as detector, cast(user_id % 97 as varchar) as raw, 'd/f' || (event_id % 9) as path from events), e as ({_ENTRIES.format('varchar')})
+ select event_id, min(entry) as allowed_by from f left join e on (e.detector is null or lower(e.detector) = lower(f.detector)) and (e.raw is null or e.raw = f.raw) and (e.raw_regex is null or regexp_matches(f.raw, e.raw_regex))
+   and (e.path is null or (e.path not like '%/%' and regexp_matches(f.path, '^(?:.*/)?' || e.path || '$')) or e.path = f.path) group by event_id""")
+def allowlist_table(spark, sf):
+    e = table(spark, sf, "events")
+    found = e.select("event_id", F.col("event_type").alias("detector"), (F.col("user_id") % 97).cast("string").alias("raw"), F.concat(F.lit("d/f"), (F.col("event_id") % 9).cast("string")).alias("path"))
+    entries = spark.sql(_ENTRIES.format("string").replace("from part", "from {part}"), part=table(spark, sf, "part"))
+    return allowlist.allowed(found, entries).select("event_id", "allowed_by")
+
+
 _SOUGHT = ("tion", "the ", "\u00e9", "er", "token = ")
 
 
