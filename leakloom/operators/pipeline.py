@@ -89,6 +89,30 @@ def suppress(findings: DataFrame, allow: Sequence[dict] = (), show: bool = False
     return marked if show else marked.filter("suppressed_by is null")
 
 
+#: Why findings are dropped, in the order in which filters see them.
+REASONS = ("placeholder", "allowlist", "verdict", "assurance", "blast-radius")
+
+
+def counted(marked: DataFrame, name: str = "suppression", by: str = "suppressed_by"):
+    """Findings with a mark of why they are dropped, and an ``Observation`` of how many each reason drops.
+
+    Counts are taken while the findings go by on their way to the write, not by another pass; ``suppression_counts``
+    gives them afterwards. Reasons beyond REASONS count as other; a null mark is a finding that is kept.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    known = F.col(by).isin(*REASONS)
+    metrics = [n(F.col(by) == r).alias(r) for r in REASONS] + [n(F.col(by).isNotNull() & ~known).alias("other"), n(F.col(by).isNull()).alias("kept")]
+    return marked.observe(seen, *metrics), seen
+
+
+def suppression_counts(spark, observation) -> DataFrame:
+    """(reason, findings) of an observation whose findings have been written, those that dropped something and ``kept``."""
+    return spark.createDataFrame([(k, v) for k, v in observation.get.items() if v or k == "kept"], "reason string, findings long")
+
+
 def verdict_filter(findings: DataFrame, only_verified=False, drop_indeterminate=False, only_provider_confirmed=False, blast_radius_only=False, min_assurance=0) -> DataFrame:
     """Keep findings by verdict, assurance and blast radius."""
     out = findings

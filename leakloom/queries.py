@@ -699,6 +699,15 @@ def allowlist_table(spark, sf):
     return allowlist.allowed(found, entries).select("event_id", "allowed_by")
 
 
+@query(f"""select reason, count(*) as findings from (select case when {_placeholder_sql('raw')} then 'placeholder' when regexp_matches(raw, '^[0-9a-f]+$') then 'allowlist' else 'kept' end as reason from (select {_VALUES} as raw from part)) group by reason""")
+def suppression_counts(spark, sf):
+    """What each filter drops, counted on the way to the write of what is kept."""
+    values = table(spark, sf, "part").select(F.lit("D").alias("detector"), F.expr(_VALUES).alias("raw"), F.lit("p").alias("path"))
+    marked, seen = pipeline.counted(pipeline.suppress(values, [{"raw_regex": "^[0-9a-f]+$"}], show=True))
+    marked.filter("suppressed_by is null").write.parquet(f"{running.checkpoint_folder(spark)}/kept-{uuid.uuid4().hex}")
+    return pipeline.suppression_counts(spark, seen)
+
+
 _SOUGHT = ("tion", "the ", "\u00e9", "er", "token = ")
 
 

@@ -166,3 +166,13 @@ def test_fingerprints_of_resources_are_those_of_multisets(spark):
     parts = [("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"), ("c", "x"), ("c", "x"), ("d", None), ("e", ""), (None, "x"), ("f", "x"), ("f", "y"), ("f", None)]
     got = {r["k"]: r["fingerprint"] for r in incremental.resource_fingerprint(spark.createDataFrame(parts, "k string, v string"), "k", "v").collect()}
     assert got["a"] == got["b"] and len(set(got.values())) == len(got) - 1 == 6
+
+
+def test_counts_are_taken_on_the_way_to_the_write(spark, tmp_path):
+    rows = [("placeholder",)] * 3 + [("allowlist",), ("odd",), (None,), (None,)]
+    marked, seen = pipeline.counted(spark.createDataFrame(rows, "suppressed_by string"))
+    marked.filter("suppressed_by is null").write.parquet(f"{tmp_path}/kept")
+    assert {r["reason"]: r["findings"] for r in pipeline.suppression_counts(spark, seen).collect()} == {"placeholder": 3, "allowlist": 1, "other": 1, "kept": 2}
+    nothing, seen = pipeline.counted(spark.createDataFrame([], "suppressed_by string"))
+    nothing.write.parquet(f"{tmp_path}/none")
+    assert [tuple(r) for r in pipeline.suppression_counts(spark, seen).collect()] == [("kept", 0)]
