@@ -235,4 +235,5 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all whole texts; null counts as empty, repeated rows give repeated results, an empty table gives no rows."""
     return digest(S.table(spark, sf_dir, "documents"))

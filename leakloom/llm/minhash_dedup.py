@@ -376,4 +376,5 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "on
 
 
 def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates among all documents; ``classes`` says what becomes of nulls, empty texts and repeated rows, an empty table gives no rows."""
     return report(S.table(spark, sf_dir, "documents"))

@@ -219,4 +219,5 @@ def amounts(docs: DataFrame, **settings) -> DataFrame:
 
 
 def op2_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: null texts have size 0, null sources come last, repeated rows are documents of their own; an empty table gives no rows."""
     return amounts(S.table(spark, sf_dir, "documents"))

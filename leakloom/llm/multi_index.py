@@ -258,4 +258,5 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
 
 
 def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest found for every twentieth vector; vectors that are null, zero or not finite take no part, equal vectors are candidates each, ties go to the smaller vec_id."""
     return search(S.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

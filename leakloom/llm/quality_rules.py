@@ -206,5 +206,6 @@ def keep(docs: DataFrame) -> DataFrame:
 
 
 def op9_distribution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of all whole texts; null has no words and fails, repeated rows give repeated results, an empty table gives no rows."""
     judged = judge(S.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "r")
     return judged.select("doc_id", *(f"r.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")))

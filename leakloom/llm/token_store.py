@@ -306,6 +306,7 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of all documents' ids, read back from the store; ``write`` says what becomes of nulls, ties and repeated rows, an empty table gives no rows."""
     folder = f"{S.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write(S.table(spark, sf_dir, "documents"), folder)
     return report(spark, folder)

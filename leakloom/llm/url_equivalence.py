@@ -96,6 +96,7 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> Data
 
 
 def op10_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls; null urls have an empty host and path, repeated rows give repeated results, an empty table gives no rows."""
     pages = S.table(spark, sf_dir, "pages")
     return judge(pages.select("page_id", "url"), edges_of(pages)).select("page_id", "host", "path", "rule", "verdict")
 
