@@ -14,27 +14,30 @@ from leakloom.llm import _shared, byte_bpe, minhash_dedup, mixing, pii_crf, qual
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null and empty texts fail, repeated rows and other columns stay as they are."""
     return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, with all its columns; of repeated rows one stays, null texts count as empty."""
     return minhash_dedup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by its kind."""
+    """The documents with personal data replaced by its kind; null texts stay null, rows and other columns stay."""
     return pii_crf.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, in shuffled order."""
+    """The documents as often as the mix takes them, in shuffled order; null sources are one source, other columns stay."""
     return mixing.mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text's ids, as little-endian unsigned 32-bit integers, and their number."""
+    """Each text's ids, as little-endian unsigned 32-bit integers, and their number; null counts as empty.
+
+    The last stage's rows are (doc_id, lang, source, n_tokens, ids); other columns end here.
+    """
     from pyspark.sql import functions as F
 
     coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"))
