@@ -43,6 +43,11 @@ _ASCII = {c: c + 32 for c in range(65, 91)}
 _WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
+def ascii_lowered(text: str) -> str:
+    """A to Z in lower case, all else as it is."""
+    return text.translate(_ASCII)
+
+
 class _Places:
     """Bytes and lines of a text's characters."""
 
@@ -87,6 +92,7 @@ class _Compiled:
             self.automaton.make_automaton()
         self.any = bool(words)
         self.pattern = lru_cache(maxsize=None)(lambda p: re.compile(to_python(p)))
+        self.only = lru_cache(maxsize=None)(lambda k: _Compiled((self.rules[k],)))
 
     def hits(self, lowered: str) -> dict[int, list[tuple[int, int]]]:
         """Rule to its keywords' occurrences, first and last character."""

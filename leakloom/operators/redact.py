@@ -1,12 +1,17 @@
-"""Redaction of free text by ordered replacement, with JVM functions only."""
+"""Redaction of free text: ordered patterns and matches by JVM functions, detectors by their Arrow stage."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakloom.functions.regex import to_java
 from leakloom.functions.text import col, entropy
+from leakloom.operators.detect import ascii_lowered, compiled_rules
+from leakloom.plans.rules import Rule
 
 #: What is replaced, in order.
 STEPS = (
@@ -32,3 +37,43 @@ def redact(c) -> Column:
     pieces = F.regexp_extract_all(out, F.lit(rf"(?s){TOKEN}|(?:(?!{TOKEN}).)+"), F.lit(0))
     telling = lambda p: p.rlike(f"^{TOKEN}$") & (p.rlike("^[0-9a-fA-F]+$") | (p.rlike("[0-9]") & p.rlike("[A-Za-z]") & (entropy(p) >= TOKEN_ENTROPY)))
     return F.array_join(F.transform(pieces, lambda p: F.when(telling(p), F.lit("[TOKEN]")).otherwise(p)), "")
+
+
+def replaced(c, matches) -> Column:
+    """A text with every match (type, text) replaced by its type, the longest first, so that no part of one is taken before it.
+
+    Lengths are in bytes, equal ones go as they stand; a match is replaced wherever it stands. Blank and null
+    matches are left out, a match without a type is ``UNKNOWN``. A null text stays null, null matches are none.
+    """
+    numbered = F.transform(F.coalesce(col(matches), F.expr("cast(array() as array<struct<type:string,text:string>>)")), lambda m, i: F.struct((-F.octet_length(m["text"])).alias("n"), i.alias("i"), m["type"].alias("type"), m["text"].alias("text")))
+    good = F.array_sort(F.filter(numbered, lambda m: m["text"].isNotNull() & m["text"].rlike(r"\S")))
+    kind = lambda m: F.coalesce(F.nullif(F.upper(F.trim(m["type"])), F.lit("")), F.lit("UNKNOWN"))
+    return F.aggregate(good, col(c), lambda text, m: F.replace(text, m["text"], F.concat(F.lit("[PII:"), kind(m), F.lit("]"))))
+
+
+def scrubbed(c, rules: Sequence[Rule]) -> Column:
+    """A text with all values and partners that rules find in it replaced by the detector's name.
+
+    Rules are tried one after another on the whole text as the ones before have left it, if one of their keywords
+    stands in the text that came. A null text stays null.
+    """
+    fixed = tuple(rules)
+
+    @F.arrow_udf("string")
+    def scrub(texts: pa.Array) -> pa.Array:
+        known, out = compiled_rules(fixed), []
+        for text in texts.to_pylist():
+            for k in sorted(known.hits(ascii_lowered(text))) if text else ():
+                for rule, raw, partner in list(known.only(k).find(text, None)):
+                    for value in filter(None, (raw, partner)):
+                        text = text.replace(value, f"[REDACTED:{rule.name}]")
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    return scrub(col(c))
+
+
+def redact_all(chunks: DataFrame, rules: Sequence[Rule], matches: str | None = None, text: str = "text") -> DataFrame:
+    """The rows with their text redacted by pattern, then by detectors, then by the matches (type, text) of a column."""
+    out = chunks.withColumn(text, scrubbed(redact(text), rules))
+    return out.withColumn(text, replaced(text, matches)) if matches else out

@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from leakloom.operators import detect, pipeline, scan, spans, verdicts
+from leakloom.operators import detect, pipeline, redact, scan, spans, verdicts
 from leakloom.plans import rules
 from leakloom.sources import diffs
 from leakloom.streaming import incremental
@@ -176,3 +176,16 @@ def test_counts_are_taken_on_the_way_to_the_write(spark, tmp_path):
     nothing, seen = pipeline.counted(spark.createDataFrame([], "suppressed_by string"))
     nothing.write.parquet(f"{tmp_path}/none")
     assert [tuple(r) for r in pipeline.suppression_counts(spark, seen).collect()] == [("kept", 0)]
+
+
+def test_longest_matches_go_first(spark):
+    text = "山田太郎 of Acme Holdings (Acme), alice@example.com and " + TOKEN + " again " + TOKEN
+    matches = [("person", "山田太郎"), ("ORGANIZATION", "Acme Holdings"), ("", "Acme"), ("PERSON", "  "), (None, None), ("x", "nowhere")]
+    df = spark.createDataFrame([(1, text, matches), (2, text, None), (3, None, matches), (4, "", matches)], "k long, text string, m array<struct<type:string,text:string>>")
+    out = {r["k"]: r["text"] for r in redact.redact_all(df, [RULE], "m").collect()}
+    assert out[1] == "[PII:PERSON] of [PII:ORGANIZATION] ([PII:UNKNOWN]), [EMAIL] and [TOKEN] again [TOKEN]"
+    assert "山田太郎 of Acme Holdings (Acme)" in out[2] and out[3] is None and out[4] == ""
+    pair = rules.Rule("Pair", ("id=",), (r"id=([a-z]{4})\b",), partner=r"\bpw=([a-z]{5})\b")
+    both = df.filter("k = 1").select(F.lit("id=abcd pw=efghi, again abcd and efghi").alias("t"), F.lit(f"see {TOKEN}").alias("u"))
+    got = both.select(redact.scrubbed("t", [RULE, pair]).alias("t"), redact.scrubbed("u", [RULE, pair]).alias("u")).first()
+    assert got["t"] == "id=[REDACTED:Pair] pw=[REDACTED:Pair], again [REDACTED:Pair] and [REDACTED:Pair]" and got["u"] == "see [REDACTED:Token]"
