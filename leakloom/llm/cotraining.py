@@ -354,6 +354,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by two views; null texts count as empty, nulls in other columns as a value of their own, repeated rows are scored alike; without labels of both classes there is nothing to learn from."""
+    """Scores of all documents by two views; null texts count as empty, nulls in other columns as a value of their own, repeated rows are scored alike; without labels to learn from scores are null and all documents are kept."""
     docs = S.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return scores(docs, S.table(spark, sf_dir, "labels"))
