@@ -51,29 +51,30 @@ def replaced(c, matches) -> Column:
     return F.aggregate(good, col(c), lambda text, m: F.replace(text, m["text"], F.concat(F.lit("[PII:"), kind(m), F.lit("]"))))
 
 
-def scrubbed(c, rules: Sequence[Rule]) -> Column:
-    """A text with all values and partners that rules find in it replaced by the detector's name.
+def scrubbed(chunks: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
+    """The rows with all values and partners that rules find in their text replaced by the detector's name.
 
     Rules are tried one after another on the whole text as the ones before have left it, if one of their keywords
-    stands in the text that came. A null text stays null.
+    stands in the text that came. Null texts stay null.
     """
-    fixed = tuple(rules)
+    fixed, at = tuple(rules), chunks.columns.index(text)
 
-    @F.arrow_udf("string")
-    def scrub(texts: pa.Array) -> pa.Array:
-        known, out = compiled_rules(fixed), []
-        for text in texts.to_pylist():
-            for k in sorted(known.hits(ascii_lowered(text))) if text else ():
-                for rule, raw, partner in list(known.only(k).find(text, None)):
-                    for value in filter(None, (raw, partner)):
-                        text = text.replace(value, f"[REDACTED:{rule.name}]")
-            out.append(text)
-        return pa.array(out, pa.string())
+    def scrub(batches):
+        known = compiled_rules(fixed)
+        for batch in batches:
+            out = []
+            for found in batch.column(at).to_pylist():
+                for k in sorted(known.hits(ascii_lowered(found))) if found else ():
+                    for rule, raw, partner in list(known.only(k).find(found, None)):
+                        for value in filter(None, (raw, partner)):
+                            found = found.replace(value, f"[REDACTED:{rule.name}]")
+                out.append(found)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return scrub(col(c))
+    return chunks.mapInArrow(scrub, chunks.schema)
 
 
 def redact_all(chunks: DataFrame, rules: Sequence[Rule], matches: str | None = None, text: str = "text") -> DataFrame:
     """The rows with their text redacted by pattern, then by detectors, then by the matches (type, text) of a column."""
-    out = chunks.withColumn(text, scrubbed(redact(text), rules))
+    out = scrubbed(chunks.withColumn(text, redact(text)), rules, text)
     return out.withColumn(text, replaced(text, matches)) if matches else out

@@ -719,7 +719,7 @@ def redact_longest_first(spark, sf):
     docs = table(spark, sf, "documents").withColumn("text", F.expr(f"concat(text, {_PEOPLE})".replace("{sha}", "sha2(cast(doc_id as string), 256)")))
     texts = [F.lit(" Lovelace"), F.expr(_PERSON), F.lit("Ada"), F.lit("   "), F.expr("concat('Ada', doc_id)"), F.lit("Acme"), F.lit("Acme Holdings")]
     matches = F.array(*(F.struct(F.lit(k).alias("type"), t.alias("text")) for k, t in zip(("name", "Person", " NAME ", "x", "", None, "org"), texts)))
-    found = docs.withColumn("text", redact.scrubbed("text", catalog.named("GitHub"))).withColumn("m", matches)
+    found = redact.scrubbed(docs, catalog.named("GitHub")).withColumn("m", matches)
     return found.select("doc_id", redact.replaced("text", "m").alias("text"))
 
 

@@ -187,5 +187,5 @@ def test_longest_matches_go_first(spark):
     assert "山田太郎 of Acme Holdings (Acme)" in out[2] and out[3] is None and out[4] == ""
     pair = rules.Rule("Pair", ("id=",), (r"id=([a-z]{4})\b",), partner=r"\bpw=([a-z]{5})\b")
     both = df.filter("k = 1").select(F.lit("id=abcd pw=efghi, again abcd and efghi").alias("t"), F.lit(f"see {TOKEN}").alias("u"))
-    got = both.select(redact.scrubbed("t", [RULE, pair]).alias("t"), redact.scrubbed("u", [RULE, pair]).alias("u")).first()
+    got = redact.scrubbed(redact.scrubbed(both, [RULE, pair], "t"), [RULE, pair], "u").first()
     assert got["t"] == "id=[REDACTED:Pair] pw=[REDACTED:Pair], again [REDACTED:Pair] and [REDACTED:Pair]" and got["u"] == "see [REDACTED:Token]"
