@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder for what lies between steps, which all machines share: the session's ``spark.checkpoint.dir``; without one the call fails."""
+    """The folder for what lies between steps, which all machines share: the session's ``spark.checkpoint.dir``.
+
+    Without one a session on one machine (``local[...]``) gets a temporary folder, and any other call fails.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():  # noqa: SLF001
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            folder = Path(tempfile.mkdtemp(prefix="leakloom-")).as_uri()
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder)
