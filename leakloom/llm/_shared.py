@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that are Python objects at a time, unless one row has more.
+PART_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,22 +28,38 @@ def fresh(prefix: str) -> str:
     return f"_{prefix}_{uuid.uuid4().hex[:12]}"
 
 
+def parts(columns: Sequence[pa.Array], most: int = PART_BYTES) -> Iterator[Sequence[pa.Array]]:
+    """All rows in order, in parts of at most so many bytes, or of one row."""
+    n = len(columns[0])
+    if n > 1 and sum(c.nbytes for c in columns) > most:
+        for at, size in ((0, n // 2), (n // 2, n - n // 2)):
+            yield from parts([c.slice(at, size) for c in columns], most)
+    else:
+        yield columns
+
+
 def text_udf(ddl: str, rows: Callable[[Sequence], list[dict]], n_args: int = 1):
     """An Arrow UDF that returns one struct a row.
 
-    ``rows`` gets one Python list per argument and returns one dict per row. It is marked
-    non-deterministic, so that a filter on its result doesn't make Spark evaluate it twice.
+    ``rows`` gets one Python list per argument and returns one dict per row. A batch goes through it in parts, so
+    that a worker holds a part's Python objects and not a batch's. It is marked non-deterministic, so that a filter
+    on its result doesn't make Spark evaluate it twice.
     """
     kind = pa.struct([(f.name, _arrow(f.dataType)) for f in T._parse_datatype_string(ddl).fields])  # noqa: SLF001
 
+    def every(*columns: pa.Array) -> pa.Array:
+        out = pa.concat_arrays([pa.array(rows(*(c.to_pylist() for c in part)), kind) for part in parts(columns)])
+        pa.default_memory_pool().release_unused()  # workers are kept, and with them what Arrow keeps of earlier batches
+        return out
+
     def one(a: pa.Array) -> pa.Array:
-        return pa.array(rows(a.to_pylist()), kind)
+        return every(a)
 
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(rows(a.to_pylist(), b.to_pylist()), kind)
+        return every(a, b)
 
     def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        return pa.array(rows(a.to_pylist(), b.to_pylist(), c.to_pylist()), kind)
+        return every(a, b, c)
 
     body = {1: one, 2: two, 3: three}[n_args]
     return F.arrow_udf(f"struct<{ddl}>")(body).asNondeterministic()

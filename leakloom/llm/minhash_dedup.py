@@ -219,15 +219,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, weights: str
         key = own = None
         for batch in batches:
             a_out, b_out = [], []
-            for a, salt, b, text in zip(*(batch[x].to_pylist() for x in ("a", "salt", "b", "text"))):
-                other = weighted(text, weights)
-                if (a, salt) != key:
-                    assert a == b
-                    key, own = (a, salt), other
-                    continue
-                if _similar(own, other, similarity):
-                    a_out.append(a)
-                    b_out.append(b)
+            for part in S.parts([batch[x] for x in ("a", "salt", "b", "text")]):
+                for a, salt, b, text in zip(*(c.to_pylist() for c in part)):
+                    other = weighted(text, weights)
+                    if (a, salt) != key:
+                        assert a == b
+                        key, own = (a, salt), other
+                        continue
+                    if _similar(own, other, similarity):
+                        a_out.append(a)
+                        b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     rows = wanted.join(texts, "node").select("a", "salt", "b", "text")

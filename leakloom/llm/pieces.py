@@ -16,7 +16,7 @@ import numpy as np
 SLOT_BITS = 21
 POOL = 1 << 22
 #: Characters that are split by one round of array operations, unless one text has more.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Longest piece that is looked up by its bytes; others are looked up as strings.
 SHORT = 16
 

@@ -113,8 +113,8 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
 
     def first(batches):
         classes, words, total = defaultdict(lambda: np.zeros(N_CLASSES)), defaultdict(Counter), Counter()
-        for batch in batches:
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
+        for part in parts(batches):
+            for text, lang in zip(*part):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 split = data.split()
                 for key in (POOLED,) if lang is None else (POOLED, "=" + lang):
@@ -131,6 +131,11 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
         for key, counts in classes.items():
             yield _batch([(key, "class", str(i).encode(), int(n)) for i, n in enumerate(counts)] + [(key, "documents", b"", total[key, "documents"])])
 
+    def parts(batches):
+        for batch in batches:
+            for part in S.parts([batch["text"], batch["lang"]]):
+                yield [c.to_pylist() for c in part]
+
     def _rows(key, counts):
         n = sum(counts.values())
         if n:
@@ -154,8 +159,8 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
 
     def second(batches):
         counts = defaultdict(Counter)
-        for batch in batches:
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
+        for part in parts(batches):
+            for text, lang in zip(*part):
                 counts[POOLED if lang is None else "=" + lang].update((text or "").encode("utf-8", "surrogatepass").split())
         for key, c in counts.items():
             for into in {POOLED, key}:
