@@ -186,6 +186,17 @@ def _banded(docs: DataFrame, weights: str) -> DataFrame:
     return made.select("doc_id", "node", "r.keys", "r.marks")
 
 
+def _shared_keys(rows: DataFrame) -> DataFrame:
+    """(key, id, band, n): the band keys that several texts have, n being how many.
+
+    Most keys are of one text and end here. Rows meet one row of sizes each, so the join makes no more rows than it
+    reads. A key is of one band and holds one of BANDS of all rows at most. Sizes are checkpointed, so that both
+    sides come from a shuffle and Spark splits the partition of a large key by itself.
+    """
+    sizes = S.checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    return rows.join(sizes, "key")
+
+
 def _likely(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose registers allow the similarity, with both nodes and the number of a's pairs.
 
@@ -334,9 +345,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "one
     texts = banded.groupBy("node").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     texts = S.checkpointed(texts.withColumn("id", F.monotonically_increasing_id()))
     rows = texts.select("id", F.posexplode("keys").alias("band", "key"))
-    total = texts.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = S.checkpointed(S.join_counted(rows, sizes, "key", "n", total))
+    met = S.checkpointed(_shared_keys(rows))
     central = met.join(met.groupBy("id").agg(F.sum("n").alias("met")), "id").groupBy("key").agg(F.max(F.struct("met", "id"))["id"].alias("root"), F.count("*").alias("n"))
     shared = S.checkpointed(S.join_counted(met.drop("n"), central, "key", "n", met.count()).select("key", "band", "root", "id"))
     S.release(spark)

@@ -184,6 +184,14 @@ def test_joins_of_hot_keys(spark):
     assert got == {(x, 2999 if x < 3000 else x) for x in range(5000) if x != 4000}
 
 
+def test_band_keys_that_texts_share(spark):
+    rows = spark.range(5000).select("id", F.lit(0).alias("band"), F.when(F.col("id") < 3000, 7).otherwise(F.floor(F.col("id") / 2) + F.col("id") % 2 * (F.col("id") > 4000).cast("int") * 9000).alias("key"))
+    keys = [7 if i < 3000 else i // 2 + (i % 2 * 9000 if i > 4000 else 0) for i in range(5000)]
+    met = minhash_dedup._shared_keys(rows)
+    assert sorted((r["id"], r["band"], r["key"], r["n"]) for r in met.collect()) == [(i, 0, k, n) for i, k in enumerate(keys) if (n := keys.count(k)) > 1]
+    assert "LeftAnti" not in met._jdf.queryExecution().toString()  # large keys don't send all other rows through a join of their own
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (5, 5)] + [(100, k) for k in range(101, 140)]
     got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
